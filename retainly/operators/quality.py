@@ -91,8 +91,9 @@ FEATURE_CAPS = {"days_since_last_purchase": 15000, "total_spend": 100000, "suppo
 
 
 def apply_caps(df: DataFrame, caps: dict) -> DataFrame:
-    """least(column, cap) for each capped column."""
-    return df.select(*[F.least(F.col(c), F.lit(caps[c])).cast(t).alias(c) if c in caps else F.col(c)
+    """least(column, cap) for each capped column (NULL stays NULL)."""
+    return df.select(*[F.when(F.col(c).isNotNull(), F.least(F.col(c), F.lit(caps[c]))).cast(t).alias(c)
+                       if c in caps else F.col(c)
                        for c, t in df.dtypes])
 
 

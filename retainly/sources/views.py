@@ -63,6 +63,11 @@ def order_lines(t: Tables) -> DataFrame:
                  F.min(F.when(F.col("l_discount") > 0.02, 1).otherwise(0)).alias("discounted")))
 
 
+def line_categories(t: Tables) -> DataFrame:
+    """(l_orderkey, p_type) per order line (lineitem joined with part)."""
+    return t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_type")
+
+
 def transactions(t: Tables, lines: bool = True) -> DataFrame:
     """Order-level transactions. `lines=False` skips the lineitem join for
     callers that read only order columns (the line attributes then take the
