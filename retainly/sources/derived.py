@@ -69,3 +69,23 @@ SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_totalprice AS a
 
 def derived_ctes(**named_sql: str) -> str:
     return ",\n".join(f"{k} AS ({v.strip()})" for k, v in named_sql.items())
+
+
+DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+DRIFT_CUT = "1998-01-01 00:00:00"
+
+
+def drift_pair(t: Tables):
+    """(reference, current) feature frames from lineitem: shipped before / from
+    1998-01-01; the current side's extended price is scaled by 1.3."""
+    li = t.lineitem
+    cut = F.lit(DRIFT_CUT).cast("timestamp_ntz")
+    ref = li.filter(F.col("l_shipdate") < cut).select(*DRIFT_FEATURES)
+    cur = li.filter(F.col("l_shipdate") >= cut).select(
+        "l_quantity", (F.col("l_extendedprice") * 1.3).alias("l_extendedprice"), "l_discount", "l_tax")
+    return ref, cur
+
+
+DRIFT_REF_SQL = f"SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_shipdate < TIMESTAMP '{DRIFT_CUT}'"
+DRIFT_CUR_SQL = (f"SELECT l_quantity, l_extendedprice * 1.3 AS l_extendedprice, l_discount, l_tax FROM lineitem "
+                 f"WHERE l_shipdate >= TIMESTAMP '{DRIFT_CUT}'")

@@ -186,3 +186,29 @@ def with_views(sql: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def predictions_at(t: Tables, cut: str) -> DataFrame:
+    """The `predictions` view for another observation cut: customers active in
+    the year before `cut`, churn = no order in [cut, cut + 30 days)."""
+    o = t.orders.select("o_custkey", "o_orderdate")
+    c0 = F.lit(cut).cast("timestamp_ntz")
+    active = (o.filter((F.col("o_orderdate") >= c0 - F.expr("INTERVAL 1 YEAR")) & (F.col("o_orderdate") < c0))
+              .select("o_custkey").distinct())
+    future = (o.filter((F.col("o_orderdate") >= c0) & (F.col("o_orderdate") < c0 + F.expr("INTERVAL 30 DAYS")))
+              .select(F.col("o_custkey").alias("f_custkey")).distinct())
+    c = (t.customer.join(active, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+         .join(future, F.col("f_custkey") == F.col("c_custkey"), "left"))
+    return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"),
+                    (((F.col("c_custkey") * 37) % 101).cast("double") / 100).alias("churn_probability"),
+                    F.when(F.col("f_custkey").isNull(), 1).otherwise(0).alias("actual_churn"))
+
+
+def predictions_at_sql(cut: str) -> str:
+    return f"""
+SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment,
+  CAST((c.c_custkey * 37) % 101 AS DOUBLE) / 100 AS churn_probability,
+  CASE WHEN f.o_custkey IS NULL THEN 1 ELSE 0 END AS actual_churn
+FROM customer c
+JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{cut}' - INTERVAL 1 YEAR AND o_orderdate < TIMESTAMP '{cut}') a ON a.o_custkey = c.c_custkey
+LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{cut}' AND o_orderdate < TIMESTAMP '{cut}' + INTERVAL 30 DAY) f ON f.o_custkey = c.c_custkey"""
