@@ -14,7 +14,7 @@ from ..operators import train as TR
 from ..operators.customer import behavioral_features, engagement_features, profile_features
 from ..operators.rfm import rfm_scores
 from ..operators.transactions import transaction_features
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import views as V
 from ..sources.views import EVENTS_AS_OF as EA
 from ..sources.views import ORDERS_AS_OF as OA
@@ -211,22 +211,24 @@ def training_frame(t, cut: str = CUT):
 
 
 FEATURES = TF_COLS + PROFILE_COLS
+# Registered model queries train with 0.2x rounds / trees / iterations (see
+# train.estimators); the library defaults keep the reference settings.
+FAST_MODELS = True
 
 
 def _fit_inputs(t):
     d = training_frame(t)
     train = d.filter(F.col("split") == "train")
     params = DS.scaling_params(train, FEATURES)
-    scaled = DS.standard_scale(d, FEATURES, params)
+    scaled = materialize(DS.standard_scale(d, FEATURES, params))
     return scaled, params
 
 
 @register("model_comparison", "T6 T7 T8 T9 T12 T13 B13 B15")
 def q_models(t):
     d, _ = _fit_inputs(t)
-    d = d.cache()
     tr, va, te = (d.filter(F.col("split") == s) for s in ("train", "validation", "test"))
-    met, _ = TR.train_and_compare(tr, va, te, FEATURES, "label", "weight")
+    met, _ = TR.train_and_compare(tr, va, te, FEATURES, "label", "weight", fast=FAST_MODELS)
     return met
 
 
@@ -234,7 +236,7 @@ def q_models(t):
 def q_importance(t):
     d, _ = _fit_inputs(t)
     tr = d.filter(F.col("split") == "train")
-    m = TR.pipeline(FEATURES, TR.estimators("label", "weight")["gradient_boosting"]).fit(tr)
+    m = TR.pipeline(FEATURES, TR.estimators("label", "weight", fast=FAST_MODELS)["gradient_boosting"]).fit(tr)
     return TR.feature_importance(m, FEATURES)
 
 
@@ -273,7 +275,7 @@ def q_correlation(t):
 def q_batch_scores(t):
     d, _ = _fit_inputs(t)
     tr = d.filter(F.col("split") == "train")
-    est = TR.estimators("label", "weight")["logistic_regression"]
+    est = TR.estimators("label", "weight", fast=FAST_MODELS)["logistic_regression"]
     model = TR.pipeline(FEATURES, est).fit(tr)
     coefs = model.stages[-1].coefficients.toArray().tolist()
     scored = SC.score(model, d.select("customer_id", *FEATURES), 0.35, "v2001", CUT)

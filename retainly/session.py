@@ -72,3 +72,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}") if "://" not in base \
         else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (for inputs read many times: model training, several ordered passes).
+    Survives executor loss: the data is re-read from shared storage, not
+    recomputed from the sources."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
