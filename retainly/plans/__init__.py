@@ -1,4 +1,4 @@
 """Registered queries, one module per operator family."""
 
-from . import catalog, cleaning, features, modeling, monitoring  # noqa: F401
+from . import catalog, cleaning, features, modeling, monitoring, streaming  # noqa: F401
 from .registry import REGISTRY, Query  # noqa: F401
