@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long, days_between, flag, since
 from .ordered import exact_quantiles, forward_fill
+from ..session import materialize
 from .rfm import percent_rank_col
 
 # Catalog caps and missing values.
@@ -117,7 +118,8 @@ def catalog_purchase_features(customers: DataFrame, tx: DataFrame, lines: DataFr
 def rfm_index(purchase: DataFrame) -> DataFrame:
     """Percent ranks of recency (reversed), 90-day count and spend
     over all customers; index = their mean, tiers >= 80 VIP, >= 50 core."""
-    d = purchase.select("customer_id", "days_since_last_purchase", "purchase_count_90d", "total_spend_90d")
+    d = materialize(purchase.select("customer_id", "days_since_last_purchase", "purchase_count_90d",
+                                    "total_spend_90d"))
     d = percent_rank_col(d, "days_since_last_purchase", "_pr_r")
     d = percent_rank_col(d, "purchase_count_90d", "_pr_f")
     d = percent_rank_col(d, "total_spend_90d", "_pr_m")

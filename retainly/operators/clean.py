@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import exact_quantiles, forward_fill
 
 
@@ -127,7 +128,7 @@ def remove_outliers_zscore(df: DataFrame, col: str, threshold: float = 3.0) -> D
 def clean_customers(df: DataFrame) -> DataFrame:
     """V6: dedup on customer_id -> median-fill account_age_days -> zero-fill
     lifetime_value -> exact IQR filter on lifetime_value."""
-    d = drop_duplicates(df, ["customer_id"])
+    d = materialize(drop_duplicates(df, ["customer_id"]))  # read by two ordered passes
     d = fill_median(d, ["account_age_days"])
     d = fill_zero(d, ["lifetime_value"])
     return remove_outliers_exact_iqr(d, "lifetime_value")

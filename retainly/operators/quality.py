@@ -71,17 +71,19 @@ def range_assertions(df: DataFrame, rules) -> DataFrame:
 
 
 def quality_gates(df: DataFrame, cols, max_null_share: float = 0.05) -> DataFrame:
-    """Per column null share and population variance, gate flags
-    (null share > 5 %, constant column)."""
+    """Per column null share, min and max, and gate flags (null share
+    > 5 %, constant column). "Variance = 0" is tested exactly as min = max
+    (a floating variance of large values is never exactly reproducible)."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), F.var_pop(c).alias(f"_v{i}")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
     row = df.agg(*aggs)
     parts = [row.select(F.lit(c).alias("column_name"),
                         F.round(F.col(f"_z{i}") / F.col("_n"), 6).alias("null_share"),
-                        F.round(F.col(f"_v{i}"), 6).alias("variance"),
+                        F.col(f"_lo{i}").cast("double").alias("min"), F.col(f"_hi{i}").cast("double").alias("max"),
                         (F.col(f"_z{i}") / F.col("_n") > max_null_share).cast("bigint").alias("null_gate_failed"),
-                        F.coalesce((F.col(f"_v{i}") == 0).cast("bigint"), F.lit(1)).alias("constant_gate_failed"))
+                        F.coalesce((F.col(f"_lo{i}") == F.col(f"_hi{i}")).cast("bigint"), F.lit(1))
+                        .alias("constant_gate_failed"))
              for i, c in enumerate(cols)]
     return reduce(DataFrame.unionByName, parts)
 

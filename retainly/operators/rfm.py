@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long, days_between
+from ..session import materialize
 from .ordered import exact_quantiles, rank_first, value_ranks
 
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
@@ -34,7 +35,9 @@ def quintile_bucket(col: str, edges_prefix: str):
 def rfm_scores(tx: DataFrame, as_of: str) -> DataFrame:
     """recency/frequency/monetary with r (reversed), f and m quintile
     scores and rfm_score = 100 r + 10 f + m."""
-    raw = rfm_raw(tx, as_of)
+    # one row per customer, read by five ordered passes: computed once and
+    # checkpointed to shared storage instead of re-aggregating the orders
+    raw = materialize(rfm_raw(tx, as_of))
     er = exact_quantiles(raw, "recency", QUINTILES).select(*[F.col(f"q_{i}").alias(f"_er{i}") for i in range(4)])
     em = exact_quantiles(raw, "monetary", QUINTILES).select(*[F.col(f"q_{i}").alias(f"_em{i}") for i in range(4)])
     ranked = rank_first(raw, "frequency", "customer_id")

@@ -32,7 +32,8 @@ def build_session(master: str = "local[8]", app: str = "retainly",
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", "16g")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in {**_DEFAULTS, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
