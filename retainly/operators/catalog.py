@@ -136,12 +136,14 @@ def rfm_index(purchase: DataFrame) -> DataFrame:
 
 def catalog_engagement_features(customers: DataFrame, events: DataFrame, support: DataFrame,
                                 reviews: DataFrame, as_of: str) -> DataFrame:
-    """C25-C29, C43, C53, C58 for every customer."""
+    """C25-C29, C42 (review ratings stand in for surveys), C43, C53, C58 for
+    every customer."""
     ts = lambda df, d: F.col("created_date") >= since(as_of, d)
     s = support.groupBy("customer_id").agg(F.count_if(ts(support, 30)).alias("t30"),
                                            F.count_if(ts(support, 90)).alias("t90"))
     r = reviews.groupBy("customer_id").agg(F.count_if(ts(reviews, 90)).alias("r90"),
-                                           F.avg(F.when(ts(reviews, 90), F.col("rating"))).alias("rating90"))
+                                           F.avg(F.when(ts(reviews, 90), F.col("rating"))).alias("rating90"),
+                                           F.avg(F.when(ts(reviews, 365), F.col("rating"))).alias("rating365"))
     ev30 = F.col("event_timestamp") >= since(as_of, 30)
     sess = events.groupBy("customer_id", "session_id").agg(
         F.count_if(F.col("event_type") == "page_view").alias("pv"),
@@ -167,6 +169,7 @@ def catalog_engagement_features(customers: DataFrame, events: DataFrame, support
         as_long(z("t90")).alias("customer_service_contact_count_90d"),
         as_long(z("r90")).alias("review_count_90d"),
         as_double(F.coalesce(F.col("rating90"), F.lit(MISSING_REVIEW_RATING))).alias("avg_review_rating_90d"),
+        as_double(F.coalesce(F.col("rating365"), F.lit(MISSING_REVIEW_RATING))).alias("customer_service_rating_avg"),
         as_long(z("app30")).alias("app_usage_days_30d"),
         as_double(norm).alias("engagement_score"),
         as_double(F.coalesce(F.col("pv_per_session"), F.lit(0.0))).alias("page_views_per_session"),

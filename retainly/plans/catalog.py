@@ -119,7 +119,8 @@ ENGAGEMENT_SQL = f"""
 WITH s AS (SELECT customer_id, COUNT(*) FILTER (WHERE {W(30, 'created_date', ETS)}) AS t30,
     COUNT(*) FILTER (WHERE {W(90, 'created_date', ETS)}) AS t90 FROM support_tickets GROUP BY customer_id),
 r AS (SELECT customer_id, COUNT(*) FILTER (WHERE {W(90, 'created_date', ETS)}) AS r90,
-    AVG(CASE WHEN {W(90, 'created_date', ETS)} THEN rating END) AS rating90 FROM reviews GROUP BY customer_id),
+    AVG(CASE WHEN {W(90, 'created_date', ETS)} THEN rating END) AS rating90,
+    AVG(CASE WHEN {W(365, 'created_date', ETS)} THEN rating END) AS rating365 FROM reviews GROUP BY customer_id),
 sess AS (SELECT customer_id, session_id, COUNT(*) FILTER (WHERE event_type = 'page_view') AS pv,
     (epoch_us(MAX(event_timestamp)) - epoch_us(MIN(event_timestamp))) / 1e6 AS dur
   FROM behavior_events GROUP BY customer_id, session_id),
@@ -128,7 +129,7 @@ e AS (SELECT customer_id,
     COUNT(DISTINCT CASE WHEN {W(30, 'event_timestamp', ETS)} THEN CAST(event_timestamp AS DATE) END) AS app30,
     COUNT(*) FILTER (WHERE event_type = 'page_view') AS pv, COUNT(*) FILTER (WHERE event_type = 'purchase') AS pur
   FROM behavior_events GROUP BY customer_id),
-c AS (SELECT c.customer_id, s.t30, s.t90, r.r90, r.rating90, e.app30, e.pv, e.pur, sagg.pvs, sagg.ad,
+c AS (SELECT c.customer_id, s.t30, s.t90, r.r90, r.rating90, r.rating365, e.app30, e.pv, e.pur, sagg.pvs, sagg.ad,
     COALESCE(e.app30, 0) + COALESCE(r.r90, 0) + COALESCE(s.t90, 0) AS eng
   FROM customers c LEFT JOIN s ON s.customer_id = c.customer_id LEFT JOIN r ON r.customer_id = c.customer_id
   LEFT JOIN e ON e.customer_id = c.customer_id LEFT JOIN sagg ON sagg.customer_id = c.customer_id),
@@ -138,6 +139,7 @@ SELECT CAST(customer_id AS BIGINT) AS customer_id,
   CAST(COALESCE(t90, 0) AS BIGINT) AS customer_service_contact_count_90d,
   CAST(COALESCE(r90, 0) AS BIGINT) AS review_count_90d,
   ROUND(COALESCE(rating90, 3.0), 6) AS avg_review_rating_90d,
+  ROUND(COALESCE(rating365, 3.0), 6) AS customer_service_rating_avg,
   CAST(COALESCE(app30, 0) AS BIGINT) AS app_usage_days_30d,
   ROUND(CASE WHEN hi > lo THEN (eng - lo) / (hi - lo) ELSE 0.0 END, 6) AS engagement_score,
   ROUND(COALESCE(pvs, 0.0), 6) AS page_views_per_session, ROUND(COALESCE(ad, 0.0), 6) AS average_session_duration,
@@ -150,7 +152,7 @@ def _engagement(t):
                                          V.reviews(t), EA)
 
 
-@register("catalog_engagement_features", "C25 C26 C27 C28 C29 C43 C53 C58",
+@register("catalog_engagement_features", "C25 C26 C27 C28 C29 C42 C43 C53 C58",
           oracle(ENGAGEMENT_SQL, ["customers", "behavior_events", "support_tickets", "reviews"]))
 def q_catalog_engagement(t):
     return _engagement(t)
