@@ -6,8 +6,6 @@ equi-joins on the metric name; decisions are row-wise expressions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +91,13 @@ def retrain_decision_variant(state: DataFrame, min_age_days: int = 30) -> DataFr
                         F.array_join(kept, ",").alias("triggers"))
 
 
-def metric_history(frames, label: str, score: str, threshold: float = 0.5, version: str = "v1") -> DataFrame:
-    """History table (model_version, ts, metric, value) from (ts, frame) pairs:
-    the frames are tagged and unioned, metrics computed keyed by ts in one pass."""
-    tagged = reduce(DataFrame.unionByName,
-                    [f.select(F.lit(ts).alias("ts"), label, score) for ts, f in frames])
-    m = metrics_long(tagged, label, score, threshold, ["ts"])
-    return m.select(F.lit(version).alias("model_version"), "ts", "metric", as_double("value").alias("value"))
+def metric_history(tagged: DataFrame, label: str, score: str, threshold: float = 0.5, version: str = "v1",
+                   ts: str = "ts") -> DataFrame:
+    """History table (model_version, ts, metric, value) from scored rows
+    tagged with their evaluation time: metrics keyed by ts in one pass."""
+    m = metrics_long(tagged.select(ts, label, score), label, score, threshold, [ts])
+    return m.select(F.lit(version).alias("model_version"), F.col(ts).alias("ts"), "metric",
+                    as_double("value").alias("value"))
 
 
 def performance_trend(history: DataFrame, version: str, as_of: str, days: int) -> DataFrame:

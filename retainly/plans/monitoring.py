@@ -416,7 +416,7 @@ HISTORY_CUTS = ["2000-09-01 00:00:00", "2000-10-01 00:00:00", "2000-11-01 00:00:
 
 
 def _history(t):
-    return M.metric_history([(c, V.predictions_at(t, c)) for c in HISTORY_CUTS], LABEL, SCORE, 0.5, "v1")
+    return M.metric_history(V.predictions_multi(t, HISTORY_CUTS), LABEL, SCORE, 0.5, "v1")
 
 
 def _history_sql():

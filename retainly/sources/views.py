@@ -212,3 +212,26 @@ SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment,
 FROM customer c
 JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{cut}' - INTERVAL 1 YEAR AND o_orderdate < TIMESTAMP '{cut}') a ON a.o_custkey = c.c_custkey
 LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{cut}' AND o_orderdate < TIMESTAMP '{cut}' + INTERVAL 30 DAY) f ON f.o_custkey = c.c_custkey"""
+
+
+def predictions_multi(t: Tables, cuts) -> DataFrame:
+    """`predictions_at` for several cuts from ONE pass over orders: a single
+    per-customer aggregate of (active, future) flags for every cut, exploded
+    to one row per (cut, active customer). Columns: ts, customer_id, segment,
+    churn_probability, actual_churn."""
+    o = t.orders.select("o_custkey", "o_orderdate")
+    d = F.col("o_orderdate")
+    aggs = []
+    for i, c in enumerate(cuts):
+        c0 = F.lit(c).cast("timestamp_ntz")
+        aggs += [F.max((d >= c0 - F.expr("INTERVAL 1 YEAR")) & (d < c0)).alias(f"a{i}"),
+                 F.max((d >= c0) & (d < c0 + F.expr("INTERVAL 30 DAYS"))).alias(f"f{i}")]
+    g = o.groupBy("o_custkey").agg(*aggs)
+    per_cut = g.select("o_custkey", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("ts"), F.col(f"a{i}").alias("active"), F.col(f"f{i}").alias("future"))
+        for i, c in enumerate(cuts)])).alias("x")).filter(F.col("x.active"))
+    j = per_cut.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    return j.select(F.col("x.ts").alias("ts"), F.col("c_custkey").alias("customer_id"),
+                    F.col("c_mktsegment").alias("segment"),
+                    (((F.col("c_custkey") * 37) % 101).cast("double") / 100).alias("churn_probability"),
+                    F.when(F.col("x.future"), 0).otherwise(1).alias("actual_churn"))

@@ -87,3 +87,14 @@ def test_auc_against_brute_force(spark):
     # invariant under a monotone map of the score
     r2 = curve_metrics(df.withColumn("s", F.col("s") * 3 + 1), "y", "s").first()
     assert r2["roc_auc"] == r["roc_auc"] and r2["pr_auc"] == r["pr_auc"]
+
+
+def test_plan_has_no_single_task_window_over_rows(data):
+    """Plan test: the running window is partitioned by (keys, bucket); the
+    only SinglePartition exchange sits over the per-bucket table (<= 64 rows)."""
+    _, df = data
+    plan = value_ranks(df, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan
+    assert plan.count("SinglePartition") <= 1
+    from retainly.operators.ordered import quantile_splits
+    assert len(quantile_splits(df, "v", 64)) <= 63
