@@ -47,7 +47,7 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, cols, threshold: float = 0.15,
         "feature", "value", (F.col("_side") == "reference").cast("bigint").alias("r"),
         (F.col("_side") == "current").cast("bigint").alias("c"))
     splits = column_splits(ref.unionByName(cur), cols, n_buckets)
-    op = ordered_prefix(long, "value", ["r", "c"], ["feature"], splits=splits)
+    op = ordered_prefix(long, "value", ["r", "c"], ["feature"], splits=splits, small_keys=True)
     diff = F.abs((F.col("r_below") + F.col("r")) / F.col("r_total")
                  - (F.col("c_below") + F.col("c")) / F.col("c_total"))
     g = op.groupBy("feature").agg(F.max(diff).alias("d"), F.first("r_total").alias("n"),
@@ -121,7 +121,8 @@ def quantile_shift(ref: DataFrame, cur: DataFrame, cols, threshold: float = 0.2)
     splits = column_splits(ref.unionByName(cur), cols)
     qs = []
     for side in ("reference", "current"):
-        q = exact_quantiles(long.filter(F.col("_side") == side), "value", probs, ["feature"], splits=splits)
+        q = exact_quantiles(long.filter(F.col("_side") == side), "value", probs, ["feature"], splits=splits,
+                            small_keys=True)
         qs.append(q.select("feature", *[F.col(f"q_{i}").alias(f"{side[0]}{i}") for i in range(3)]))
     j = qs[0].join(qs[1], "feature")
     terms = [F.when((F.col(f"c{i}") / F.col(f"r{i}")) > 0,

@@ -86,14 +86,16 @@ def unpivot(df: DataFrame, ids, cols, name: str = "feature", value: str = "value
 
 def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
                    n_buckets: int = DEFAULT_BUCKETS, collapse: bool = True,
-                   small_keys: bool = True) -> DataFrame:
+                   small_keys: bool = False) -> DataFrame:
     """One row per distinct (keys, value) with, for every measure m:
     `m` (sum at this value), `m_below` (sum over strictly smaller values within
     the keys) and `m_total` (sum within the keys).
 
-    `small_keys`: the key domain is bounded (segments, feature names), so the
-    offsets table (keys x buckets rows) is broadcast; otherwise it is joined by
-    shuffle and the planner decides.
+    The offsets table has (keys x buckets) rows. It is broadcast explicitly
+    only when that is a proven bound: no keys (<= buckets rows) or
+    `small_keys=True` (schema-sized keys such as feature names). Otherwise
+    the planner decides at run time (AQE's broadcast size check), with a
+    shuffle join beyond it.
     """
     keys, measures = list(keys), list(measures)
     if splits is None:
@@ -110,7 +112,7 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
                      *[F.coalesce(F.sum(f"_b_{m}").over(w_run), F.lit(0)).alias(f"_off_{m}")
                        for m in measures],
                      *[F.sum(f"_b_{m}").over(w_all).alias(f"{m}_total") for m in measures])
-    j = g.join(F.broadcast(off) if small_keys else off, keys + ["_bucket"])
+    j = g.join(F.broadcast(off) if (small_keys or not keys) else off, keys + ["_bucket"])
     w_in = Window.partitionBy(*keys, "_bucket").orderBy(value) \
         .rowsBetween(Window.unboundedPreceding, -1)
     return j.select(*keys, value, *measures,
@@ -133,13 +135,12 @@ def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int = DE
     within = ordered_prefix(base.select(*keys, value, tie, "_one"), tie, ["_one"], keys + [value],
                             n_buckets=n_buckets, collapse=False, small_keys=False) \
         .select(*keys, value, tie, F.col("_one_below").alias("_tb"))
-    return (df.join(within, keys + [value, tie]).join(F.broadcast(by_value) if not keys else by_value,
-                                                      keys + [value])
+    return (df.join(within, keys + [value, tie]).join(by_value, keys + [value])
             .withColumn("_rank", F.col("_vb") + F.col("_tb") + 1).drop("_vb", "_tb"))
 
 
 def value_ranks(df: DataFrame, value: str, keys=(), n_buckets: int = DEFAULT_BUCKETS,
-                small_keys: bool = True, splits=None) -> DataFrame:
+                small_keys: bool = False, splits=None) -> DataFrame:
     """Per distinct (keys, value): `_below` (rows strictly smaller), `_cnt`, `_n`.
     min-rank = _below + 1; percent_rank = _below / (_n - 1)."""
     base = df.select(*keys, value, F.lit(1).cast("bigint").alias("_one")) \
@@ -151,7 +152,7 @@ def value_ranks(df: DataFrame, value: str, keys=(), n_buckets: int = DEFAULT_BUC
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, keys=(), n_buckets: int = DEFAULT_BUCKETS,
-                    small_keys: bool = True, splits=None) -> DataFrame:
+                    small_keys: bool = False, splits=None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / `percentile` / DuckDB
     `quantile_cont` semantics), distributed: the order statistics at ranks
     floor(p(n-1)) and ceil(p(n-1)) are located from the ordered prefix counts.

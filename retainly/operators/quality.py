@@ -119,7 +119,7 @@ def validate_scoring_input(df: DataFrame, rules=SCORING_RULES, key: str = "custo
     if med_cols:
         long = unpivot(df, [], med_cols)
         meds = exact_quantiles(long, "value", [0.5], keys=["feature"],
-                               splits=column_splits(df, med_cols))
+                               splits=column_splits(df, med_cols), small_keys=True)
         wide = meds.groupBy().pivot("feature", med_cols).agg(F.first("q_0"))
         filled = df.crossJoin(F.broadcast(wide.select(*[F.col(c).alias(f"_med_{c}") for c in med_cols])))
     out = []
@@ -154,7 +154,7 @@ def feature_statistics(df: DataFrame, cols, n_buckets: int = 64) -> DataFrame:
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["feature"],
-                         splits=column_splits(df, cols, n_buckets))
+                         splits=column_splits(df, cols, n_buckets), small_keys=True)
     j = basic.join(qs, "feature", "left")
     return j.select(F.col("feature").alias("column_name"), F.col("count").cast("bigint").alias("count"),
                     F.col("nulls").cast("bigint").alias("nulls"),
