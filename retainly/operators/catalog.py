@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long, days_between, flag, since
-from .ordered import exact_quantiles, forward_fill
 from ..session import materialize
-from .rfm import percent_rank_col
+from .ordered import exact_quantiles, forward_fill, percent_ranks
 
 # Catalog caps and missing values.
 RECENCY_CAP = 15000
@@ -120,12 +119,10 @@ def rfm_index(purchase: DataFrame) -> DataFrame:
     over all customers; index = their mean, tiers >= 80 VIP, >= 50 core."""
     d = materialize(purchase.select("customer_id", "days_since_last_purchase", "purchase_count_90d",
                                     "total_spend_90d"))
-    d = percent_rank_col(d, "days_since_last_purchase", "_pr_r")
-    d = percent_rank_col(d, "purchase_count_90d", "_pr_f")
-    d = percent_rank_col(d, "total_spend_90d", "_pr_m")
-    rec = 100 - 100 * F.col("_pr_r")
-    fr = 100 * F.col("_pr_f")
-    mo = 100 * F.col("_pr_m")
+    d = percent_ranks(d, "customer_id", ["days_since_last_purchase", "purchase_count_90d", "total_spend_90d"])
+    rec = 100 - 100 * F.col("days_since_last_purchase_pr")
+    fr = 100 * F.col("purchase_count_90d_pr")
+    mo = 100 * F.col("total_spend_90d_pr")
     idx = (rec + fr + mo) / 3
     tier = F.when(idx >= RFM_TIERS[0][0], RFM_TIERS[0][1]).when(idx >= RFM_TIERS[1][0], RFM_TIERS[1][1]) \
         .otherwise("at-risk")

@@ -121,7 +121,8 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
                     *[F.col(f"{m}_total") for m in measures])
 
 
-def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int = DEFAULT_BUCKETS,
+               value_splits=None, tie_splits=None) -> DataFrame:
     """Row-level `rank(method='first')`: 1 + rows with a smaller value + rows
     with an equal value and a smaller `tie` column (unique). Adds `_rank`, `_n`.
 
@@ -130,10 +131,10 @@ def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int = DE
     """
     keys = list(keys)
     base = df.withColumn("_one", F.lit(1).cast("bigint"))
-    by_value = ordered_prefix(base, value, ["_one"], keys, n_buckets=n_buckets) \
+    by_value = ordered_prefix(base, value, ["_one"], keys, n_buckets=n_buckets, splits=value_splits) \
         .select(*keys, value, F.col("_one_below").alias("_vb"), F.col("_one_total").alias("_n"))
     within = ordered_prefix(base.select(*keys, value, tie, "_one"), tie, ["_one"], keys + [value],
-                            n_buckets=n_buckets, collapse=False, small_keys=False) \
+                            n_buckets=n_buckets, collapse=False, small_keys=False, splits=tie_splits) \
         .select(*keys, value, tie, F.col("_one_below").alias("_tb"))
     return (df.join(within, keys + [value, tie]).join(by_value, keys + [value])
             .withColumn("_rank", F.col("_vb") + F.col("_tb") + 1).drop("_vb", "_tb"))
@@ -181,6 +182,21 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(), n_buckets: int =
     return out
 
 
+def percent_ranks(df: DataFrame, key: str, cols, n_buckets: int = DEFAULT_BUCKETS, suffix: str = "_pr") -> DataFrame:
+    """SQL percent_rank of several columns over all rows at once: one cut-point
+    pass for all columns, one keyed ordered pass over the unpivoted values,
+    one regroup per row key. Adds `<col><suffix>` (NULL for NULL values)."""
+    cols = list(cols)
+    sp = column_splits(df, cols, n_buckets)
+    long = unpivot(df, [key], cols)
+    r = value_ranks(long, "value", ["feature"], n_buckets, small_keys=True, splits=sp)
+    pr = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    j = long.join(r.select("feature", "value", pr.alias("_pr")), ["feature", "value"], "left")
+    wide = j.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("_pr"))).alias(f"{c}{suffix}")
+                                for c in cols])
+    return df.join(wide, key, "left")
+
+
 def forward_fill(df: DataFrame, cols, key, order, n_chunks: int = DEFAULT_BUCKETS,
                  include_current: bool = True) -> DataFrame:
     """Last non-null value at or before each row, per key, in `order` order

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long, days_between
 from ..session import materialize
-from .ordered import exact_quantiles, rank_first, value_ranks
+from .ordered import column_splits, exact_quantiles, rank_first, unpivot, value_ranks
 
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
 
@@ -38,9 +38,14 @@ def rfm_scores(tx: DataFrame, as_of: str) -> DataFrame:
     # one row per customer, read by five ordered passes: computed once and
     # checkpointed to shared storage instead of re-aggregating the orders
     raw = materialize(rfm_raw(tx, as_of))
-    er = exact_quantiles(raw, "recency", QUINTILES).select(*[F.col(f"q_{i}").alias(f"_er{i}") for i in range(4)])
-    em = exact_quantiles(raw, "monetary", QUINTILES).select(*[F.col(f"q_{i}").alias(f"_em{i}") for i in range(4)])
-    ranked = rank_first(raw, "frequency", "customer_id")
+    # cut points of every ordered pass in ONE approxQuantile pass
+    sp = column_splits(raw, ["recency", "monetary", "frequency", "customer_id"])
+    q = exact_quantiles(unpivot(raw, [], ["recency", "monetary"]), "value", QUINTILES, ["feature"],
+                        splits={"recency": sp["recency"], "monetary": sp["monetary"]}, small_keys=True)
+    er = q.filter(F.col("feature") == "recency").select(*[F.col(f"q_{i}").alias(f"_er{i}") for i in range(4)])
+    em = q.filter(F.col("feature") == "monetary").select(*[F.col(f"q_{i}").alias(f"_em{i}") for i in range(4)])
+    ranked = rank_first(raw, "frequency", "customer_id", value_splits=sp["frequency"],
+                        tie_splits=sp["customer_id"])
     n1 = F.col("_n") - 1
     # ceil(5 (r - 1) / (n - 1)) in integer arithmetic, at least 1
     f_score = F.when(n1 <= 0, F.lit(1)).otherwise(
