@@ -117,6 +117,21 @@ def alerts(history: DataFrame, as_of: str, hours: int, severity: str | None = No
     drop = F.when(F.col("base") != 0, (F.col("base") - F.col("value")) / F.col("base"))
     sev = F.when(drop > crit, "critical").when(drop > warn, "warning")
     lo = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS")
-    out = j.select("model_version", "ts", "metric", "value", as_double(drop).alias("drop"), sev.alias("severity")) \
+    out = j.select("model_version", "ts", F.lit("performance").alias("source"), "metric", "value",
+                   as_double(drop).alias("drop"), sev.alias("severity")) \
         .filter(F.col("severity").isNotNull() & (F.col("ts").cast("timestamp_ntz") >= lo))
     return out.filter(F.col("severity") == severity) if severity else out
+
+
+def drift_alerts(ks: DataFrame, psi_table: DataFrame, version: str, ts: str) -> DataFrame:
+    """Alert rows of one monitoring run: KS drift -> warning, PSI above its
+    threshold -> critical (same columns as `alerts`)."""
+    k = ks.filter(F.col("is_drift") == 1).select(
+        F.lit(version).alias("model_version"), F.lit(ts).alias("ts"), F.lit("ks_drift").alias("source"),
+        F.col("feature").alias("metric"), F.col("ks_statistic").alias("value"),
+        F.lit(None).cast("double").alias("drop"), F.lit("warning").alias("severity"))
+    p = psi_table.filter(F.col("high_psi") == 1).select(
+        F.lit(version).alias("model_version"), F.lit(ts).alias("ts"), F.lit("psi").alias("source"),
+        F.col("feature").alias("metric"), F.col("psi").alias("value"),
+        F.lit(None).cast("double").alias("drop"), F.lit("critical").alias("severity"))
+    return k.unionByName(p)

@@ -16,11 +16,17 @@ from .ordered import column_splits, exact_quantiles, unpivot
 
 
 def _long(row: DataFrame, specs) -> DataFrame:
-    """specs: list of (check, column_name, measure, column-in-row)."""
-    parts = [row.select(F.lit(c).alias("check"), F.lit(n).alias("column_name"),
-                        F.lit(m).alias("measure"), F.col(src).cast("double").alias("value"))
-             for c, n, m, src in specs]
-    return reduce(DataFrame.unionByName, parts)
+    """specs: list of (check, column_name, measure, column-in-row). One
+    `unpivot` of the single wide row, labels looked up in a literal map."""
+    srcs = [src for _, _, _, src in specs]
+    wide = row.select(*[F.col(src).cast("double").alias(f"m{i}") for i, src in enumerate(srcs)])
+    long = wide.unpivot([], [f"m{i}" for i in range(len(srcs))], "_k", "value")
+    labels = F.create_map(*[x for i, (c, n, m, _) in enumerate(specs)
+                            for x in (F.lit(f"m{i}"), F.struct(F.lit(c).alias("check"), F.lit(n).alias("column_name"),
+                                                               F.lit(m).alias("measure")))])
+    lab = F.element_at(labels, F.col("_k"))
+    return long.select(lab["check"].alias("check"), lab["column_name"].alias("column_name"),
+                       lab["measure"].alias("measure"), F.col("value"))
 
 
 def integrity_report(df: DataFrame, required=()) -> DataFrame:

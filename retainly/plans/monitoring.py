@@ -112,6 +112,15 @@ def q_segments(t):
     return E.segment_metrics(_pred(t), LABEL, SCORE, SEG, 0.35)
 
 
+@register("region_metrics", "E9", oracle(f"""
+WITH pr AS (SELECT p.*, c.region FROM predictions p JOIN customers c ON c.customer_id = p.customer_id)
+SELECT * FROM ({conf_sql('pr', 0.35, ['region'])}) c JOIN ({curve_sql('pr', ['region'])}) a USING (region)""",
+                                         ["predictions", "customers"]))
+def q_regions(t):
+    p = _pred(t).join(V.customers(t).select("customer_id", "region"), "customer_id")
+    return E.segment_metrics(p, LABEL, SCORE, "region", 0.35)
+
+
 @register("fairness_gaps", "E10", oracle(f"""
 WITH s AS (SELECT * FROM ({conf_sql('predictions', 0.35, [SEG])}) c JOIN ({curve_sql('predictions', [SEG])}) a USING ({SEG})),
 b AS (SELECT c.precision AS bp, c.recall AS br, a.roc_auc AS ba FROM ({conf_sql('predictions', 0.35)}) c, ({curve_sql('predictions')}) a)
@@ -438,13 +447,21 @@ def q_trend(t):
 
 
 @register("alerts", "M22", oracle(f"""
-WITH hist AS ({_history_sql()}),
+WITH hist AS ({_history_sql()}), ks AS ({KS_SQL.strip()}), ps AS ({PSI_SQL.strip()}),
 f AS (SELECT model_version, metric, arg_min(value, ts) AS base FROM hist GROUP BY 1, 2),
 j AS (SELECT h.*, CASE WHEN f.base <> 0 THEN (f.base - h.value) / f.base END AS dr FROM hist h
-      JOIN f ON f.model_version = h.model_version AND f.metric = h.metric)
-SELECT model_version, ts, metric, value, {r6('dr')} AS drop,
-  CASE WHEN dr > 0.1 THEN 'critical' WHEN dr > 0.05 THEN 'warning' END AS severity
-FROM j WHERE (dr > 0.05) AND CAST(ts AS TIMESTAMP) >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 6000 HOUR""",
-                                    **_history_ctes()))
+      JOIN f ON f.model_version = h.model_version AND f.metric = h.metric),
+a AS (SELECT model_version, ts, 'performance' AS source, metric, value, {r6('dr')} AS drop,
+        CASE WHEN dr > 0.1 THEN 'critical' WHEN dr > 0.05 THEN 'warning' END AS severity
+      FROM j WHERE dr > 0.05
+      UNION ALL SELECT 'v1', '{ORDERS_AS_OF}', 'ks_drift', feature, ks_statistic, NULL, 'warning' FROM ks WHERE is_drift = 1
+      UNION ALL SELECT 'v1', '{ORDERS_AS_OF}', 'psi', feature, psi, NULL, 'critical' FROM ps WHERE high_psi = 1)
+SELECT * FROM a WHERE CAST(ts AS TIMESTAMP) >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 6000 HOUR""",
+                                    **_history_ctes(), **_drift_sides_sql()))
 def q_alerts(t):
-    return M.alerts(_history(t), ORDERS_AS_OF, 6000)
+    """Metric-drop alerts from the history plus this run's drift alerts,
+    within the last 6000 hours."""
+    run = M.drift_alerts(_ks(t), _psi(t), "v1", ORDERS_AS_OF)
+    hist = M.alerts(_history(t), ORDERS_AS_OF, 6000)
+    lo = F.lit(ORDERS_AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 6000 HOURS")
+    return hist.unionByName(run.filter(F.col("ts").cast("timestamp_ntz") >= lo))

@@ -118,7 +118,8 @@ def q_stream_monitor(t):
     q = (stream.writeStream.foreachBatch(J.monitor_prediction_distribution(ref, out))
          .option("checkpointLocation", scratch_path(spark, "ckpt-monitor")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select(F.col("batch_id").cast("bigint").alias("batch_id"), "hellinger",
+                                          "prediction_drift")
 
 
 @register("stream_scoring", "R4 P2")

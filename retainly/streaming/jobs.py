@@ -70,25 +70,26 @@ def rolling_error_rate(feedback: DataFrame, watermark: str = "1 day", window: st
 
 def monitor_prediction_distribution(reference_scores: DataFrame, path: str, score: str = "churn_probability"):
     """A `foreachBatch` function that compares each micro-batch of scores
-    with the reference histogram (Hellinger, M12) and appends one row per
-    batch (keyed by batch id, so a replayed batch is recognisable)."""
+    with the reference histogram (Hellinger, M12) and writes one row per
+    batch into `batch_id=N` (overwrite: a replayed batch replaces itself)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         h = hellinger(reference_scores, batch, score)
-        h.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "*").write.mode("append").parquet(path)
+        h.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
 def upsert_batches(path: str):
     """`foreachBatch` sink for update-mode aggregates: every micro-batch is
-    appended with its batch id; readers keep the latest version per key
-    (`latest_versions`)."""
+    written to its own `batch_id=N` folder with overwrite, so a batch replayed
+    after a failure replaces its own output (idempotent); readers keep the
+    latest version per key (`latest_versions`)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
 def latest_versions(df: DataFrame, keys) -> DataFrame:
-    """Latest row per key across appended micro-batches (max_by batch id)."""
-    cols = [c for c in df.columns if c not in keys and c != "_batch_id"]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("_batch_id")).alias("_v"))
+    """Latest row per key across micro-batch folders (max_by batch id)."""
+    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
     return g.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
