@@ -327,9 +327,13 @@ def q_drift_actions(t):
 
 
 def _degradation(t):
-    cur = M.metrics_long(_pred(t), LABEL, SCORE, 0.5)
-    base = M.metrics_long(_pred_ref(t), LABEL, SCORE, 0.5)
-    return M.performance_degradation(cur, base, 0.05)
+    # both periods scored in ONE keyed metrics pass (one cut-point job, shared
+    # shuffles), then compared metric by metric
+    both = _pred(t).withColumn("side", F.lit("current")).unionByName(
+        _pred_ref(t).withColumn("side", F.lit("baseline")))
+    m = M.metrics_long(both, LABEL, SCORE, 0.5, ["side"])
+    return M.performance_degradation(m.filter(F.col("side") == "current"),
+                                     m.filter(F.col("side") == "baseline"), 0.05)
 
 
 DEGRADATION_SQL = f"""
