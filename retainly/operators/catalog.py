@@ -4,7 +4,8 @@ Every customer of the customer table gets a row; per-source aggregates are
 single conditional group-bys keyed on customer_id, left-joined to it (all
 joins on the same key, so each side is shuffled once). Sources the driver
 tables lack (wishlists, subscriptions, addresses, marketing, opt-ins,
-surveys, devices per session) are not built; see README.
+surveys) are not built; see README. Session devices come from the
+`sessions` stand-in view.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ MISSING_PAYMENT_DIVERSITY = 1
 MISSING_REVIEW_RATING = 3.0
 MISSING_DAY_OF_WEEK = 3
 MISSING_MONTH = 6
+MISSING_DEVICE = 1  # desktop
 # Stand-in encodings (driver data has segments and signup sources, not tiers).
 TIER_CODES = {"New": 1, "Regular": 2, "VIP": 3}
 REFERRAL_CODES = {"Organic": 1, "Paid": 2, "Referral": 5}
@@ -210,18 +212,39 @@ def purchase_trend_slope(tx: DataFrame, as_of: str, days: int = 30) -> DataFrame
         .agg((F.sum(x - F.lit(xbar)) / F.lit(sxx)).alias("trend_slope"))
 
 
+def mode_of(code: str, count: str, radix: int):
+    """Aggregate: the code with the largest count, ties -> smallest code, for
+    integer codes in [0, radix). Count and code are packed into one long
+    (count * radix + radix - 1 - code), so the mode is a plain `max` and the
+    aggregation stays hash-based (no sort of the input)."""
+    packed = F.col(count).cast("bigint") * radix + (radix - 1 - F.col(code).cast("bigint"))
+    return F.lit(radix - 1) - F.max(packed) % radix
+
+
 def activity_modes(events: DataFrame, tx: DataFrame) -> DataFrame:
     """Most frequent event hour and order weekday per customer (ties ->
     smallest). Counts are per (customer, hour) first, so no group is collected."""
     h = events.groupBy("customer_id", F.hour("event_timestamp").alias("hour")).count() \
-        .groupBy("customer_id").agg(F.min_by("hour", F.struct(-F.col("count"), F.col("hour"))).alias("peak_hour"))
+        .groupBy("customer_id").agg(mode_of("hour", "count", 32).alias("peak_hour"))
     d = tx.groupBy("customer_id", F.weekday("order_date").alias("dow")).count() \
-        .groupBy("customer_id").agg(F.min_by("dow", F.struct(-F.col("count"), F.col("dow"))).alias("peak_dow"))
+        .groupBy("customer_id").agg(mode_of("dow", "count", 8).alias("peak_dow"))
     return h.join(d, "customer_id", "full").select(
         as_long("customer_id").alias("customer_id"), as_long("peak_hour").alias("peak_activity_hour"),
         as_long("peak_dow").alias("peak_purchase_day_of_week"))
 
 
+def primary_device(customers: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Most frequent session device code per customer (ties -> smallest
+    code), MISSING_DEVICE without sessions. Sessions are counted per
+    (customer, device) first (map-side combine), so a customer with a third
+    of all sessions is at most 4 rows when its mode is taken."""
+    per = sessions.groupBy("customer_id", "device_code").agg(F.count(F.lit(1)).alias("n"))
+    mode = per.groupBy("customer_id").agg(mode_of("device_code", "n", 8).alias("_dev"))
+    return customers.select("customer_id").join(mode, "customer_id", "left").select(
+        as_long("customer_id").alias("customer_id"),
+        as_long(F.coalesce("_dev", F.lit(MISSING_DEVICE))).alias("device_type_primary"))
+
+
 def category_affinity(tx: DataFrame, lines: DataFrame) -> DataFrame:
     """Share of a customer's order lines per product category."""
     j = tx.select("customer_id", "transaction_id").join(lines, F.col("transaction_id") == F.col("l_orderkey"))

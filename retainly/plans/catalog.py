@@ -219,6 +219,17 @@ def q_activity_modes(t):
     return K.activity_modes(V.behavior_events(t), V.transactions(t, lines=False))
 
 
+@register("primary_device", "C51", oracle("""
+WITH per AS (SELECT customer_id, device_code, COUNT(*) AS n FROM sessions GROUP BY 1, 2),
+m AS (SELECT customer_id, device_code FROM
+        (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY n DESC, device_code) AS rn FROM per)
+      WHERE rn = 1)
+SELECT CAST(c.customer_id AS BIGINT) AS customer_id, CAST(COALESCE(m.device_code, 1) AS BIGINT) AS device_type_primary
+FROM customers c LEFT JOIN m ON m.customer_id = c.customer_id""", ["customers", "sessions"]))
+def q_primary_device(t):
+    return K.primary_device(V.customers(t), V.sessions(t))
+
+
 @register("category_affinity", "C59", oracle("""
 WITH j AS (SELECT t.customer_id, p.p_type FROM transactions t JOIN lineitem l ON l.l_orderkey = t.transaction_id
            JOIN part p ON p.p_partkey = l.l_partkey),

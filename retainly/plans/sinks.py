@@ -46,6 +46,22 @@ def q_json_events(t):
     return flat.select("topic", "event_id", "customer_id", "event_type", "session_id", "value", "`props.k`")
 
 
+@register("json_events_window", "S4 S5", oracle("""
+SELECT CAST(b.event_timestamp AS VARCHAR) AS timestamp, CAST(b.event_id AS BIGINT) AS event_id,
+  CAST(b.customer_id AS BIGINT) AS customer_id, b.event_type, b.value,
+  CAST(json_extract(ev.props, '$.k') AS BIGINT) AS "props.k"
+FROM behavior_events b JOIN events ev ON ev.event_id = b.event_id
+WHERE b.event_timestamp >= TIMESTAMP '2024-01-10 00:00:00'
+  AND b.event_timestamp < TIMESTAMP '2024-01-10 00:00:00' + INTERVAL 604800 SECOND""", ["behavior_events"]))
+def q_json_window(t):
+    path = scratch_path(t.spark, "landed-messages")
+    _messages(t).write.parquet(path)
+    raw = IO.read_message_window(t.spark, path, "2024-01-10 00:00:00", 7 * 24 * 3600)
+    flat = IO.decode_json(raw, MESSAGE_SCHEMA, keep=("timestamp",))
+    return flat.select(F.col("timestamp").cast("timestamp_ntz").cast("string").alias("timestamp"),
+                       "event_id", "customer_id", "event_type", "value", "`props.k`")
+
+
 @register("sink_roundtrip", "S6 S8 S10 S11 S19 S20 S21 S22", oracle("""
 SELECT 'csv' AS artifact, CAST(COUNT(*) AS BIGINT) AS rows FROM transactions
 UNION ALL SELECT 'parquet', CAST(COUNT(*) AS BIGINT) FROM transactions

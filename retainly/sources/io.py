@@ -216,3 +216,14 @@ def read_kafka_stream(spark: SparkSession, **kw) -> DataFrame:
 def read_kafka_batch(spark: SparkSession, **kw) -> DataFrame:
     """Time-bounded batch read of the topics."""
     return spark.read.format("kafka").options(**kafka_options(**kw)).load()
+
+
+def read_message_window(spark: SparkSession, path: str, start: str, duration_seconds: int) -> DataFrame:
+    """S4 over landed Kafka records (topic, timestamp, value): the records of
+    [start, start + duration), the bounds `startingTimestamp` /
+    `endingTimestamp` give a batch Kafka read. The bound is a filter on the
+    record timestamp, pushed into the parquet scan."""
+    lo = F.lit(start).cast("timestamp")
+    hi = lo + F.make_dt_interval(secs=F.lit(duration_seconds))
+    raw = spark.read.parquet(path)
+    return raw.filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))

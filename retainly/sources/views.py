@@ -99,6 +99,21 @@ def behavior_events(t: Tables) -> DataFrame:
         F.col("ts").alias("event_timestamp"), "value")
 
 
+def sessions(t: Tables) -> DataFrame:
+    """Analytics sessions (customer, session_id, device_code): a session is a
+    customer's events of one day; its device is a stand-in coded 1..4
+    (Desktop, Mobile iOS, Mobile Android, Tablet) from the `props.k` of the
+    session's first event (ties by event_id). One partial aggregation keyed
+    on (customer, day)."""
+    e = t.events
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    first = F.min_by(k, F.struct("ts", "event_id"))
+    return (e.groupBy(F.col("user_id").alias("customer_id"), F.to_date("ts").alias("day"))
+            .agg((1 + first % 4).alias("device_code"))
+            .select("customer_id", F.concat(F.col("customer_id").cast("string"), F.lit("-"),
+                                            F.col("day").cast("string")).alias("session_id"), "device_code"))
+
+
 def support_tickets(t: Tables) -> DataFrame:
     e = t.events.filter(F.col("event_type") == "error")
     return e.select(F.col("event_id").alias("ticket_id"), F.col("user_id").alias("customer_id"),
@@ -165,6 +180,13 @@ SELECT event_id, user_id AS customer_id,
   CONCAT(CAST(user_id AS VARCHAR(20)), '-', CAST(CAST(ts AS DATE) AS VARCHAR(20))) AS session_id,
   ts AS event_timestamp, value
 FROM events""",
+    "sessions": """
+SELECT customer_id, CONCAT(CAST(customer_id AS VARCHAR(20)), '-', CAST(day AS VARCHAR(20))) AS session_id,
+  1 + k % 4 AS device_code
+FROM (SELECT user_id AS customer_id, CAST(ts AS DATE) AS day,
+        CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+        ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn
+      FROM events) WHERE rn = 1""",
     "support_tickets": """
 SELECT event_id AS ticket_id, user_id AS customer_id, ts AS created_date, value AS resolution_hours, CAST(event_id % 101 AS DOUBLE) / 100 AS sentiment_score FROM events WHERE event_type = 'error'""",
     "reviews": """
