@@ -30,10 +30,12 @@ def _long(row: DataFrame, specs) -> DataFrame:
 
 
 def integrity_report(df: DataFrame, required=()) -> DataFrame:
-    """Rows, columns, null count / % per column, duplicate
-    rows count / %, min / max of timestamp columns (epoch seconds), and
-    presence of required columns. Output: check, column_name, measure, value."""
+    """Rows, columns, null count / % per column, the
+    column type with its count of typed (non-null) values, duplicate rows
+    count / %, min / max of timestamp columns (epoch seconds), and presence
+    of required columns. Output: check, column_name, measure, value."""
     cols = df.columns
+    types = dict(column_types(df))
     ts_cols = [c for c, t in df.dtypes if t.startswith("timestamp") or t == "date"]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(cols)]
@@ -51,6 +53,8 @@ def integrity_report(df: DataFrame, required=()) -> DataFrame:
              ("duplicates", "*", "count", "_dups"), ("duplicates", "*", "pct", "_dpct")]
     for i, c in enumerate(cols):
         specs += [("nulls", c, "count", f"_null_{i}"), ("nulls", c, "pct", f"_pct_{i}")]
+        row = row.withColumn(f"_typed_{i}", F.col("_rows") - F.col(f"_null_{i}"))
+        specs.append(("types", c, types[c], f"_typed_{i}"))
         if c in ts_cols:
             specs += [("date_range", c, "min", f"_min_{i}"), ("date_range", c, "max", f"_max_{i}")]
     for r in required:

@@ -164,12 +164,19 @@ def q_near_dups(t):
                     F.col("transaction_date").cast("string").alias("transaction_date"))
 
 
+# DuckDB type names -> Spark's simple type strings (the V12 rows name Spark types).
+SPARK_TYPE = ("CASE {t} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+              "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower({t}) END")
+
+
 def _integrity_sql():
     nulls = []
     for c in LI_COLS:
         nulls.append(f"SELECT 'nulls' AS check, '{c}' AS column_name, 'count' AS measure, "
                      f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) AS value FROM d")
         nulls.append(f"SELECT 'nulls', '{c}', 'pct', ROUND(COUNT(*) FILTER (WHERE {c} IS NULL) / COUNT(*) * 100, 6) FROM d")
+        nulls.append(f"SELECT 'types', '{c}', {SPARK_TYPE.format(t=f'ANY_VALUE(typeof({c}))')}, "
+                     f"CAST(COUNT({c}) AS DOUBLE) FROM d")
     cols = ", ".join(LI_COLS)
     return "\n UNION ALL ".join([
         "SELECT 'table' AS check, '*' AS column_name, 'rows' AS measure, CAST(COUNT(*) AS DOUBLE) AS value FROM d",
@@ -183,7 +190,7 @@ def _integrity_sql():
         "SELECT 'schema', 'l_comment', 'present', 0.0"])
 
 
-@register("integrity_report", "V1 V10 V11 V13", oracle(_integrity_sql(), d=D.DIRTY_LINEITEM_SQL))
+@register("integrity_report", "V1 V10 V11 V12 V13", oracle(_integrity_sql(), d=D.DIRTY_LINEITEM_SQL))
 def q_integrity(t):
     return Q.integrity_report(D.dirty_lineitem(t), required=["l_orderkey", "l_shipdate", "l_comment"])
 
