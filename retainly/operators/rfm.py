@@ -37,7 +37,12 @@ def rfm_scores(tx: DataFrame, as_of: str) -> DataFrame:
     scores and rfm_score = 100 r + 10 f + m."""
     # one row per customer, read by five ordered passes: computed once and
     # checkpointed to shared storage instead of re-aggregating the orders
-    raw = materialize(rfm_raw(tx, as_of))
+    return rfm_from_raw(materialize(rfm_raw(tx, as_of)))
+
+
+def rfm_from_raw(raw: DataFrame) -> DataFrame:
+    """rfm_scores over a per-customer (customer_id, recency, frequency,
+    monetary) table that is already materialized (it is read several times)."""
     # cut points of every ordered pass in ONE approxQuantile pass
     sp = column_splits(raw, ["recency", "monetary", "frequency", "customer_id"])
     q = exact_quantiles(unpivot(raw, [], ["recency", "monetary"]), "value", QUINTILES, ["feature"],

@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..operators import score as SC
 from ..operators import train as TR
 from ..operators.customer import behavioral_features, engagement_features, profile_features
-from ..operators.rfm import rfm_scores
+from ..operators.rfm import rfm_from_raw, rfm_scores
 from ..operators.transactions import transaction_features
 from ..session import materialize, scratch_path
 from ..sources import views as V
@@ -41,8 +41,13 @@ ENG_COLS = ["support_tickets_count", "avg_ticket_resolution_hours", "avg_support
 
 def _feature_table(t):
     prof = profile_features(V.customers(t), OA)
-    tf = transaction_features(V.transactions(t), OA)
-    rf = rfm_scores(V.transactions(t, lines=False), OA)
+    # one pass over orders and lines per customer, checkpointed: read by the
+    # join below and by the RFM ordered passes (recency, frequency and
+    # monetary are the same per-customer aggregates)
+    tf = materialize(transaction_features(V.transactions(t), OA))
+    rf = rfm_from_raw(tf.select("customer_id", F.col("days_since_last_purchase").alias("recency"),
+                                F.col("total_orders").alias("frequency"),
+                                F.col("lifetime_purchase_value").alias("monetary")))
     bh = behavioral_features(V.behavior_events(t), EA)
     return DS.left_join_all(prof, [tf, rf, bh])
 
