@@ -40,7 +40,7 @@ def ks_pvalue(d, n, m, terms: int = 100):
 
 
 def ks_two_sample(ref: DataFrame, cur: DataFrame, cols, threshold: float = 0.15,
-                  n_buckets: int = 64) -> DataFrame:
+                  n_buckets: int | None = None) -> DataFrame:
     """M2-M3: D = max |F_ref - F_cur| over all observed values, per feature,
     exact (ordered prefix counts of both samples), p-value, drift = D > t."""
     long = _sides(ref, cur, cols).select(

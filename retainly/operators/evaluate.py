@@ -63,7 +63,7 @@ def threshold_metrics(df: DataFrame, label: str, score: str, thresholds) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def curve_metrics(df: DataFrame, label: str, score: str, keys=(), n_buckets: int = 64) -> DataFrame:
+def curve_metrics(df: DataFrame, label: str, score: str, keys=(), n_buckets: int | None = None) -> DataFrame:
     """Positives, negatives, roc_auc, pr_auc, gini per key (0 when a
     class is absent)."""
     keys = list(keys)

@@ -13,7 +13,9 @@ every row into one task, so instead:
 4. a window partitioned by (keys, bucket) adds the within-bucket running sum.
 
 Each window task holds one bucket: about N/buckets distinct values, never a
-whole group.
+whole group. The bucket count follows the cluster: by default the session's
+`spark.sql.shuffle.partitions` (at least 64, at most 4096), so buckets stay
+about one shuffle partition in size as the data and the cluster grow.
 """
 
 from __future__ import annotations
@@ -24,15 +26,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+MAX_BUCKETS = 4096
+CASE_TREE_MAX = 64  # below this many splits a CASE tree (codegen) is cheapest
 
 
-def quantile_splits(df: DataFrame, value, n_buckets: int = DEFAULT_BUCKETS,
+def default_buckets(spark) -> int:
+    """Buckets per ordered pass: the session's shuffle partitions, clamped to
+    [DEFAULT_BUCKETS, MAX_BUCKETS] (cut points are a bounded driver list)."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", str(DEFAULT_BUCKETS)))
+    except ValueError:
+        n = DEFAULT_BUCKETS
+    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, n))
+
+
+def _nb(df: DataFrame, n_buckets: int | None) -> int:
+    return n_buckets if n_buckets is not None else default_buckets(df.sparkSession)
+
+
+def quantile_splits(df: DataFrame, value, n_buckets: int | None = None,
                     rel_error: float | None = None) -> list[float]:
     """Strictly increasing cut points (row-weighted approximate quantiles).
 
     Row weighting bounds each bucket by ~N/n_buckets rows, hence also by that
     many distinct values. The list is bounded by n_buckets - 1 numbers.
     """
+    n_buckets = _nb(df, n_buckets)
     if n_buckets <= 1:
         return []
     v = F.col(value) if isinstance(value, str) else value
@@ -42,32 +61,69 @@ def quantile_splits(df: DataFrame, value, n_buckets: int = DEFAULT_BUCKETS,
     return sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
 
 
-def bucket_expr(v, splits: list[float], lo: int = 0, hi: int | None = None):
-    """Index of the bucket holding v: the number of splits <= v (binary CASE tree)."""
+def _case_tree(v, splits: list[float], lo: int = 0, hi: int | None = None):
+    """Number of splits <= v as a binary CASE tree (compact codegen for few splits)."""
     if hi is None:
         hi = len(splits)
     if lo >= hi:
         return F.lit(lo)
     mid = (lo + hi + 1) // 2
-    return F.when(v >= F.lit(splits[mid - 1]), bucket_expr(v, splits, mid, hi)) \
-        .otherwise(bucket_expr(v, splits, lo, mid - 1))
+    return F.when(v >= F.lit(splits[mid - 1]), _case_tree(v, splits, mid, hi)) \
+        .otherwise(_case_tree(v, splits, lo, mid - 1))
+
+
+def _binary_search(v, arr, max_len: int):
+    """Number of elements of the sorted array column `arr` that are <= v:
+    log2(max_len) halving steps over a literal array, so the expression size
+    does not grow with the number of splits (a CASE tree of thousands of
+    branches falls out of codegen)."""
+    steps, s = [], 1
+    while s * 2 <= max_len:
+        s *= 2
+    while s >= 1:
+        steps.append(s)
+        s //= 2
+    n = F.size(arr)
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0),
+                       lambda pos, st: F.when((pos + st <= n) & (v >= F.get(arr, pos + st - 1)), pos + st)
+                       .otherwise(pos))
+
+
+def _split_array(splits):
+    return F.array(*[F.lit(float(x)) for x in splits]).cast("array<double>")
+
+
+def bucket_expr(v, splits: list[float]):
+    """Index of the bucket holding v: the number of splits <= v."""
+    if len(splits) < CASE_TREE_MAX:
+        return _case_tree(v, splits)
+    return _binary_search(v, _split_array(splits), len(splits))
 
 
 def keyed_bucket_expr(v, splits, keys):
     """`splits` is a list (shared) or {key value: list} for one key column."""
     if not isinstance(splits, dict):
         return bucket_expr(v, splits)
+    if not splits:
+        return F.lit(0)
     k = F.col(keys[0])
+    longest = max(len(sp) for sp in splits.values())
+    if longest >= CASE_TREE_MAX:
+        # per-key split arrays in one literal map; unknown keys get bucket 0
+        m = F.create_map(*[x for kv, sp in splits.items() for x in (F.lit(kv), _split_array(sp))])
+        arr = F.coalesce(F.try_element_at(m, k), F.array().cast("array<double>"))
+        return _binary_search(v, arr, max(longest, 1))
     out = None
     for kv, sp in splits.items():
-        b = bucket_expr(v, sp)
+        b = _case_tree(v, sp)
         out = F.when(k == F.lit(kv), b) if out is None else out.when(k == F.lit(kv), b)
-    return out.otherwise(F.lit(0)) if out is not None else F.lit(0)
+    return out.otherwise(F.lit(0))
 
 
-def column_splits(df: DataFrame, cols, n_buckets: int = DEFAULT_BUCKETS) -> dict:
+def column_splits(df: DataFrame, cols, n_buckets: int | None = None) -> dict:
     """Per-column cut points for many columns in ONE approxQuantile pass."""
     cols = list(cols)
+    n_buckets = _nb(df, n_buckets)
     if not cols or n_buckets <= 1:
         return {c: [] for c in cols}
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -85,7 +141,7 @@ def unpivot(df: DataFrame, ids, cols, name: str = "feature", value: str = "value
 
 
 def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
-                   n_buckets: int = DEFAULT_BUCKETS, collapse: bool = True,
+                   n_buckets: int | None = None, collapse: bool = True,
                    small_keys: bool = False) -> DataFrame:
     """One row per distinct (keys, value) with, for every measure m:
     `m` (sum at this value), `m_below` (sum over strictly smaller values within
@@ -121,7 +177,7 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
                     *[F.col(f"{m}_total") for m in measures])
 
 
-def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int = DEFAULT_BUCKETS,
+def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int | None = None,
                value_splits=None, tie_splits=None) -> DataFrame:
     """Row-level `rank(method='first')`: 1 + rows with a smaller value + rows
     with an equal value and a smaller `tie` column (unique). Adds `_rank`, `_n`.
@@ -140,7 +196,7 @@ def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int = DE
             .withColumn("_rank", F.col("_vb") + F.col("_tb") + 1).drop("_vb", "_tb"))
 
 
-def value_ranks(df: DataFrame, value: str, keys=(), n_buckets: int = DEFAULT_BUCKETS,
+def value_ranks(df: DataFrame, value: str, keys=(), n_buckets: int | None = None,
                 small_keys: bool = False, splits=None) -> DataFrame:
     """Per distinct (keys, value): `_below` (rows strictly smaller), `_cnt`, `_n`.
     min-rank = _below + 1; percent_rank = _below / (_n - 1)."""
@@ -152,7 +208,7 @@ def value_ranks(df: DataFrame, value: str, keys=(), n_buckets: int = DEFAULT_BUC
                 F.col("_one_total").alias("_n"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, keys=(), n_buckets: int = DEFAULT_BUCKETS,
+def exact_quantiles(df: DataFrame, value: str, probs, keys=(), n_buckets: int | None = None,
                     small_keys: bool = False, splits=None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / `percentile` / DuckDB
     `quantile_cont` semantics), distributed: the order statistics at ranks
@@ -182,7 +238,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(), n_buckets: int =
     return out
 
 
-def percent_ranks(df: DataFrame, key: str, cols, n_buckets: int = DEFAULT_BUCKETS, suffix: str = "_pr") -> DataFrame:
+def percent_ranks(df: DataFrame, key: str, cols, n_buckets: int | None = None, suffix: str = "_pr") -> DataFrame:
     """SQL percent_rank of several columns over all rows at once: one cut-point
     pass for all columns, one keyed ordered pass over the unpivoted values,
     one regroup per row key. Adds `<col><suffix>` (NULL for NULL values)."""
@@ -197,7 +253,7 @@ def percent_ranks(df: DataFrame, key: str, cols, n_buckets: int = DEFAULT_BUCKET
     return df.join(wide, key, "left")
 
 
-def forward_fill(df: DataFrame, cols, key, order, n_chunks: int = DEFAULT_BUCKETS,
+def forward_fill(df: DataFrame, cols, key, order, n_chunks: int | None = None,
                  include_current: bool = True) -> DataFrame:
     """Last non-null value at or before each row, per key, in `order` order
     (`include_current=False`: strictly before, i.e. a null-skipping lag).

@@ -155,7 +155,7 @@ def zscore_outlier_flag(df: DataFrame, cols, threshold: float = 3.0) -> DataFram
     return df.crossJoin(F.broadcast(stats)).select(*df.columns, anyz.cast("bigint").alias("is_outlier"))
 
 
-def feature_statistics(df: DataFrame, cols, n_buckets: int = 64) -> DataFrame:
+def feature_statistics(df: DataFrame, cols, n_buckets: int | None = None) -> DataFrame:
     """Per column count, nulls, mean, sample std, min, exact quartiles,
     max. Quartiles for all columns come from one keyed ordered pass."""
     long = unpivot(df, [], cols)

@@ -98,3 +98,23 @@ def test_plan_has_no_single_task_window_over_rows(data):
     assert plan.count("SinglePartition") <= 1
     from retainly.operators.ordered import quantile_splits
     assert len(quantile_splits(df, "v", 64)) <= 63
+
+
+def test_many_buckets_use_binary_search(data):
+    """Above CASE_TREE_MAX splits the bucket index comes from a binary search
+    over a literal split array (shared and per-key); results stay exact."""
+    from retainly.operators.ordered import CASE_TREE_MAX, bucket_expr, keyed_bucket_expr
+    pdf, df = data
+    d = df.withColumn("one", F.lit(1).cast("bigint"))
+    nb = 4 * CASE_TREE_MAX
+    got = ordered_prefix(d, "v", ["one"], ["k"], n_buckets=nb).toPandas().sort_values(["k", "v"])
+    exp = pdf.groupby(["k", "v"]).size().rename("one").reset_index().sort_values(["k", "v"])
+    exp["below"] = exp.groupby("k").one.cumsum() - exp.one
+    assert (got.one_below.values == exp.below.values).all()
+    splits = [float(x) / 3 for x in range(1, 3 * CASE_TREE_MAX)]
+    keyed = {0: splits, 1: splits[::2], 2: splits[:5]}
+    out = df.select("k", "v", bucket_expr(F.col("v"), splits).alias("b"),
+                    keyed_bucket_expr(F.col("v"), keyed, ["k"]).alias("kb")).toPandas()
+    assert (out.b.values == np.searchsorted(splits, out.v.values, side="right")).all()
+    exp_kb = [np.searchsorted(keyed[k], v, side="right") for k, v in zip(out.k, out.v)]
+    assert (out.kb.values == np.array(exp_kb)).all()
