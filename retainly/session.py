@@ -60,6 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines cannot read a driver-local folder
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="retainly-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
