@@ -81,3 +81,45 @@ def test_engagement_full_outer(spark):
     assert set(out) == {1, 2}
     assert out[1]["support_tickets_count"] == 2 and out[1]["avg_ticket_resolution_hours"] == 3.0
     assert out[2]["reviews_count"] == 1 and out[2]["support_tickets_count"] == 0
+
+
+def test_primary_device_mode_ties_and_missing(spark):
+    """Most frequent session device, ties -> smallest code, no sessions -> 1."""
+    from retainly.operators.catalog import primary_device
+    customers = spark.createDataFrame([(1,), (2,), (3,), (4,)], "customer_id long")
+    sessions = spark.createDataFrame(
+        [(1, "1-a", 3), (1, "1-b", 3), (1, "1-c", 2),   # 3 wins on count
+         (2, "2-a", 4), (2, "2-b", 2),                   # tie 2 / 4 -> 2
+         (3, "3-a", 4)],                                 # single session
+        "customer_id long, session_id string, device_code int")
+    got = {r["customer_id"]: r["device_type_primary"] for r in primary_device(customers, sessions).collect()}
+    assert got == {1: 3, 2: 2, 3: 4, 4: 1}
+
+
+def test_sessions_view_takes_first_event_device(spark):
+    """A session is a customer's events of one day; its device comes from the
+    first event's props.k (ties on time by event_id)."""
+    from retainly.sources.views import sessions
+
+    class T:
+        pass
+
+    t = T()
+    t.events = spark.createDataFrame(
+        [(10, dt.datetime(2024, 1, 2, 9), 7, '{"k": 6}'), (11, dt.datetime(2024, 1, 2, 8), 7, '{"k": 5}'),
+         (12, dt.datetime(2024, 1, 3, 8), 7, '{"k": 8}'), (13, dt.datetime(2024, 1, 3, 8), 7, '{"k": 1}')],
+        "event_id long, ts timestamp_ntz, user_id long, props string")
+    got = {r["session_id"]: r["device_code"] for r in sessions(t).collect()}
+    assert got == {"7-2024-01-02": 1 + 5 % 4, "7-2024-01-03": 1 + 8 % 4}
+
+
+def test_message_window_is_half_open(spark, tmp_path):
+    """Records of [start, start + duration) only."""
+    from retainly.sources.io import read_message_window
+    rows = [("t", dt.datetime(2024, 1, 1, 0, 0, 0), b"a"), ("t", dt.datetime(2024, 1, 1, 0, 0, 59), b"b"),
+            ("t", dt.datetime(2024, 1, 1, 0, 1, 0), b"c"), ("t", dt.datetime(2023, 12, 31, 23, 59, 59), b"d")]
+    spark.createDataFrame(rows, "topic string, timestamp timestamp, value binary") \
+        .write.parquet(str(tmp_path / "m"))
+    got = sorted(bytes(r["value"]) for r in read_message_window(spark, str(tmp_path / "m"),
+                                                                 "2024-01-01 00:00:00", 60).collect())
+    assert got == [b"a", b"b"]
