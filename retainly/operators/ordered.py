@@ -253,6 +253,23 @@ def percent_ranks(df: DataFrame, key: str, cols, n_buckets: int | None = None, s
     return df.join(wide, key, "left")
 
 
+def _order_number(df: DataFrame, c: str):
+    """A numeric image of an order column (timestamps as epoch microseconds)."""
+    x = F.col(c)
+    return F.unix_micros(x.cast("timestamp")).cast("double") \
+        if dict(df.dtypes)[c].startswith("timestamp") else x.cast("double")
+
+
+def _raw_quantiles(df: DataFrame, value: str, n_buckets: int) -> list[float]:
+    """Row-weighted approximate quantiles with repeats kept (a repeated value
+    holds at least 1/n_buckets of the rows)."""
+    if n_buckets <= 1:
+        return []
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = df.select(F.col(value).cast("double").alias("_q")).approxQuantile("_q", probs, 1.0 / (4 * n_buckets))
+    return [float(q) for q in qs if q is not None and not math.isnan(q)]
+
+
 def forward_fill(df: DataFrame, cols, key, order, n_chunks: int | None = None,
                  include_current: bool = True) -> DataFrame:
     """Last non-null value at or before each row, per key, in `order` order
@@ -262,15 +279,29 @@ def forward_fill(df: DataFrame, cols, key, order, n_chunks: int | None = None,
     column), so a key holding a third of all rows is spread over n_chunks
     window tasks; the last value of earlier chunks is carried over through a
     per-(key, chunk) table. `order`: list of columns, unique per key.
+
+    A first-order value holding at least 1/n_chunks of the rows (it repeats
+    in the quantile list: e.g. a batch of events with one timestamp) gets a
+    chunk of its own, sub-chunked by quantile splits of the second order
+    column, so chunk order still follows the full order and a hot tie is
+    spread over tasks too.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
-    first = F.col(order[0])
-    num = F.unix_micros(first.cast("timestamp")).cast("double") \
-        if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
-    d = df.withColumn("_ord_num", num)
-    splits = quantile_splits(d, "_ord_num", n_chunks)
-    d = d.withColumn("_chunk", bucket_expr(F.col("_ord_num"), splits)).drop("_ord_num")
+    n_chunks = _nb(df, n_chunks)
+    d = df.withColumn("_ord_num", _order_number(df, order[0]))
+    raw = _raw_quantiles(d, "_ord_num", n_chunks)
+    heavy = sorted({q for q in raw if raw.count(q) > 1})
+    splits = sorted(set(raw) | {math.nextafter(q, math.inf) for q in heavy})
+    chunk = bucket_expr(F.col("_ord_num"), splits).cast("bigint")
+    if heavy and len(order) > 1:
+        in_heavy = F.col("_ord_num").isin(*[F.lit(q) for q in heavy])
+        tie = d.filter(in_heavy).withColumn("_tie_num", _order_number(df, order[1]))
+        tie_splits = quantile_splits(tie, "_tie_num", n_chunks)
+        width = len(tie_splits) + 1
+        sub = F.when(in_heavy, bucket_expr(_order_number(df, order[1]), tie_splits)).otherwise(F.lit(0))
+        chunk = chunk * width + sub
+    d = d.withColumn("_chunk", chunk).drop("_ord_num")
     okey = F.struct(*order)
     w_loc = Window.partitionBy(*keys, "_chunk").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)

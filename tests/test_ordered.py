@@ -118,3 +118,31 @@ def test_many_buckets_use_binary_search(data):
     assert (out.b.values == np.searchsorted(splits, out.v.values, side="right")).all()
     exp_kb = [np.searchsorted(keyed[k], v, side="right") for k, v in zip(out.k, out.v)]
     assert (out.kb.values == np.array(exp_kb)).all()
+
+
+def test_forward_fill_hot_tied_timestamp(spark):
+    """A key whose rows mostly share ONE timestamp (ordered by id within it):
+    the tie gets its own chunk, sub-chunked by id; the fill still equals a
+    sequential pandas ffill / shift over (ts, id)."""
+    import datetime as dt
+    from retainly.operators.ordered import forward_fill
+    rng = np.random.default_rng(3)
+    n = 2000
+    base = dt.datetime(2024, 1, 1)
+    ts = [base + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 5000, n)]
+    key = rng.integers(0, 4, n)
+    hot = np.arange(n) < n // 2          # half of all rows: key 0, one instant
+    key[hot] = 0
+    ts = [base + dt.timedelta(minutes=2500) if h else t for h, t in zip(hot, ts)]
+    val = np.where(rng.random(n) < 0.4, np.nan, rng.integers(0, 100, n).astype(float))
+    pdf = pd.DataFrame({"id": np.arange(n), "k": key, "ts": ts, "x": val})
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")) \
+        .withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
+    got = forward_fill(df, ["x"], "k", ["ts", "id"], n_chunks=8).toPandas().set_index("id").sort_index()
+    lag = forward_fill(df, ["x"], "k", ["ts", "id"], n_chunks=8, include_current=False) \
+        .toPandas().set_index("id").sort_index()
+    s = pdf.sort_values(["k", "ts", "id"])
+    exp = s.groupby("k").x.ffill()
+    exp_prev = s.assign(f=exp).groupby("k").f.shift(1)
+    assert np.allclose(got.x.loc[exp.index].values, exp.values, equal_nan=True)
+    assert np.allclose(lag.prev_x.loc[exp_prev.index].values, exp_prev.values, equal_nan=True)
