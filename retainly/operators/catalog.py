@@ -272,14 +272,15 @@ def category_affinity(tx: DataFrame, lines: DataFrame) -> DataFrame:
 
 def churn_labels(tx: DataFrame, cut: str, lookback_days: int = 366, horizon_days: int = 30) -> DataFrame:
     """Customers active in [cut - lookback, cut) get churn = 1 when they
-    have no order in [cut, cut + horizon), else 0: one left join of the two
-    distinct customer sets (both sides hash-partitioned on customer_id)."""
+    have no order in [cut, cut + horizon), else 0. One scan of the orders in
+    [cut - lookback, cut + horizon) (the range reaches the parquet scan) and
+    one partially-aggregated pass per customer computes both flags — no
+    distinct sets, no join."""
     cut_c = F.lit(cut).cast("timestamp_ntz")
     lo = cut_c - F.expr(f"INTERVAL {lookback_days} DAYS")
     hi = cut_c + F.expr(f"INTERVAL {horizon_days} DAYS")
-    active = tx.filter((F.col("order_date") >= lo) & (F.col("order_date") < cut_c)).select("customer_id").distinct()
-    future = tx.filter((F.col("order_date") >= cut_c) & (F.col("order_date") < hi)).select("customer_id").distinct() \
-        .withColumn("_back", F.lit(True))
-    return active.join(future, "customer_id", "left").select(
-        as_long("customer_id").alias("customer_id"),
-        as_long(F.when(F.col("_back").isNull(), 1).otherwise(0)).alias("churn"))
+    d = F.col("order_date")
+    g = tx.filter((d >= lo) & (d < hi)).groupBy("customer_id").agg(
+        F.max(d < cut_c).alias("_active"), F.max(d >= cut_c).alias("_back"))
+    return g.filter(F.col("_active")).select(
+        as_long("customer_id").alias("customer_id"), as_long(F.when(F.col("_back"), 0).otherwise(1)).alias("churn"))
