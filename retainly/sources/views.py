@@ -130,18 +130,11 @@ def reviews(t: Tables) -> DataFrame:
 
 
 def predictions(t: Tables) -> DataFrame:
-    o = t.orders.select("o_custkey", "o_orderdate")
-    active = (o.filter((F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-                       & (F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")))
-              .select("o_custkey").distinct())
-    future = (o.filter((F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-                       & (F.col("o_orderdate") < F.lit("2001-01-31").cast("timestamp_ntz")))
-              .select(F.col("o_custkey").alias("f_custkey")).distinct())
-    c = (t.customer.join(active, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-         .join(future, F.col("f_custkey") == F.col("c_custkey"), "left"))
-    return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"),
-                    (((F.col("c_custkey") * 37) % 101).cast("double") / 100).alias("churn_probability"),
-                    F.when(F.col("f_custkey").isNull(), 1).otherwise(0).alias("actual_churn"))
+    """Scores of customers active in 2000; churn = no order in January 2001.
+    Both flags come from one scan of the orders in [2000-01-01, 2001-01-31)
+    aggregated per customer (partial aggregation), then one join with the
+    customer table."""
+    return predictions_at(t, "2001-01-01 00:00:00", lookback="1 YEAR")
 
 
 # ---------------------------------------------------------------------------
@@ -210,20 +203,20 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def predictions_at(t: Tables, cut: str) -> DataFrame:
+def predictions_at(t: Tables, cut: str, lookback: str = "1 YEAR") -> DataFrame:
     """The `predictions` view for another observation cut: customers active in
-    the year before `cut`, churn = no order in [cut, cut + 30 days)."""
-    o = t.orders.select("o_custkey", "o_orderdate")
+    the year before `cut`, churn = no order in [cut, cut + 30 days). One
+    range scan of orders, one per-customer aggregation of both flags."""
     c0 = F.lit(cut).cast("timestamp_ntz")
-    active = (o.filter((F.col("o_orderdate") >= c0 - F.expr("INTERVAL 1 YEAR")) & (F.col("o_orderdate") < c0))
-              .select("o_custkey").distinct())
-    future = (o.filter((F.col("o_orderdate") >= c0) & (F.col("o_orderdate") < c0 + F.expr("INTERVAL 30 DAYS")))
-              .select(F.col("o_custkey").alias("f_custkey")).distinct())
-    c = (t.customer.join(active, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-         .join(future, F.col("f_custkey") == F.col("c_custkey"), "left"))
+    d = F.col("o_orderdate")
+    o = t.orders.select("o_custkey", "o_orderdate") \
+        .filter((d >= c0 - F.expr(f"INTERVAL {lookback}")) & (d < c0 + F.expr("INTERVAL 30 DAYS")))
+    flags = o.groupBy("o_custkey").agg(F.max(d < c0).alias("_active"), F.max(d >= c0).alias("_back")) \
+        .filter(F.col("_active"))
+    c = t.customer.join(flags, F.col("o_custkey") == F.col("c_custkey"))
     return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"),
                     (((F.col("c_custkey") * 37) % 101).cast("double") / 100).alias("churn_probability"),
-                    F.when(F.col("f_custkey").isNull(), 1).otherwise(0).alias("actual_churn"))
+                    F.when(F.col("_back"), 0).otherwise(1).alias("actual_churn"))
 
 
 def predictions_at_sql(cut: str) -> str:
