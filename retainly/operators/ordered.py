@@ -120,6 +120,22 @@ def keyed_bucket_expr(v, splits, keys):
     return out.otherwise(F.lit(0))
 
 
+def with_bucket(df: DataFrame, v, splits, out: str, keys=()) -> DataFrame:
+    """`df` plus column `out`: the bucket of v (the number of splits <= v;
+    NULL -> 0). A long shared split list goes through Spark ML's `Bucketizer`
+    (a JVM binary search, ~6x faster than the array search expression);
+    short lists use the CASE tree, per-key split maps the array search."""
+    if isinstance(splits, dict) or len(splits) < CASE_TREE_MAX:
+        return df.withColumn(out, keyed_bucket_expr(v, splits, list(keys)))
+    from pyspark.ml.feature import Bucketizer
+    inner = [x for x in splits if math.isfinite(x)]
+    tmp = f"_in_{out}"
+    d = df.withColumn(tmp, F.coalesce(v.cast("double"), F.lit(float("-inf"))))
+    bz = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol=tmp, outputCol=out,
+                    handleInvalid="keep")
+    return bz.transform(d).withColumn(out, F.col(out).cast("int")).drop(tmp)
+
+
 def column_splits(df: DataFrame, cols, n_buckets: int | None = None) -> dict:
     """Per-column cut points for many columns in ONE approxQuantile pass."""
     cols = list(cols)
@@ -160,7 +176,7 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
         g = df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
     else:
         g = df.select(*keys, value, *measures)
-    g = g.withColumn("_bucket", keyed_bucket_expr(F.col(value).cast("double"), splits, keys))
+    g = with_bucket(g, F.col(value).cast("double"), splits, "_bucket", keys)
     per = g.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_b_{m}") for m in measures])
     w_run = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*keys)
@@ -293,15 +309,17 @@ def forward_fill(df: DataFrame, cols, key, order, n_chunks: int | None = None,
     raw = _raw_quantiles(d, "_ord_num", n_chunks)
     heavy = sorted({q for q in raw if raw.count(q) > 1})
     splits = sorted(set(raw) | {math.nextafter(q, math.inf) for q in heavy})
-    chunk = bucket_expr(F.col("_ord_num"), splits).cast("bigint")
+    d = with_bucket(d, F.col("_ord_num"), splits, "_b0")
+    chunk = F.col("_b0").cast("bigint")
     if heavy and len(order) > 1:
         in_heavy = F.col("_ord_num").isin(*[F.lit(q) for q in heavy])
         tie = d.filter(in_heavy).withColumn("_tie_num", _order_number(df, order[1]))
         tie_splits = quantile_splits(tie, "_tie_num", n_chunks)
         width = len(tie_splits) + 1
-        sub = F.when(in_heavy, bucket_expr(_order_number(df, order[1]), tie_splits)).otherwise(F.lit(0))
-        chunk = chunk * width + sub
-    d = d.withColumn("_chunk", chunk).drop("_ord_num")
+        # rows outside the heavy values have a NULL tie image -> sub-chunk 0
+        d = with_bucket(d, F.when(in_heavy, _order_number(df, order[1])), tie_splits, "_b1")
+        chunk = chunk * width + F.col("_b1")
+    d = d.withColumn("_chunk", chunk).drop("_ord_num", "_b0", "_b1")
     okey = F.struct(*order)
     w_loc = Window.partitionBy(*keys, "_chunk").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)

@@ -146,3 +146,17 @@ def test_forward_fill_hot_tied_timestamp(spark):
     exp_prev = s.assign(f=exp).groupby("k").f.shift(1)
     assert np.allclose(got.x.loc[exp.index].values, exp.values, equal_nan=True)
     assert np.allclose(lag.prev_x.loc[exp_prev.index].values, exp_prev.values, equal_nan=True)
+
+
+def test_with_bucket_paths_agree(spark):
+    """Bucketizer (long shared lists), CASE tree (short) and array search give
+    the number of splits <= v; NULL -> 0."""
+    from retainly.operators.ordered import CASE_TREE_MAX, bucket_expr, with_bucket
+    vals = [None, -5.0, 0.0, 0.5, 1.0, 3.3, 99.0, 1e9]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for n in (5, 3 * CASE_TREE_MAX):
+        splits = [i / 10 for i in range(n)]
+        got = with_bucket(df, F.col("v"), splits, "b").withColumn("e", bucket_expr(F.col("v"), splits)).collect()
+        for r in got:
+            exp = 0 if r["v"] is None else int(np.searchsorted(splits, r["v"], side="right"))
+            assert r["b"] == exp and (r["v"] is None or r["e"] == exp)
