@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..operators import score as SC
 from ..operators import train as TR
 from ..operators.customer import behavioral_features, engagement_features, profile_features
-from ..operators.rfm import rfm_from_raw, rfm_scores
+from ..operators.rfm import rfm_from_raw
 from ..operators.transactions import transaction_features
 from ..session import materialize, scratch_path
 from ..sources import views as V

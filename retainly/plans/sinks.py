@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_long
 from ..operators import catalog as K
-from ..operators import drift as D
 from ..operators import monitor as M
 from ..session import scratch_path
 from ..sources import io as IO
