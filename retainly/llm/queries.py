@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, reshard
-from .common import prepare, table
+from . import bpe, cdc, decontam, fixity, hmm, lempel, ranking, reshard, simhash
+from .common import prepare, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,59 @@ def op2(spark, sf_dir):
     rows = reshard.sized(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(OLD_SHARDS)))
     return reshard.assign(rows, NEW_SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+FILE_PAGES = 256
+
+OP3_SQL = f"""
+WITH r AS (
+  SELECT page_id, page_id // {FILE_PAGES} AS file,
+    strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+      || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
+SELECT CAST(file AS BIGINT) AS file, CAST(at AS BIGINT) AS "offset", CAST(page_id AS BIGINT) AS page_id, CAST(length AS BIGINT) AS length,
+  CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'corrupt' END AS status
+FROM o WHERE page_id % 211 = 7 OR page_id % 97 = 5
+"""
+
+
+@query("op3_merkle_audit", OP3_SQL)
+def op3(spark, sf_dir):
+    """Pages as WARC files of 256 records, against a replica with damage by rule."""
+    pages = table(spark, sf_dir, "pages")
+    file = F.floor(F.col("page_id") / FILE_PAGES)
+    ours = saved(fixity.records(pages, file), "warc-records")
+    return fixity.audit(ours, fixity.damaged(ours, pages, file))
+
+
+@query("op4_hidden_markov")
+def op4(spark, sf_dir):
+    return hmm.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontaminate")
+def op5(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query("op6_quality_ranking")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ranking.classify(docs, ranking.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_chunk_dedup")
+def op7(spark, sf_dir):
+    return cdc.spans(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_groups")
+def op8(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op10_lempel_ziv")
+def op10(spark, sf_dir):
+    return lempel.edited_likeness(table(spark, sf_dir, "documents"))
