@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, decontam, fixity, hmm, lempel, ranking, reshard, simhash
+from . import bpe, cdc, decontam, fixity, hmm, lempel, ranking, reshard, simhash, suffixes
 from .common import prepare, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ def op8(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    return suffixes.kept(table(spark, sf_dir, "documents"))
+
+
 @query("op10_lempel_ziv")
 def op10(spark, sf_dir):
     return lempel.edited_likeness(table(spark, sf_dir, "documents"))
