@@ -23,26 +23,15 @@ def as_double(c, scale: int | None = RATIO_SCALE) -> Column:
     return F.round(x, scale) if scale is not None else x
 
 
-def money(c) -> Column:
-    """Money sums stay exact as decimal(18,2) until reported."""
-    return col(c).cast("decimal(18,2)")
-
-
-def safe_div(a, b, default=None) -> Column:
-    """a / b, NULL (or `default`) when b is 0 or NULL — the zero-division rule."""
-    q = F.when(col(b) != 0, col(a).cast("double") / col(b).cast("double"))
-    return q if default is None else F.coalesce(q, F.lit(default))
-
-
 def days_between(later, earlier) -> Column:
     """Whole calendar days; equals the timedelta-floor for midnight values."""
     return F.datediff(F.to_date(col(later)), F.to_date(col(earlier)))
 
 
-def floor_days(later, earlier) -> Column:
-    """Whole days of a time difference, floored (for sub-day timestamps)."""
-    secs = F.unix_timestamp(col(later).cast("timestamp")) - F.unix_timestamp(col(earlier).cast("timestamp"))
-    return F.floor(secs / 86400).cast("int")
+def not_nan(c) -> Column:
+    """A numeric value with NaN as NULL (NaN -> NULL is the read rule)."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def since(as_of, days: int) -> Column:

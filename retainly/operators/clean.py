@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import not_nan
 from ..session import materialize
 from .ordered import exact_quantiles, forward_fill
 
@@ -51,13 +52,15 @@ def fill_zero(df: DataFrame, cols) -> DataFrame:
 
 def _fill_from_stats(df: DataFrame, cols, stats: DataFrame) -> DataFrame:
     j = df.crossJoin(F.broadcast(stats))
-    return j.select(*[F.coalesce(F.col(c), F.col(f"_s_{c}")).cast(dict(df.dtypes)[c]).alias(c)
+    types = dict(df.dtypes)
+    own = {c: F.nanvl(c, F.lit(None)) if types[c] in ("double", "float") else F.col(c) for c in cols}
+    return j.select(*[F.coalesce(own[c], F.col(f"_s_{c}")).cast(types[c]).alias(c)
                       if c in cols else F.col(c) for c in df.columns])
 
 
 def fill_mean(df: DataFrame, cols) -> DataFrame:
     """All column means in ONE aggregate, broadcast back (1 row)."""
-    stats = df.agg(*[F.avg(c).alias(f"_s_{c}") for c in cols])
+    stats = df.agg(*[F.avg(not_nan(c)).alias(f"_s_{c}") for c in cols])
     return _fill_from_stats(df, cols, stats)
 
 
@@ -70,7 +73,9 @@ def fill_median(df: DataFrame, cols) -> DataFrame:
 
 def fill_max(df: DataFrame, cols) -> DataFrame:
     """V3f (max rule)."""
-    stats = df.agg(*[F.max(c).alias(f"_s_{c}") for c in cols])
+    types = dict(df.dtypes)
+    number = {c: F.nanvl(c, F.lit(None)) if types[c] in ("double", "float") else F.col(c) for c in cols}
+    stats = df.agg(*[F.max(number[c]).alias(f"_s_{c}") for c in cols])
     return _fill_from_stats(df, cols, stats)
 
 
@@ -118,10 +123,13 @@ def remove_outliers_exact_iqr(df: DataFrame, col: str, k: float = 1.5) -> DataFr
 
 
 def remove_outliers_zscore(df: DataFrame, col: str, threshold: float = 3.0) -> DataFrame:
-    """V5: keep abs(x - mean) / sample std <= threshold."""
-    s = df.agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_sd"))
+    """V5: keep abs(x - mean) / sample std <= threshold; a constant column has
+    no outliers, NULL and NaN are dropped."""
+    s = df.agg(F.avg(not_nan(col)).alias("_m"), F.stddev_samp(not_nan(col)).alias("_sd"))
+    z = F.when(F.col("_sd") > 0, F.abs(not_nan(col) - F.col("_m")) / F.col("_sd")) \
+        .when(not_nan(col).isNotNull(), F.lit(0.0))
     return (df.crossJoin(F.broadcast(s))
-            .filter(F.abs(F.col(col) - F.col("_m")) / F.col("_sd") <= threshold)
+            .filter(z <= threshold)
             .drop("_m", "_sd"))
 
 

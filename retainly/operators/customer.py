@@ -60,26 +60,38 @@ def behavioral_features(events: DataFrame, as_of: str, recent_days: int = 7) ->
         flag(F.col("recent")).alias("recent_activity_flag"))
 
 
+# What stands for missing or empty support and review data.
+NEUTRAL_SENTIMENT, NEUTRAL_RATING = 0.5, 3.0
+
+
 def engagement_features(support: DataFrame, reviews: DataFrame) -> DataFrame:
     """Support and review aggregates, full outer joined on customer_id
-    so that support-only and review-only customers both keep a row (fill 0)."""
+    so that support-only and review-only customers both keep a row (fill 0).
+    A support table without sentiment, or without rows, gives sentiment 0.5; a
+    review table without rows gives rating 3.0 and sentiment 0.5."""
+    has = "sentiment_score" in support.columns
     s = support.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("support_tickets_count"),
         F.avg("resolution_hours").alias("avg_ticket_resolution_hours"),
-        F.avg("sentiment_score").alias("avg_support_sentiment"))
+        (F.avg("sentiment_score") if has else F.lit(NEUTRAL_SENTIMENT)).alias("avg_support_sentiment"))
     r = reviews.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("reviews_count"),
         F.avg("rating").alias("avg_review_rating"),
         F.avg("sentiment_score").alias("review_sentiment_score"))
-    j = s.join(r, "customer_id", "full")
+    # 1-row tables: whether either side has rows at all
+    some = support.agg((F.count(F.lit(1)) > 0).alias("_some_s")).crossJoin(reviews.agg((F.count(F.lit(1)) > 0).alias("_some_r")))
+    j = s.join(r, "customer_id", "full").crossJoin(F.broadcast(some))
+    sentiment = F.when(F.col("_some_s") & F.lit(has), 0.0).otherwise(NEUTRAL_SENTIMENT)
+    rating = F.when(F.col("_some_r"), 0.0).otherwise(NEUTRAL_RATING)
+    review_sentiment = F.when(F.col("_some_r"), 0.0).otherwise(NEUTRAL_SENTIMENT)
     return j.select(
         as_long("customer_id").alias("customer_id"),
         as_long(F.coalesce("support_tickets_count", F.lit(0))).alias("support_tickets_count"),
         as_double(F.coalesce("avg_ticket_resolution_hours", F.lit(0.0))).alias("avg_ticket_resolution_hours"),
-        as_double(F.coalesce("avg_support_sentiment", F.lit(0.0))).alias("avg_support_sentiment"),
+        as_double(F.coalesce("avg_support_sentiment", sentiment)).alias("avg_support_sentiment"),
         as_long(F.coalesce("reviews_count", F.lit(0))).alias("reviews_count"),
-        as_double(F.coalesce("avg_review_rating", F.lit(0.0))).alias("avg_review_rating"),
-        as_double(F.coalesce("review_sentiment_score", F.lit(0.0))).alias("review_sentiment_score"))
+        as_double(F.coalesce("avg_review_rating", rating)).alias("avg_review_rating"),
+        as_double(F.coalesce("review_sentiment_score", review_sentiment)).alias("review_sentiment_score"))
 
 
 def temporal_features(df: DataFrame, date_col: str, key: str) -> DataFrame:

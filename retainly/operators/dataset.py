@@ -35,11 +35,6 @@ def combine_features(frames, key: str = "customer_id", fill=0) -> DataFrame:
     return j.fillna(fill, subset=numeric_columns(j, (key,)))
 
 
-def restrict_to(df: DataFrame, ids: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Semi join with an id table."""
-    return df.join(ids.select(key), key, "left_semi")
-
-
 def scaling_params(df: DataFrame, cols) -> DataFrame:
     """F31 / T3 fit: mean and population std of every column (1 row)."""
     return df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
@@ -77,11 +72,15 @@ def hash_unit(key, seed: int):
 
 def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.15, test: float = 0.15,
                      seed: int = 42) -> DataFrame:
-    """Train / validation / test by a per-row hash, independent of the
-    label, so every class is split in the same proportions (approximately)."""
-    u = hash_unit(key, seed)
-    split = F.when(u < 1 - val - test, "train").when(u < 1 - test, "validation").otherwise("test")
-    return df.withColumn("split", split)
+    """Train / validation / test by a per-row hash, cut at the hash's exact
+    quantiles within each class, so every class is split in the same
+    proportions, to the row. The cuts are one row per class."""
+    u = df.select("*", hash_unit(key, seed).alias("_u"))
+    cuts = exact_quantiles(u, "_u", [1 - val - test, 1 - test], keys=[label]) \
+        .select(F.col(label).alias("_class"), F.col("q_0").alias("_c1"), F.col("q_1").alias("_c2"))
+    j = u.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_class")))
+    split = F.when(F.col("_u") <= F.col("_c1"), "train").when(F.col("_u") <= F.col("_c2"), "validation").otherwise("test")
+    return j.withColumn("split", split).drop("_u", "_class", "_c1", "_c2")
 
 
 def temporal_split(df: DataFrame, date_col: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -106,10 +105,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
                     as_double(F.col("neg") / F.col("pos")).alias("scale_pos_weight"))
 
 
-def with_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Balanced sample weights as a column (for `weightCol`)."""
-    w = class_weights(df, label).select(label, F.col("balanced_weight").alias(out))
-    return df.join(F.broadcast(w), label)
+def with_weights(df: DataFrame, label: str, out: str = "weight", fit: DataFrame | None = None) -> DataFrame:
+    """Balanced sample weights as a column (for `weightCol`), from the class
+    counts of `fit` (the training rows; default: df). `label` is a class label:
+    one row per class is broadcast. A class that `fit` lacks weighs 1."""
+    w = class_weights(df if fit is None else fit, label).select(label, F.col("balanced_weight").alias(out))
+    return df.join(F.broadcast(w), label, "left").fillna(1.0, subset=[out])
 
 
 def oversample(df: DataFrame, label: str, copies: int) -> DataFrame:

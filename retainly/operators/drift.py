@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long
 from .ordered import column_splits, exact_quantiles, ordered_prefix, unpivot
-from .quality import feature_statistics
+from .quality import _rows, feature_statistics
 
 
 def reference_statistics(ref: DataFrame, cols) -> DataFrame:
@@ -33,7 +33,7 @@ def ks_pvalue(d, n, m, terms: int = 100):
     """Asymptotic two-sample KS p-value: 2 sum (-1)^(k-1) exp(-2 k^2 lam^2),
     lam = D sqrt(nm / (n + m)); 1 for lam < 0.27 where the series has not
     converged (its value there is 1 to 6 places)."""
-    lam = d * F.sqrt(n * m / (n + m))
+    lam = d * F.sqrt(F.try_divide(n * m, n + m))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
                          lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
     return F.when(lam < 0.27, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
@@ -42,19 +42,20 @@ def ks_pvalue(d, n, m, terms: int = 100):
 def ks_two_sample(ref: DataFrame, cur: DataFrame, cols, threshold: float = 0.15,
                   n_buckets: int | None = None) -> DataFrame:
     """M2-M3: D = max |F_ref - F_cur| over all observed values, per feature,
-    exact (ordered prefix counts of both samples), p-value, drift = D > t."""
+    exact (ordered prefix counts of both samples), p-value, drift = D > t. A
+    feature that is all NULL on one side has no statistic and no drift."""
     long = _sides(ref, cur, cols).select(
         "feature", "value", (F.col("_side") == "reference").cast("bigint").alias("r"),
         (F.col("_side") == "current").cast("bigint").alias("c"))
     splits = column_splits(ref.unionByName(cur), cols, n_buckets)
     op = ordered_prefix(long, "value", ["r", "c"], ["feature"], splits=splits, small_keys=True)
-    diff = F.abs((F.col("r_below") + F.col("r")) / F.col("r_total")
-                 - (F.col("c_below") + F.col("c")) / F.col("c_total"))
+    diff = F.abs(F.try_divide(F.col("r_below") + F.col("r"), F.col("r_total"))
+                 - F.try_divide(F.col("c_below") + F.col("c"), F.col("c_total")))
     g = op.groupBy("feature").agg(F.max(diff).alias("d"), F.first("r_total").alias("n"),
                                   F.first("c_total").alias("m"))
     return g.select("feature", as_double("d").alias("ks_statistic"),
-                    as_double(ks_pvalue(F.col("d"), F.col("n"), F.col("m"))).alias("p_value"),
-                    (F.col("d") > threshold).cast("bigint").alias("is_drift"),
+                    as_double(F.when(F.col("d").isNotNull(), ks_pvalue(F.col("d"), F.col("n"), F.col("m")))).alias("p_value"),
+                    F.coalesce((F.col("d") > threshold).cast("bigint"), F.lit(0)).alias("is_drift"),
                     as_long("n").alias("n_reference"), as_long("m").alias("n_current"))
 
 
@@ -125,8 +126,8 @@ def quantile_shift(ref: DataFrame, cur: DataFrame, cols, threshold: float = 0.2)
                             small_keys=True)
         qs.append(q.select("feature", *[F.col(f"q_{i}").alias(f"{side[0]}{i}") for i in range(3)]))
     j = qs[0].join(qs[1], "feature")
-    terms = [F.when((F.col(f"c{i}") / F.col(f"r{i}")) > 0,
-                    (F.col(f"c{i}") - F.col(f"r{i}")) * F.log(F.col(f"c{i}") / F.col(f"r{i}"))) for i in range(3)]
+    ratio = [F.try_divide(F.col(f"c{i}"), F.col(f"r{i}")) for i in range(3)]
+    terms = [F.when(ratio[i] > 0, (F.col(f"c{i}") - F.col(f"r{i}")) * F.log(ratio[i])) for i in range(3)]
     s = terms[0] + terms[1] + terms[2]
     return j.select("feature", as_double(s).alias("quantile_psi"),
                     F.coalesce((F.abs(s) > threshold).cast("bigint"), F.lit(0)).alias("is_drift"))
@@ -171,8 +172,8 @@ def correlation_drift(ref: DataFrame, cur: DataFrame, cols, top_k: int = 3, thre
 
     def top(df, side):
         row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-        long = reduce(DataFrame.unionByName, [row.select(F.lit(f"{a}|{b}").alias("pair"),
-                                                         F.abs(F.col(f"`{a}|{b}`")).alias("r")) for a, b in pairs])
+        long = row.unpivot([], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "r") \
+            .select("pair", F.abs("r").alias("r"))
         w = Window.orderBy(F.desc_nulls_last("r"), "pair")
         return long.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k) \
             .select("pair", F.lit(side).alias("side"))
@@ -224,17 +225,22 @@ def windowed_psi(events: DataFrame, ts: str, value: str, window: str = "7 days",
                     as_double("psi").alias("psi"))
 
 
-# Drift severity -> action rules (PSI bands).
-SEVERITY_RULES = [(0.0, 0.1, "none", "No action"), (0.1, 0.2, "moderate", "Monitor closely"),
-                  (0.2, float("inf"), "severe", "Retrain model")]
-
-
-def drift_actions(psi_table: DataFrame) -> DataFrame:
-    """Severity band and action per feature from its PSI."""
-    sev = None
-    act = None
-    for lo, hi, s, a in SEVERITY_RULES:
-        cond = (F.col("psi") >= lo) & (F.col("psi") < hi)
-        sev = F.when(cond, s) if sev is None else sev.when(cond, s)
-        act = F.when(cond, a) if act is None else act.when(cond, a)
-    return psi_table.select("feature", "psi", sev.alias("severity"), act.alias("action"))
+# The drift response table (drift type, severity, action).
+DRIFT_RULES = [("single feature", "Low", "Monitor, increase check frequency"),
+               ("multiple features", "Medium", "Trigger retraining pipeline"),
+               ("label shift", "High", "Immediate retraining + alert"),
+               ("prediction skew", "Medium", "Investigate model stability")]
+
+
+def drift_actions(features: DataFrame, label: DataFrame, prediction: DataFrame, min_features: int = 3) -> DataFrame:
+    """The response table with a 0/1 flag per drift type. features: rows
+    with is_drift (one feature up to min_features - 1 is `single`), label and
+    prediction: 1-row results of `label_shift` and `prediction_drift`."""
+    n = features.agg(F.count_if(F.col("is_drift") == 1).alias("_n"))
+    row = n.crossJoin(label.select(F.col("significant_shift").alias("_l"))) \
+        .crossJoin(prediction.select(F.col("prediction_drift").alias("_p")))
+    found = [(F.col("_n") >= 1) & (F.col("_n") < min_features), F.col("_n") >= min_features,
+             F.col("_l") == 1, F.col("_p") == 1]
+    return _rows(row, [(F.lit(kind).alias("drift_type"), F.lit(severity).alias("severity"), F.lit(action).alias("action"),
+                        F.coalesce(hit.cast("bigint"), F.lit(0)).alias("detected"))
+                       for (kind, severity, action), hit in zip(DRIFT_RULES, found)])

@@ -109,14 +109,14 @@ def segment_metrics(df: DataFrame, label: str, score: str, segment: str, thresho
     return c.join(a, segment)
 
 
-def fairness_gaps(df: DataFrame, label: str, score: str, segment: str, threshold: float = 0.35) -> DataFrame:
-    """Per segment gaps against the whole population (the baseline
-    group) in roc_auc, precision and recall; the baseline is a 1-row table."""
+def fairness_gaps(df: DataFrame, label: str, score: str, segment: str, baseline: str,
+                  threshold: float = 0.35) -> DataFrame:
+    """Per group gaps in roc_auc, precision and recall against the group
+    `baseline` (its own gaps are 0); without that group the gaps are NULL."""
     seg = segment_metrics(df, label, score, segment, threshold)
-    base = confusion_metrics(df, label, score, threshold).select(
-        F.col("precision").alias("_bp"), F.col("recall").alias("_br")) \
-        .crossJoin(curve_metrics(df, label, score).select(F.col("roc_auc").alias("_ba")))
-    j = seg.crossJoin(F.broadcast(base))
+    base = seg.filter(F.col(segment) == baseline).select(
+        F.col("precision").alias("_bp"), F.col("recall").alias("_br"), F.col("roc_auc").alias("_ba"))
+    j = seg.join(F.broadcast(base), F.lit(True), "left")  # one row
     return j.select(segment, "roc_auc", "precision", "recall",
                     as_double(F.col("roc_auc") - F.col("_ba")).alias("auc_gap"),
                     as_double(F.col("precision") - F.col("_bp")).alias("precision_gap"),

@@ -72,23 +72,27 @@ def retrain_decision(state: DataFrame, drop_threshold: float = 0.05, max_age_day
         F.when(F.col("days_since_update") >= max_age_days,
                F.concat(F.lit("Model age: "), F.col("days_since_update").cast("string"), F.lit(" days"))),
         F.when(F.col("new_samples") >= new_samples_threshold,
-               F.concat(F.lit("New samples: "), F.col("new_samples").cast("string"))))
+               F.concat(F.lit("New samples: "), F.format_number(F.col("new_samples"), 0))))
     kept = F.filter(reasons, lambda x: x.isNotNull())
     return state.select("*", (F.size(kept) > 0).cast("bigint").alias("should_retrain"),
                         F.when(F.size(kept) > 0, F.array_join(kept, "; "))
                         .otherwise(F.lit("No trigger conditions met")).alias("reasons"))
 
 
+# Reasons of the second retraining rule, in order, and the text without any.
+RETRAIN_REASONS = ("30-day scheduled retraining", "Data drift detected", "Performance degradation detected",
+                   "Manual retraining request")
+NO_RETRAIN = "No retraining needed"
+
+
 def retrain_decision_variant(state: DataFrame, min_age_days: int = 30) -> DataFrame:
-    """Retrain when age >= 30 days, drift, degradation or a manual flag."""
-    reasons = F.array(
-        F.when(F.col("days_since_update") >= min_age_days, F.lit("scheduled")),
-        F.when(F.col("drift_detected") == 1, F.lit("drift")),
-        F.when(F.col("degraded") == 1, F.lit("degradation")),
-        F.when(F.col("manual") == 1, F.lit("manual")))
-    kept = F.filter(reasons, lambda x: x.isNotNull())
+    """Retrain when age >= 30 days, drift, degradation or a manual flag. A
+    model that was never retrained (NULL age) is infinitely old."""
+    days = F.col("days_since_update")
+    due = [days.isNull() | (days >= min_age_days), F.col("drift_detected") == 1, F.col("degraded") == 1, F.col("manual") == 1]
+    kept = F.filter(F.array(*[F.when(c, F.lit(r)) for c, r in zip(due, RETRAIN_REASONS)]), lambda x: x.isNotNull())
     return state.select("*", (F.size(kept) > 0).cast("bigint").alias("should_retrain"),
-                        F.array_join(kept, ",").alias("triggers"))
+                        F.when(F.size(kept) > 0, F.array_join(kept, "; ")).otherwise(F.lit(NO_RETRAIN)).alias("triggers"))
 
 
 def metric_history(tagged: DataFrame, label: str, score: str, threshold: float = 0.5, version: str = "v1",

@@ -14,7 +14,7 @@ every row into one task, so instead:
 
 Each window task holds one bucket: about N/buckets distinct values, never a
 whole group. The bucket count follows the cluster: by default the session's
-`spark.sql.shuffle.partitions` (at least 64, at most 4096), so buckets stay
+`spark.sql.shuffle.partitions` (at least 64, without a cap), so buckets stay
 about one shuffle partition in size as the data and the cluster grow.
 """
 
@@ -25,19 +25,20 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import not_nan
+
 DEFAULT_BUCKETS = 64
-MAX_BUCKETS = 4096
 CASE_TREE_MAX = 64  # below this many splits a CASE tree (codegen) is cheapest
 
 
 def default_buckets(spark) -> int:
-    """Buckets per ordered pass: the session's shuffle partitions, clamped to
-    [DEFAULT_BUCKETS, MAX_BUCKETS] (cut points are a bounded driver list)."""
+    """Buckets per ordered pass: the session's shuffle partitions, at least
+    DEFAULT_BUCKETS (cut points are a driver list of as many numbers)."""
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions", str(DEFAULT_BUCKETS)))
     except ValueError:
         n = DEFAULT_BUCKETS
-    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, n))
+    return max(DEFAULT_BUCKETS, n)
 
 
 def _nb(df: DataFrame, n_buckets: int | None) -> int:
@@ -150,9 +151,9 @@ def column_splits(df: DataFrame, cols, n_buckets: int | None = None) -> dict:
 
 
 def unpivot(df: DataFrame, ids, cols, name: str = "feature", value: str = "value") -> DataFrame:
-    """Wide numeric columns -> (ids..., feature, value double)."""
+    """Wide numeric columns -> (ids..., feature, value double); NaN -> NULL."""
     ids = list(ids)
-    d = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
+    d = df.select(*ids, *[not_nan(c).alias(c) for c in cols])
     return d.unpivot(ids, list(cols), name, value)
 
 

@@ -29,6 +29,12 @@ def _long(row: DataFrame, specs) -> DataFrame:
                        lab["measure"].alias("measure"), F.col("value"))
 
 
+def _rows(row: DataFrame, rows) -> DataFrame:
+    """One output row per tuple of aliased columns over a 1-row frame: an
+    exploded array of structs, so the aggregate below runs once."""
+    return row.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("_r")).select("_r.*")
+
+
 def integrity_report(df: DataFrame, required=()) -> DataFrame:
     """Rows, columns, null count / % per column, the
     column type with its count of typed (non-null) values, duplicate rows
@@ -47,8 +53,8 @@ def integrity_report(df: DataFrame, required=()) -> DataFrame:
     dups = df.groupBy(*cols).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("_dups"))
     row = base.crossJoin(dups).withColumn("_ncols", F.lit(len(cols)))
     for i, _ in enumerate(cols):
-        row = row.withColumn(f"_pct_{i}", F.round(F.col(f"_null_{i}") / F.col("_rows") * 100, 6))
-    row = row.withColumn("_dpct", F.round(F.col("_dups") / F.col("_rows") * 100, 6))
+        row = row.withColumn(f"_pct_{i}", F.round(F.try_divide(F.col(f"_null_{i}"), F.col("_rows")) * 100, 6))
+    row = row.withColumn("_dpct", F.round(F.try_divide(F.col("_dups"), F.col("_rows")) * 100, 6))
     specs = [("table", "*", "rows", "_rows"), ("table", "*", "columns", "_ncols"),
              ("duplicates", "*", "count", "_dups"), ("duplicates", "*", "pct", "_dpct")]
     for i, c in enumerate(cols):
@@ -72,30 +78,27 @@ def range_assertions(df: DataFrame, rules) -> DataFrame:
     """rules = [(column, lo, hi)] -> column_name, lo, hi, out_of_range, passed.
     All rules in one aggregate."""
     aggs = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"_o{i}") for i, (c, lo, hi) in enumerate(rules)]
-    row = df.agg(*aggs)
-    parts = [row.select(F.lit(c).alias("column_name"), F.lit(float(lo)).alias("lo"),
-                        F.lit(float(hi)).alias("hi"), F.col(f"_o{i}").cast("bigint").alias("out_of_range"),
-                        (F.col(f"_o{i}") == 0).cast("bigint").alias("passed"))
-             for i, (c, lo, hi) in enumerate(rules)]
-    return reduce(DataFrame.unionByName, parts)
+    return _rows(df.agg(*aggs), [
+        (F.lit(c).alias("column_name"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"),
+         F.col(f"_o{i}").cast("bigint").alias("out_of_range"), (F.col(f"_o{i}") == 0).cast("bigint").alias("passed"))
+        for i, (c, lo, hi) in enumerate(rules)])
 
 
 def quality_gates(df: DataFrame, cols, max_null_share: float = 0.05) -> DataFrame:
     """Per column null share, min and max, and gate flags (null share
-    > 5 %, constant column). "Variance = 0" is tested exactly as min = max
+    > 5 %, constant column; an empty input has no share and no constant but
+    fails the constant gate). "Variance = 0" is tested exactly as min = max
     (a floating variance of large values is never exactly reproducible)."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
-    row = df.agg(*aggs)
-    parts = [row.select(F.lit(c).alias("column_name"),
-                        F.round(F.col(f"_z{i}") / F.col("_n"), 6).alias("null_share"),
-                        F.col(f"_lo{i}").cast("double").alias("min"), F.col(f"_hi{i}").cast("double").alias("max"),
-                        (F.col(f"_z{i}") / F.col("_n") > max_null_share).cast("bigint").alias("null_gate_failed"),
-                        F.coalesce((F.col(f"_lo{i}") == F.col(f"_hi{i}")).cast("bigint"), F.lit(1))
-                        .alias("constant_gate_failed"))
-             for i, c in enumerate(cols)]
-    return reduce(DataFrame.unionByName, parts)
+    share = [F.try_divide(F.col(f"_z{i}"), F.col("_n")) for i, _ in enumerate(cols)]
+    return _rows(df.agg(*aggs), [
+        (F.lit(c).alias("column_name"), F.round(share[i], 6).alias("null_share"),
+         F.col(f"_lo{i}").cast("double").alias("min"), F.col(f"_hi{i}").cast("double").alias("max"),
+         F.coalesce((share[i] > max_null_share).cast("bigint"), F.lit(0)).alias("null_gate_failed"),
+         F.coalesce((F.col(f"_lo{i}") == F.col(f"_hi{i}")).cast("bigint"), F.lit(1)).alias("constant_gate_failed"))
+        for i, c in enumerate(cols)])
 
 
 # Feature caps of the data-quality notes.

@@ -22,12 +22,20 @@ RECOMMENDATIONS = {"high": "Enroll in retention campaign", "medium": "Send engag
 
 
 def prepare_features(df: DataFrame, features, params: DataFrame | None = None) -> DataFrame:
-    """Model-ordered feature columns, absent -> 0, scaled with the
-    training parameters (T3)."""
-    filled = df.select("*", *[]).fillna(0, subset=list(features))
+    """Model-ordered feature columns, absent -> 0 (NULL, or no such
+    column), scaled with the training parameters (T3)."""
+    keep = [F.col(c) for c in df.columns if c not in features]
+    filled = df.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in df.columns
+                                else F.lit(0.0).alias(f) for f in features])
     return standard_scale(filled, list(features), params) if params is not None else filled
 
 
+def features_from_map(df: DataFrame, column: str, features) -> DataFrame:
+    """P1 for requests: a map<string, number> column as feature columns, absent -> 0."""
+    return df.select(*[c for c in df.columns if c != column],
+                     *[F.coalesce(F.try_element_at(column, F.lit(f)).cast("double"), F.lit(0.0)).alias(f) for f in features])
+
+
 def score(model, df: DataFrame, threshold: float = DEFAULT_THRESHOLD, version: str = "v1",
           scored_at: str | None = None) -> DataFrame:
     """Probability, class at `threshold`, model version and timestamp."""

@@ -8,16 +8,18 @@ our exact ROC / PR operators over the predicted probability column.
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_double
+from ..functions.exprs import as_double, as_long
 from .evaluate import confusion_metrics, curve_metrics
 
 # Model settings of the reference configuration.
@@ -25,26 +27,26 @@ LR_MAX_ITER = 1000
 GBT_DEPTH, GBT_STEP, GBT_ROUNDS, GBT_SUBSAMPLE = 6, 0.1, 100, 0.8
 GBT2_ROUNDS = 200
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 100, 10, 5
+# Search space of T10: depth, learning rate, rounds, subsample.
+SEARCH_SPACE = {"maxDepth": (3, 4, 5, 6, 7, 8), "stepSize": (0.01, 0.05, 0.1, 0.2, 0.3), "maxIter": (20, 50, 100),
+                "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0)}
 
 
-def estimators(label: str = "label", weight: str | None = "weight", seed: int = 42, fast: bool = False) -> dict:
+def estimators(label: str = "label", weight: str | None = "weight", seed: int = 42, stop: str | None = None) -> dict:
     """Logistic baseline, two boosted-tree settings, random forest.
 
-    `fast=True` scales iteration / round / tree counts by 0.2 (the registered
-    check queries use it: in local mode every boosting round is a fixed
-    ~1 s of job scheduling, independent of the data)."""
+    `stop` names a boolean column of validation rows: boosting ends when the
+    loss on them no longer falls (`validationIndicatorCol`); its rows don't
+    train. Without it all rounds are run."""
     w = {"weightCol": weight} if weight else {}
-    k = 0.2 if fast else 1.0
+    early = {"validationIndicatorCol": stop} if stop else {}
+    boosted = dict(labelCol=label, featuresCol="features", maxDepth=GBT_DEPTH, stepSize=GBT_STEP,
+                   subsamplingRate=GBT_SUBSAMPLE, seed=seed, **w, **early)
     return {
-        "logistic_regression": LogisticRegression(labelCol=label, featuresCol="features",
-                                                  maxIter=int(LR_MAX_ITER * (0.1 if fast else 1.0)), **w),
-        "gradient_boosting": GBTClassifier(labelCol=label, featuresCol="features", maxDepth=GBT_DEPTH,
-                                           stepSize=GBT_STEP, maxIter=max(2, int(GBT_ROUNDS * k)),
-                                           subsamplingRate=GBT_SUBSAMPLE, seed=seed, **w),
-        "gradient_boosting_long": GBTClassifier(labelCol=label, featuresCol="features", maxDepth=GBT_DEPTH,
-                                                stepSize=GBT_STEP, maxIter=max(2, int(GBT2_ROUNDS * k)),
-                                                subsamplingRate=GBT_SUBSAMPLE, seed=seed, **w),
-        "random_forest": RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=max(2, int(RF_TREES * k)),
+        "logistic_regression": LogisticRegression(labelCol=label, featuresCol="features", maxIter=LR_MAX_ITER, **w),
+        "gradient_boosting": GBTClassifier(maxIter=GBT_ROUNDS, **boosted),
+        "gradient_boosting_long": GBTClassifier(maxIter=GBT2_ROUNDS, **boosted),
+        "random_forest": RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=RF_TREES,
                                                 maxDepth=RF_DEPTH, minInstancesPerNode=RF_MIN_LEAF, seed=seed, **w),
     }
 
@@ -65,13 +67,14 @@ def model_metrics(model, df: DataFrame, label: str, threshold: float = 0.5) -> D
 
 
 def train_and_compare(train: DataFrame, val: DataFrame, test: DataFrame, features, label: str,
-                      weight: str | None = "weight", fast: bool = False):
-    """Fit every estimator, report validation and test metrics,
-    choose the best by validation PR-AUC (never by test). Returns
-    (metrics DataFrame, {name: fitted model})."""
+                      weight: str | None = "weight"):
+    """Fit every estimator (boosted trees stop early on the validation
+    rows), report validation and test metrics, choose the best by validation
+    PR-AUC (never by test). Returns (metrics DataFrame, {name: fitted model})."""
     models, rows = {}, []
-    for name, est in estimators(label, weight, fast=fast).items():
-        m = pipeline(features, est).fit(train)
+    both = train.withColumn("_stop", F.lit(False)).unionByName(val.withColumn("_stop", F.lit(True)))
+    for name, est in estimators(label, weight, stop="_stop").items():
+        m = pipeline(features, est).fit(both if est.hasParam("validationIndicatorCol") else train)
         models[name] = m
         for split, d in (("validation", val), ("test", test)):
             rows.append(model_metrics(m, d, label).select(F.lit(name).alias("model"), F.lit(split).alias("split"),
@@ -83,6 +86,17 @@ def train_and_compare(train: DataFrame, val: DataFrame, test: DataFrame, feature
         .drop("best_model"), models
 
 
+def baseline_or_boosted(metrics: DataFrame, split: str = "validation", baseline: str = "logistic_regression",
+                        boosted: str = "gradient_boosting") -> DataFrame:
+    """The boosted model if its ROC-AUC is strictly higher, else (ties
+    included) the baseline. metrics: rows of `train_and_compare`."""
+    m = metrics.filter(F.col("split") == split)
+    row = m.agg(F.max(F.when(F.col("model") == baseline, F.col("roc_auc"))).alias("baseline_roc_auc"),
+                F.max(F.when(F.col("model") == boosted, F.col("roc_auc"))).alias("boosted_roc_auc"))
+    better = F.coalesce(F.col("boosted_roc_auc") > F.col("baseline_roc_auc"), F.lit(False))
+    return row.select("*", F.when(better, boosted).otherwise(baseline).alias("selected_model"))
+
+
 def feature_importance(model, features) -> DataFrame:
     """Tree importances (or |coefficients| for the linear model) with the
     assembler's feature names, sorted descending."""
@@ -95,34 +109,46 @@ def feature_importance(model, features) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def tune(train: DataFrame, features, label: str, weight: str | None = "weight", parallelism: int = 4,
+def random_points(est, points: int, seed: int = 42) -> list[dict]:
+    """`points` different random settings of SEARCH_SPACE as parameter maps."""
+    rng = random.Random(seed)
+    seen: dict = {}
+    most = math.prod(len(v) for v in SEARCH_SPACE.values())
+    while len(seen) < min(points, most):
+        seen[tuple(rng.choice(v) for v in SEARCH_SPACE.values())] = None
+    return [{est.getParam(k): v for k, v in zip(SEARCH_SPACE, p)} for p in seen]
+
+
+def tune(train: DataFrame, features, label: str, weight: str | None = "weight", points: int = 8, parallelism: int = 4,
          train_ratio: float = 0.8, seed: int = 42):
-    """Random-forest grid scored by ROC-AUC on a held-out share."""
+    """Random settings of the boosted trees scored by ROC-AUC on a held-out share."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    est = estimators(label, weight, seed, fast=True)["random_forest"]
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [4, 8]).addGrid(est.numTrees, [10, 30]).build()
+    from pyspark.ml.tuning import TrainValidationSplit
+    est = estimators(label, weight, seed)["gradient_boosting"]
+    grid = random_points(est, points, seed)
     tvs = TrainValidationSplit(estimator=pipeline(features, est), estimatorParamMaps=grid,
                                evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
                                trainRatio=train_ratio, parallelism=parallelism, seed=seed)
     return tvs.fit(train)
 
 
-def cross_validate(train: DataFrame, features, label: str, folds: int = 5, seed: int = 42):
-    """K-fold cross-validated logistic regression (ROC-AUC)."""
+def cross_validate(train: DataFrame, features, label: str, weight: str | None = "weight", folds: int = 5, seed: int = 42):
+    """K-fold cross-validated logistic regression with class weights (ROC-AUC)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    est = LogisticRegression(labelCol=label, featuresCol="features", maxIter=100)
+    est = estimators(label, weight, seed)["logistic_regression"]
     grid = ParamGridBuilder().addGrid(est.regParam, [0.0, 0.1]).build()
     cv = CrossValidator(estimator=pipeline(features, est), estimatorParamMaps=grid,
                         evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=seed)
     return cv.fit(train)
 
 
-def correlation_selection(df: DataFrame, features, label: str, top: int = 10) -> DataFrame:
-    """Features ranked by |Pearson correlation| with the label (all
-    correlations in one aggregate)."""
+def correlation_selection(df: DataFrame, features, label: str) -> DataFrame:
+    """All features with their rank by |Pearson correlation| with the
+    label, ties by name (all correlations in one aggregate; a caller selects
+    by rank)."""
     row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
     long = row.unpivot([], list(features), "feature", "corr")
-    return long.select("feature", as_double("corr").alias("corr"), as_double(F.abs("corr")).alias("abs_corr")) \
-        .orderBy(F.desc_nulls_last("abs_corr"), "feature").limit(top)
+    ranked = long.select("feature", as_double("corr").alias("corr"), as_double(F.abs("corr")).alias("abs_corr"))
+    return ranked.withColumn("rank", as_long(F.row_number().over(  # one row per feature
+        Window.orderBy(F.desc_nulls_last("abs_corr"), "feature"))))

@@ -1,4 +1,4 @@
 """Registered queries, one module per operator family."""
 
-from . import catalog, cleaning, features, modeling, monitoring, sinks, streaming  # noqa: F401
+from . import account, catalog, cleaning, features, modeling, monitoring, sinks, streaming  # noqa: F401
 from .registry import REGISTRY, Query  # noqa: F401

@@ -25,16 +25,19 @@ from .sqltext import oracle  # noqa: E402
 OA, EA = ORDERS_AS_OF, EVENTS_AS_OF
 
 
+EXTRACT_ROWS = 10000  # fixed value: the extract is the newest 10000 active customers
+
+
 @register("customer_extract", "S12 J5", oracle("""
 SELECT CAST(customer_id AS BIGINT) AS customer_id, email, country, region,
   CAST(signup_date AS VARCHAR) AS signup_date, account_status, customer_segment, device_type, signup_source
-FROM customers WHERE deleted_at IS NULL ORDER BY customer_id DESC LIMIT 10000""", ["customers"]))
-def q_customer_extract(t):
+FROM customers WHERE deleted_at IS NULL ORDER BY customer_id DESC LIMIT {EXTRACT_ROWS}""".replace("{EXTRACT_ROWS}", str(EXTRACT_ROWS)), ["customers"]))
+def q_customer_extract(t, rows: int = EXTRACT_ROWS):
     c = V.customers(t).filter(F.col("deleted_at").isNull())
     return (c.select(as_long("customer_id").alias("customer_id"), "email", "country", "region",
                      F.col("signup_date").cast("string").alias("signup_date"), "account_status",
                      "customer_segment", "device_type", "signup_source")
-            .orderBy(F.col("customer_id").desc()).limit(10000))
+            .orderBy(F.col("customer_id").desc()).limit(rows))
 
 
 @register("transaction_extract", "S13", oracle(f"""
@@ -45,7 +48,7 @@ FROM transactions WHERE order_date >= TIMESTAMP '{OA}' - INTERVAL 90 DAY
 ORDER BY order_date DESC""", ["transactions"]))
 def q_transaction_extract(t):
     from ..functions.exprs import since
-    tx = V.transactions(t).filter(F.col("order_date") >= since(OA, 90))
+    tx = V.transactions(t, where=F.col("o_orderdate") >= since(OA, 90))
     return (tx.select(as_long("transaction_id").alias("transaction_id"), as_long("customer_id").alias("customer_id"),
                       F.col("order_date").cast("string").alias("order_date"),
                       F.col("order_amount").cast("double").alias("order_amount"),

@@ -13,7 +13,7 @@ from ..operators import score as SC
 from ..operators import train as TR
 from ..operators.customer import behavioral_features, engagement_features, profile_features
 from ..operators.rfm import rfm_from_raw
-from ..operators.transactions import transaction_features
+from ..operators.transactions import transaction_features, transaction_features_sql
 from ..session import materialize, scratch_path
 from ..sources import views as V
 from ..sources.views import EVENTS_AS_OF as EA
@@ -153,7 +153,8 @@ LEFT JOIN (SELECT DISTINCT customer_id FROM transactions WHERE order_date >= TIM
              AND order_date < TIMESTAMP '{CUT}' + INTERVAL 30 DAY) f ON f.customer_id = a.customer_id"""
 SPLIT_SQL = f"""
 SELECT customer_id, churn,
-  CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split
+  CASE WHEN u <= quantile_cont(u, 0.7) OVER (PARTITION BY churn) THEN 'train'
+       WHEN u <= quantile_cont(u, 0.85) OVER (PARTITION BY churn) THEN 'validation' ELSE 'test' END AS split
 FROM (SELECT *, ('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '-42'), 1, 8))::UBIGINT / 4294967296.0 AS u
       FROM ({LABELS_SQL}))"""
 
@@ -204,51 +205,62 @@ def q_oversample(t):
     return o.select("customer_id", "churn", as_long("copy").alias("copy"))
 
 
-def training_frame(t, cut: str = CUT):
-    """Features observed strictly before `cut` (as of `cut`), churn label
-    after it, hash split; balanced class weights attached."""
-    tx_before = V.transactions(t).filter(F.col("order_date") < F.lit(cut).cast("timestamp_ntz"))
-    tf = transaction_features(tx_before, cut)
-    prof = profile_features(V.customers(t), cut)
-    d = _split(t).join(tf, "customer_id").join(prof, "customer_id")
-    d = d.fillna(0, subset=TF_COLS + PROFILE_COLS)
-    return DS.with_weights(d, "churn").withColumn("label", F.col("churn").cast("double"))
+FEATURES = TF_COLS + PROFILE_COLS
 
 
-FEATURES = TF_COLS + PROFILE_COLS
-# Registered model queries train with 0.2x rounds / trees / iterations (see
-# train.estimators); the library defaults keep the reference settings.
-FAST_MODELS = True
+def _before(cut):
+    """Condition on orders placed before `cut`."""
+    return F.col("o_orderdate") < F.lit(cut).cast("timestamp_ntz")
+
+
+def customer_features(t, cut: str = CUT):
+    """FEATURES of every customer as observed strictly before `cut`; NULL where
+    a customer has no orders by then."""
+    tf = transaction_features(V.transactions(t, where=_before(cut)), cut)
+    return profile_features(V.customers(t), cut).join(tf, "customer_id", "left").select("customer_id", *FEATURES)
 
 
 def _fit_inputs(t):
-    d = training_frame(t)
-    train = d.filter(F.col("split") == "train")
-    params = DS.scaling_params(train, FEATURES)
-    scaled = materialize(DS.standard_scale(d, FEATURES, params))
-    return scaled, params
+    """(labelled, every, params): the split labels with scaled features and
+    class weights; all customers with scaled features; the scaling parameters.
+    Features are observed strictly before CUT, labels after it; weights and
+    scaling parameters come from the training rows alone."""
+    every = materialize(customer_features(t))
+    split = materialize(_split(t))
+    train = split.filter(F.col("split") == "train")
+    params = materialize(DS.scaling_params(SC.prepare_features(every.join(train, "customer_id"), FEATURES), FEATURES))
+    scaled = materialize(SC.prepare_features(every, FEATURES, params))
+    d = DS.with_weights(split, "churn", fit=train).withColumn("label", F.col("churn").cast("double"))
+    return materialize(d.join(scaled, "customer_id")), scaled, params, every
+
+
+def _comparison(t):
+    d = _fit_inputs(t)[0]
+    tr, va, te = (d.filter(F.col("split") == s) for s in ("train", "validation", "test"))
+    return TR.train_and_compare(tr, va, te, FEATURES, "label", "weight")[0]
 
 
-@register("model_comparison", "T6 T7 T8 T9 T12 T13 B13 B15")
+@register("model_comparison", "T6 T7 T8 T9 T12 B13 B15")
 def q_models(t):
-    d, _ = _fit_inputs(t)
-    tr, va, te = (d.filter(F.col("split") == s) for s in ("train", "validation", "test"))
-    met, _ = TR.train_and_compare(tr, va, te, FEATURES, "label", "weight", fast=FAST_MODELS)
-    return met
+    return _comparison(t)
+
+
+@register("baseline_or_boosted", "T13 T7")
+def q_baseline_or_boosted(t):
+    return TR.baseline_or_boosted(_comparison(t))
 
 
 @register("feature_importance", "T14")
 def q_importance(t):
-    d, _ = _fit_inputs(t)
-    tr = d.filter(F.col("split") == "train")
-    m = TR.pipeline(FEATURES, TR.estimators("label", "weight", fast=FAST_MODELS)["gradient_boosting"]).fit(tr)
+    d = _fit_inputs(t)[0]
+    fit = d.filter(F.col("split") != "test").withColumn("_stop", F.col("split") == "validation")
+    m = TR.pipeline(FEATURES, TR.estimators("label", "weight", stop="_stop")["gradient_boosting"]).fit(fit)
     return TR.feature_importance(m, FEATURES)
 
 
 @register("hyperparameter_search", "T10")
 def q_tuning(t):
-    d, _ = _fit_inputs(t)
-    tr = d.filter(F.col("split") != "test")
+    tr = _fit_inputs(t)[0].filter(F.col("split") != "test")
     m = TR.tune(tr, FEATURES, "label", "weight")
     rows = [(str({p.name: v for p, v in pm.items()}), float(x)) for pm, x in
             zip(m.getEstimatorParamMaps(), m.validationMetrics)]
@@ -257,33 +269,39 @@ def q_tuning(t):
 
 @register("cross_validation", "T11")
 def q_cv(t):
-    d, _ = _fit_inputs(t)
-    tr = d.filter(F.col("split") != "test")
-    m = TR.cross_validate(tr, FEATURES, "label")
+    tr = _fit_inputs(t)[0].filter(F.col("split") != "test")
+    m = TR.cross_validate(tr, FEATURES, "label", "weight")
     rows = [(str({p.name: v for p, v in pm.items()}), float(x)) for pm, x in
             zip(m.getEstimatorParamMaps(), m.avgMetrics)]
     return t.spark.createDataFrame(rows, "params string, roc_auc double")
 
 
 @register("feature_correlation", "T15", oracle(f"""
-WITH tf AS ({_q('transaction_features')}), l AS ({LABELS_SQL}),
+WITH l AS ({LABELS_SQL}),
+tf AS (WITH transactions AS (SELECT * FROM tx WHERE order_date < TIMESTAMP '{CUT}') {transaction_features_sql(CUT)}),
 d AS (SELECT * FROM l JOIN tf USING (customer_id)),
 c AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CORR(CAST({c} AS DOUBLE), CAST(churn AS DOUBLE)) AS corr FROM d" for c in TF_COLS)})
-SELECT feature, {r6('corr')} AS corr, ROUND(ABS(corr), 6) AS abs_corr FROM c ORDER BY ABS(corr) DESC NULLS LAST, feature LIMIT 10""",
-                                               ["transactions"]))
+SELECT feature, {r6('corr')} AS corr, ROUND(ABS(corr), 6) AS abs_corr,
+  CAST(ROW_NUMBER() OVER (ORDER BY ROUND(ABS(corr), 6) DESC NULLS LAST, feature) AS BIGINT) AS rank FROM c""",
+                                               ["transactions"], tx="SELECT * FROM transactions"))
 def q_correlation(t):
-    d = _labels(t).join(transaction_features(V.transactions(t), OA), "customer_id")
-    return TR.correlation_selection(d, TF_COLS, "churn", 10)
+    """As of the cut: what came after it is the label's."""
+    d = _labels(t).join(transaction_features(V.transactions(t, where=_before(CUT)), CUT), "customer_id")
+    return TR.correlation_selection(d, TF_COLS, "churn")
+
+
+def fitted_baseline(d):
+    """The logistic baseline of the training rows."""
+    est = TR.estimators("label", "weight")["logistic_regression"]
+    return TR.pipeline(FEATURES, est).fit(d.filter(F.col("split") == "train"))
 
 
 @register("batch_scores", "P1 P2 P8")
 def q_batch_scores(t):
-    d, _ = _fit_inputs(t)
-    tr = d.filter(F.col("split") == "train")
-    est = TR.estimators("label", "weight", fast=FAST_MODELS)["logistic_regression"]
-    model = TR.pipeline(FEATURES, est).fit(tr)
+    d, every, _, _ = _fit_inputs(t)
+    model = fitted_baseline(d)
     coefs = model.stages[-1].coefficients.toArray().tolist()
-    scored = SC.score(model, d.select("customer_id", *FEATURES), 0.35, "v2001", CUT)
+    scored = SC.score(model, every, 0.35, "v2001", CUT)
     scored = SC.linear_explanation(scored, FEATURES, coefs, 5)
     r = SC.risk_fields(scored.select("customer_id", "churn_probability", "model_version", "scored_at",
                                      "explanation"))

@@ -123,11 +123,11 @@ def q_regions(t):
 
 @register("fairness_gaps", "E10", oracle(f"""
 WITH s AS (SELECT * FROM ({conf_sql('predictions', 0.35, [SEG])}) c JOIN ({curve_sql('predictions', [SEG])}) a USING ({SEG})),
-b AS (SELECT c.precision AS bp, c.recall AS br, a.roc_auc AS ba FROM ({conf_sql('predictions', 0.35)}) c, ({curve_sql('predictions')}) a)
+b AS (SELECT precision AS bp, recall AS br, roc_auc AS ba FROM s WHERE {SEG} = 'BUILDING')
 SELECT {SEG}, roc_auc, precision, recall, {r6('roc_auc - ba')} AS auc_gap, {r6('precision - bp')} AS precision_gap,
   {r6('recall - br')} AS recall_gap FROM s, b""", ["predictions"]))
 def q_fairness(t):
-    return E.fairness_gaps(_pred(t), LABEL, SCORE, SEG, 0.35)
+    return E.fairness_gaps(_pred(t), LABEL, SCORE, SEG, "BUILDING", 0.35)
 
 
 @register("metric_gate", "E11", oracle(f"""
@@ -289,13 +289,15 @@ def q_corr_drift(t):
     return D.correlation_drift(ref, cur, FEATS)
 
 
-@register("prediction_drift", "M12", oracle(f"""
+PREDICTION_SQL = f"""
 WITH r AS (SELECT LEAST(FLOOR({SCORE} * 10), 9) AS bin, COUNT(*) AS rn FROM pref GROUP BY 1),
 c AS (SELECT LEAST(FLOOR({SCORE} * 10), 9) AS bin, COUNT(*) AS cn FROM predictions GROUP BY 1),
 j AS (SELECT COALESCE(rn, 0) AS rn, COALESCE(cn, 0) AS cn FROM r FULL OUTER JOIN c ON r.bin = c.bin),
 s AS (SELECT SQRT(SUM(POW(SQRT(rn / (SELECT SUM(rn) FROM j)) - SQRT(cn / (SELECT SUM(cn) FROM j)), 2)) / 2) AS h FROM j)
-SELECT ROUND(h, 6) AS hellinger, CAST(h > 0.1 AS BIGINT) AS prediction_drift FROM s""",
-                                              ["predictions"], pref=predictions_at_sql(REF_CUT)))
+SELECT ROUND(h, 6) AS hellinger, CAST(h > 0.1 AS BIGINT) AS prediction_drift FROM s"""
+
+
+@register("prediction_drift", "M12", oracle(PREDICTION_SQL, ["predictions"], pref=predictions_at_sql(REF_CUT)))
 def q_prediction_drift(t):
     return D.hellinger(_pred_ref(t), _pred(t), SCORE)
 
@@ -317,13 +319,17 @@ def q_windowed_psi(t):
 
 
 @register("drift_actions", "M14", oracle(f"""
-WITH p AS ({PSI_SQL.strip()})
-SELECT feature, psi, CASE WHEN psi >= 0 AND psi < 0.1 THEN 'none' WHEN psi >= 0.1 AND psi < 0.2 THEN 'moderate'
-  WHEN psi >= 0.2 THEN 'severe' END AS severity,
-  CASE WHEN psi >= 0 AND psi < 0.1 THEN 'No action' WHEN psi >= 0.1 AND psi < 0.2 THEN 'Monitor closely'
-  WHEN psi >= 0.2 THEN 'Retrain model' END AS action FROM p""", **_drift_sides_sql()))
+WITH ks AS ({KS_SQL.strip()}), lb AS ({LABEL_SQL.strip()}), pd AS ({PREDICTION_SQL.strip()}),
+s AS (SELECT (SELECT COUNT(*) FILTER (WHERE is_drift = 1) FROM ks) AS n, (SELECT significant_shift FROM lb) AS l,
+  (SELECT prediction_drift FROM pd) AS p)
+SELECT 'single feature' AS drift_type, 'Low' AS severity, 'Monitor, increase check frequency' AS action,
+  CAST(n >= 1 AND n < 3 AS BIGINT) AS detected FROM s
+UNION ALL SELECT 'multiple features', 'Medium', 'Trigger retraining pipeline', CAST(n >= 3 AS BIGINT) FROM s
+UNION ALL SELECT 'label shift', 'High', 'Immediate retraining + alert', CAST(l = 1 AS BIGINT) FROM s
+UNION ALL SELECT 'prediction skew', 'Medium', 'Investigate model stability', CAST(p = 1 AS BIGINT) FROM s""",
+    ["predictions"], pref=predictions_at_sql(REF_CUT), **_drift_sides_sql()))
 def q_drift_actions(t):
-    return D.drift_actions(_psi(t))
+    return D.drift_actions(_ks(t), _label(t), D.hellinger(_pred_ref(t), _pred(t), SCORE))
 
 
 def _degradation(t):
@@ -399,7 +405,7 @@ r AS (SELECT s.*, list_filter([
     CASE WHEN current_pr_auc < baseline_pr_auc * (1 - 0.05) THEN 'Performance degradation (PR-AUC: ' || printf('%.4f', current_pr_auc) || ')' END,
     CASE WHEN drift_detected = 1 THEN 'Data drift detected' END,
     CASE WHEN days_since_update >= 30 THEN 'Model age: ' || CAST(days_since_update AS VARCHAR) || ' days' END,
-    CASE WHEN new_samples >= 1000000 THEN 'New samples: ' || CAST(new_samples AS VARCHAR) END], lambda x: x IS NOT NULL) AS k FROM s)
+    CASE WHEN new_samples >= 1000000 THEN 'New samples: ' || format('{{:,}}', new_samples) END], lambda x: x IS NOT NULL) AS k FROM s)
 SELECT model_version, current_pr_auc, baseline_pr_auc, drift_detected, days_since_update, new_samples,
   CAST(len(k) > 0 AS BIGINT) AS should_retrain,
   CASE WHEN len(k) > 0 THEN array_to_string(k, '; ') ELSE 'No trigger conditions met' END AS reasons FROM r""",
@@ -412,11 +418,11 @@ def q_retrain(t):
 WITH ks AS ({KS_SQL.strip()}), s AS ({STATE_SQL}), dg AS ({DEGRADATION_SQL.strip()}),
 r AS (SELECT s.model_version, s.drift_detected, s.days_since_update,
     (SELECT CAST(MAX(degraded) AS BIGINT) FROM dg) AS degraded, CAST(0 AS BIGINT) AS manual FROM s),
-k AS (SELECT *, list_filter([CASE WHEN days_since_update >= 30 THEN 'scheduled' END,
-    CASE WHEN drift_detected = 1 THEN 'drift' END, CASE WHEN degraded = 1 THEN 'degradation' END,
-    CASE WHEN manual = 1 THEN 'manual' END], lambda x: x IS NOT NULL) AS tr FROM r)
+k AS (SELECT *, list_filter([CASE WHEN days_since_update IS NULL OR days_since_update >= 30 THEN '30-day scheduled retraining' END,
+    CASE WHEN drift_detected = 1 THEN 'Data drift detected' END, CASE WHEN degraded = 1 THEN 'Performance degradation detected' END,
+    CASE WHEN manual = 1 THEN 'Manual retraining request' END], lambda x: x IS NOT NULL) AS tr FROM r)
 SELECT model_version, drift_detected, days_since_update, degraded, manual, CAST(len(tr) > 0 AS BIGINT) AS should_retrain,
-  array_to_string(tr, ',') AS triggers FROM k""",
+  CASE WHEN len(tr) > 0 THEN array_to_string(tr, '; ') ELSE 'No retraining needed' END AS triggers FROM k""",
     ["predictions"], pref=predictions_at_sql(REF_CUT), **_drift_sides_sql()))
 def q_retrain_variant(t):
     s = _state(t).select("model_version", "drift_detected", "days_since_update")

@@ -25,7 +25,7 @@ MESSAGE_SCHEMA = ("event_id bigint, customer_id bigint, event_type string, sessi
 def _messages(t) -> DataFrame:
     """Kafka-shaped records (topic, timestamp, value bytes) built from the
     behaviour events: JSON with a nested `props` object (FIXTURES.md §4)."""
-    ev = V.behavior_events(t).join(t.events.select("event_id", "props"), "event_id")
+    ev = V.behavior_events(t, props=True)
     body = F.struct("event_id", "customer_id", "event_type", "session_id",
                     F.col("event_timestamp").cast("string").alias("event_timestamp"), "value",
                     F.from_json("props", "k bigint").alias("props"))
@@ -140,17 +140,14 @@ def q_stream_monitor(t):
 @register("stream_scoring", "R4 P2")
 def q_stream_scoring(t):
     from . import modeling as MD
-    from ..operators import train as TR
     spark = t.spark
-    d, _ = MD._fit_inputs(t)
-    tr = d.filter(F.col("split") == "train")
-    model = TR.pipeline(MD.FEATURES, TR.estimators("label", "weight", fast=True)["logistic_regression"]).fit(tr)
-    feats = d.select("customer_id", *MD.FEATURES)
+    d, _, params, feats = MD._fit_inputs(t)
+    model = MD.fitted_baseline(d)
     src = scratch_path(spark, "score-events")
     ev = V.behavior_events(t).select("customer_id", "event_timestamp")
     ev.write.parquet(src)
     stream = J.event_time(spark.readStream.schema(ev.schema).parquet(src))
-    scored = J.score_stream(stream, feats, model).select("customer_id", "event_timestamp", "churn_probability")
+    scored = J.score_stream(stream, feats, model, params=params).select("customer_id", "event_timestamp", "churn_probability")
     out = scratch_path(spark, "stream-scores")
     q = (scored.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "ckpt-scoring")).trigger(availableNow=True).start())

@@ -12,7 +12,7 @@ broadcasts on its own size check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Tables
@@ -53,14 +53,30 @@ def customers(t: Tables) -> DataFrame:
     )
 
 
-def order_lines(t: Tables) -> DataFrame:
-    """Per-order line attributes: one row per l_orderkey (partial aggregation first)."""
-    return (t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-            .groupBy("l_orderkey")
-            .agg(F.min("p_type").alias("category"),
-                 F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), 1)
-                       .otherwise(0)).alias("refund"),
-                 F.min(F.when(F.col("l_discount") > 0.02, 1).otherwise(0)).alias("discounted")))
+def type_codes(t: Tables) -> DataFrame:
+    """(p_type, code): the part types numbered in alphabetical order. One row
+    per type, so the numbering window stays small however many parts there are."""
+    return t.part.select("p_type").distinct() \
+        .select("p_type", F.row_number().over(Window.orderBy("p_type")).alias("code"))
+
+
+def order_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """Per-order line attributes: one row per l_orderkey (partial aggregation
+    first). `orders` (o_orderkey) restricts the lines before they meet parts.
+    The smallest type is taken over its number: a string minimum would make
+    Spark sort all lines instead of hashing them."""
+    lines = t.lineitem
+    if orders is not None:
+        lines = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    codes = type_codes(t)
+    parts = t.part.join(codes, "p_type").select("p_partkey", "code")
+    g = (lines.join(parts, F.col("p_partkey") == F.col("l_partkey"))
+         .groupBy("l_orderkey")
+         .agg(F.min("code").alias("code"),
+              F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), 1)
+                    .otherwise(0)).alias("refund"),
+              F.min(F.when(F.col("l_discount") > 0.02, 1).otherwise(0)).alias("discounted")))
+    return g.join(codes, "code").select("l_orderkey", F.col("p_type").alias("category"), "refund", "discounted")
 
 
 def line_categories(t: Tables) -> DataFrame:
@@ -68,12 +84,13 @@ def line_categories(t: Tables) -> DataFrame:
     return t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_type")
 
 
-def transactions(t: Tables, lines: bool = True) -> DataFrame:
-    """Order-level transactions. `lines=False` skips the lineitem join for
+def transactions(t: Tables, lines: bool = True, where=None) -> DataFrame:
+    """Order-level transactions. `where` (a condition on the order's columns,
+    e.g. o_orderdate) prunes orders, and their lines, first. `lines=False` skips the lineitem join for
     callers that read only order columns (the line attributes then take the
     view's absent-line defaults, which is what they are for orders without lines
     but not in general — only use it when those columns are not read)."""
-    o = t.orders
+    o = t.orders if where is None else t.orders.filter(where)
     base = [F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("order_date"),
             F.col("o_totalprice").cast("decimal(18,2)").alias("order_amount")]
@@ -81,15 +98,16 @@ def transactions(t: Tables, lines: bool = True) -> DataFrame:
             F.col("o_orderstatus").alias("shipping_status")]
     if not lines:
         return o.select(*base, *rest)
-    lj = o.join(order_lines(t), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    lj = o.join(order_lines(t, None if where is None else o), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return lj.select(*base, F.coalesce("category", F.lit("NONE")).alias("product_category"), *rest,
                      F.coalesce("refund", F.lit(0)).alias("refund_flag"),
                      F.coalesce("discounted", F.lit(0)).alias("discount_flag"))
 
 
-def behavior_events(t: Tables) -> DataFrame:
+def behavior_events(t: Tables, props: bool = False) -> DataFrame:
+    """`props`: with the event's JSON attributes as one more column."""
     e = t.events
-    return e.select(
+    return e.select(*["props"] * props,
         "event_id", F.col("user_id").alias("customer_id"),
         F.when(F.col("event_type") == "view", "page_view")
          .when(F.col("event_type") == "click", "add_to_cart")

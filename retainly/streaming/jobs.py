@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.drift import hellinger
+from ..operators.score import prepare_features
 
 
 def event_time(df: DataFrame, col: str = "event_timestamp") -> DataFrame:
@@ -51,11 +52,15 @@ def dedup_events(events: DataFrame, watermark: str = "10 minutes", keys=("custom
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def score_stream(events: DataFrame, features: DataFrame, model, key: str = "customer_id") -> DataFrame:
+def score_stream(events: DataFrame, features: DataFrame, model, key: str = "customer_id",
+                 params: DataFrame | None = None) -> DataFrame:
     """Continuous scoring: stream-static join with the latest feature
-    table, then the fitted pipeline model (same code path as batch)."""
+    table (every event is scored; features of an unknown customer are absent,
+    that is 0), scaling with the training parameters, then the fitted pipeline
+    model (same code path as batch)."""
     from pyspark.ml.functions import vector_to_array
-    j = events.select(key, "event_timestamp").join(features, key)
+    names = [c for c in features.columns if c != key]
+    j = prepare_features(events.select(key, "event_timestamp").join(features, key, "left"), names, params)
     return model.transform(j).withColumn("churn_probability", vector_to_array("probability")[1]) \
         .drop("features", "rawPrediction", "probability")
 
