@@ -28,6 +28,7 @@ from .common import prepare, saved
 FIRST = 16  # binary digits of the offsets within a lowest range
 FAN = 4  # binary digits of a range's number within the next
 LEVELS = 4
+NO_FILE = -(2**63)  # stands for a null file
 END = "\r\n\r\n"  # fixed value: what separates header, content and the next record
 
 
@@ -62,7 +63,7 @@ def write(pages: DataFrame, file: Column, path: str) -> None:
 
 def tree(found: DataFrame) -> list[DataFrame]:
     """records -> tables (file, at, up, hash) from the records, level 0 (with page_id and length), to the roots."""
-    levels = [found.select("file", F.col("offset").alias("at"), F.shiftright("offset", FIRST).alias("up"), F.concat_ws(":", "length", "digest").alias("hash"), "page_id", "length")]
+    levels = [found.select(F.coalesce("file", F.lit(NO_FILE)).alias("file"), F.col("offset").alias("at"), F.shiftright("offset", FIRST).alias("up"), F.concat_ws(":", "length", "digest").alias("hash"), "page_id", "length")]
     for k in range(LEVELS + 1):
         last = k == LEVELS
         key = F.lit(0).cast("bigint").alias("at") if last else F.col("up").alias("at")
@@ -92,7 +93,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         differing = sides[0].join(sides[1], ["file", "at"], "full_outer").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
         if leaf:
             status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("corrupt")
-            return differing.select("file", F.col("at").alias("offset"), F.coalesce("page_id_a", "page_id_b").alias("page_id"), F.coalesce("length_a", "length_b").alias("length"), status.alias("status"))
+            return differing.select(F.nullif(F.col("file"), F.lit(NO_FILE)).alias("file"), F.col("at").alias("offset"), F.coalesce("page_id_a", "page_id_b").alias("page_id"), F.coalesce("length_a", "length_b").alias("length"), status.alias("status"))
         bad = differing.select(F.col("file").alias("bad_file"), F.col("at").alias("bad_at"))
 
 

@@ -159,7 +159,7 @@ def edited_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     order = sorted(tops)
     # A range's largest document also goes to the next higher range, the largest of all to the lowest.
     to = {tops[r]: order[(k + 1) % len(order)] for k, r in enumerate(order)}
-    extra = F.create_map(*(F.lit(x) for p in to.items() for x in (p[0], p[1])))[F.col("place")] if to else F.lit(None).cast("int")
+    extra = F.create_map(*(F.lit(x).cast(t) for p in to.items() for x, t in zip(p, ("bigint", "int"))))[F.col("place")] if to else F.lit(None).cast("int")
     targets = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("extra")), F.struct(extra.alias("range"), F.lit(1).alias("extra")))
     dealt = (ranged.withColumn("target", F.explode(targets)).where("target.range is not null")
              .select(F.col("target.range").alias("range"), F.col("target.extra").alias("extra"), "place", "doc_id", "text")
