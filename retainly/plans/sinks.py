@@ -15,6 +15,7 @@ from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import views as V
 from ..streaming import jobs as J
+from .monitoring import metrics_long_sql
 from .registry import register
 from .sqltext import oracle
 
@@ -61,41 +62,61 @@ def q_json_window(t):
                        "event_id", "customer_id", "event_type", "value", "`props.k`")
 
 
-@register("sink_roundtrip", "S6 S8 S10 S11 S19 S20 S21 S22", oracle("""
-SELECT 'csv' AS artifact, CAST(COUNT(*) AS BIGINT) AS rows FROM transactions
-UNION ALL SELECT 'parquet', CAST(COUNT(*) AS BIGINT) FROM transactions
-UNION ALL SELECT 'json', CAST(COUNT(*) AS BIGINT) FROM transactions
-UNION ALL SELECT 'prediction_log', CAST(COUNT(*) AS BIGINT) FROM predictions
-UNION ALL SELECT 'feedback', CAST(COUNT(*) AS BIGINT) FROM predictions
-UNION ALL SELECT 'metrics_entries', CAST(5 AS BIGINT)""", ["transactions", "predictions"]))
+TX_COLUMNS = "transaction_id long, customer_id long, order_amount double, payment_method string"
+TX_SUM = "SUM(transaction_id % 1009 * (customer_id % 97)) + SUM(length(payment_method)), CAST(SUM(order_amount) AS DOUBLE)"
+
+
+@register("sink_roundtrip", "S6 S8 S10 S11 S16 S19 S20 S21 S22", oracle(f"""
+WITH tx AS (SELECT COUNT(*) AS n, {TX_SUM.replace(', CAST', ' AS c, CAST')} AS v FROM transactions),
+r AS (SELECT 'csv' AS artifact, n AS rows, c AS checksum, v AS total FROM tx
+UNION ALL SELECT 'parquet', n, c, v FROM tx
+UNION ALL SELECT 'json', n, c, v FROM tx
+UNION ALL SELECT 'appended_twice', 2 * n, 2 * c, 2 * v FROM tx
+UNION ALL SELECT 'year_month_day', COUNT(*), SUM(year(order_date) * 372 + month(order_date) * 31 + day(order_date)), SUM(CAST(order_amount AS DOUBLE)) FROM transactions
+UNION ALL SELECT 'prediction_log', COUNT(*), SUM(customer_id), SUM(churn_probability) FROM predictions
+UNION ALL SELECT 'feedback', COUNT(*), SUM(customer_id), SUM(actual_churn * 2 + CAST(churn_probability > 0.5 AS INTEGER)) FROM predictions
+UNION ALL SELECT 'retrain_log', COUNT(DISTINCT segment), COUNT(*), SUM(churn_probability) FROM predictions
+UNION ALL SELECT 'metrics', 1, COUNT(*), SUM(value) FROM ({metrics_long_sql('predictions')}))
+SELECT artifact, CAST(rows AS BIGINT) AS rows, CAST(checksum AS BIGINT) AS checksum, ROUND(total, 4) AS total FROM r""",
+                                                               ["transactions", "predictions"]))
 def q_sink_roundtrip(t):
+    """Every sink written and read back; rows, a checksum of keys and texts, and the sum of the values."""
     spark = t.spark
-    tx = V.transactions(t, lines=False).select("transaction_id", "customer_id", "order_amount", "payment_method")
+    tx = V.transactions(t, lines=False).select("transaction_id", "customer_id", "order_amount", "payment_method", "order_date")
+    plain = tx.drop("order_date")
     root = scratch_path(spark, "sinks")
-    IO.write(tx, f"{root}/tx_csv", "csv", "overwrite")
-    IO.write(tx, f"{root}/tx.parquet", "parquet", "overwrite")
-    IO.write(tx, f"{root}/tx_json", "json", "error")
-    IO.write(tx, f"{root}/tx_json", "json", "ignore")  # no-op on an existing folder
-    csv = IO.read_csv(spark, f"{root}/tx_csv", "transaction_id long, customer_id long, order_amount double, "
-                                                "payment_method string")
-    pq = IO.read_auto(spark, f"{root}/tx.parquet")
-    js = IO.read_auto(spark, f"{root}/tx_json", "transaction_id long, customer_id long, order_amount double, "
-                                                "payment_method string")
+    IO.write(plain, f"{root}/tx_csv", "csv", "overwrite")
+    IO.write(plain, f"{root}/tx.parquet", "parquet", "overwrite")
+    IO.write(plain, f"{root}/tx_json", "json", "error")
+    IO.write(plain, f"{root}/tx_json", "json", "ignore")  # no-op on an existing folder
+    for _ in range(2):
+        IO.write(plain, f"{root}/twice.parquet", "parquet", "append")
+    IO.save_to_datalake_ymd(tx, root, "tx", "order_date")
     pred = V.predictions(t).withColumn("scored_at", F.lit("2001-01-01 00:00:00").cast("timestamp_ntz"))
     IO.log_predictions(pred, f"{root}/prediction_log")
     IO.intake_feedback(pred.select("customer_id", F.col("actual_churn").alias("actual"),
                                    (F.col("churn_probability") > 0.5).cast("int").alias("predicted")),
                        f"{root}/feedback", "2001-02-01 00:00:00")
-    met = M.metrics_long(V.predictions(t), "actual_churn", "churn_probability")
-    IO.append_metrics(met, f"{root}/metrics", "v1", "2001-02-01 00:00:00")
-    parts = [("csv", csv), ("parquet", pq), ("json", js),
-             ("prediction_log", spark.read.parquet(f"{root}/prediction_log")),
-             ("feedback", spark.read.parquet(f"{root}/feedback"))]
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("artifact"), as_long("rows").alias("rows"))
-              for n, df in parts]
-    m = spark.read.parquet(f"{root}/metrics").select(F.lit("metrics_entries").alias("artifact"),
-                                                     as_long(F.size("metrics")).alias("rows"))
-    return reduce(DataFrame.unionByName, counts + [m])
+    IO.log_retraining_trigger(pred.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("churn_probability").alias("p")),
+                              f"{root}/retrain_log")
+    IO.append_metrics(M.metrics_long(V.predictions(t), "actual_churn", "churn_probability"), f"{root}/metrics", "v1", "2001-02-01 00:00:00")
+
+    def told(name, df, checksum, total, rows="COUNT(*)"):
+        return df.selectExpr(f"CAST({rows} AS BIGINT) AS rows", f"CAST({checksum} AS BIGINT) AS checksum", f"ROUND(CAST({total} AS DOUBLE), 4) AS total") \
+            .select(F.lit(name).alias("artifact"), "*")
+
+    keys, amount = TX_SUM.split(", CAST")
+    parts = [told(name, df, keys, "CAST" + amount) for name, df in (
+        ("csv", IO.read_csv(spark, f"{root}/tx_csv", TX_COLUMNS)), ("parquet", IO.read_auto(spark, f"{root}/tx.parquet")),
+        ("json", IO.read_auto(spark, f"{root}/tx_json", TX_COLUMNS)), ("appended_twice", IO.read_parquet(spark, f"{root}/twice.parquet")))]
+    return reduce(DataFrame.unionByName, [
+        *parts,
+        told("year_month_day", spark.read.parquet(f"{root}/raw/tx"), "SUM(year * 372 + month * 31 + day)", "SUM(CAST(order_amount AS DOUBLE))"),
+        told("prediction_log", spark.read.parquet(f"{root}/prediction_log"), "SUM(customer_id)", "SUM(churn_probability)"),
+        told("feedback", spark.read.parquet(f"{root}/feedback"), "SUM(customer_id)", "SUM(actual * 2 + predicted)"),
+        told("retrain_log", IO.read_auto(spark, f"{root}/retrain_log", "segment string, n long, p double"), "SUM(n)", "SUM(p)"),
+        told("metrics", spark.read.parquet(f"{root}/metrics"), "SUM(size(metrics))",
+             "SUM(aggregate(map_values(metrics), CAST(0 AS DOUBLE), (a, x) -> a + x))")])
 
 
 @register("prediction_feedback_join", "J8", oracle("""
