@@ -33,7 +33,10 @@ def ks_pvalue(d, n, m, terms: int = 100):
     """Asymptotic two-sample KS p-value: 2 sum (-1)^(k-1) exp(-2 k^2 lam^2),
     lam = D sqrt(nm / (n + m)); 1 for lam < 0.27 where the series has not
     converged (its value there is 1 to 6 places)."""
-    lam = d * F.sqrt(F.try_divide(n * m, n + m))
+    return _kolmogorov(d * F.sqrt(F.try_divide(n * m, n + m)), terms)
+
+
+def _kolmogorov(lam, terms: int = 100):
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
                          lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
     return F.when(lam < 0.27, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
@@ -59,26 +62,36 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, cols, threshold: float = 0.15,
                     as_long("n").alias("n_reference"), as_long("m").alias("n_current"))
 
 
-def ks_normal_test(ref: DataFrame, cur: DataFrame, cols, alpha: float = 0.05) -> DataFrame:
+# The error function's polynomial (absolute error under 1.5e-7).
+ERF = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(z):
+    """The standard normal distribution function as an expression."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1.0 / (1.0 + ERF[0] * x)
+    poly = t * (ERF[1] + t * (ERF[2] + t * (ERF[3] + t * (ERF[4] + t * ERF[5]))))
+    erf = 1.0 - poly * F.exp(-x * x)
+    return F.when(z < 0, (1.0 - erf) / 2).otherwise((1.0 + erf) / 2)
+
+
+def ks_normal_test(ref: DataFrame, cur: DataFrame, cols, alpha: float = 0.05,
+                   n_buckets: int | None = None) -> DataFrame:
     """M4: one-sample KS of each current column against N(mean, std) of the
-    reference (Spark ML's distributed KolmogorovSmirnovTest); drift if p < alpha.
-    The reference mean/std are one bounded row of parameters per column."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-    stats = ref.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]) \
-        .first()
-    spark = cur.sparkSession
-    parts = []
-    for c in cols:
-        mu, sd = stats[f"m_{c}"], stats[f"s_{c}"]
-        if mu is None or not sd:
-            continue
-        r = KolmogorovSmirnovTest.test(cur.filter(F.col(c).isNotNull()), c, "norm", float(mu), float(sd))
-        parts.append(r.select(F.lit(c).alias("feature"), as_double("statistic").alias("ks_statistic"),
-                              as_double("pValue").alias("p_value"),
-                              (F.col("pValue") < alpha).cast("bigint").alias("is_drift")))
-    if not parts:
-        return spark.createDataFrame([], "feature string, ks_statistic double, p_value double, is_drift bigint")
-    return reduce(DataFrame.unionByName, parts)
+    reference, asymptotic p-value; drift if p < alpha. All columns in one keyed
+    ordered pass; the reference's mean and std are one row per column. A
+    constant or empty reference, or no current values, gives no test."""
+    stats = unpivot(ref, [], cols).groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    long = unpivot(cur, [], cols).filter(F.col("value").isNotNull()).withColumn("c", F.lit(1).cast("bigint"))
+    op = ordered_prefix(long, "value", ["c"], ["feature"], splits=column_splits(cur, cols, n_buckets), small_keys=True)
+    j = op.join(F.broadcast(stats), "feature").filter(F.col("_s") > 0)
+    p = normal_cdf((F.col("value") - F.col("_m")) / F.col("_s"))
+    apart = F.greatest(F.abs(F.col("c_below") / F.col("c_total") - p),
+                       F.abs((F.col("c_below") + F.col("c")) / F.col("c_total") - p))
+    g = j.groupBy("feature").agg(F.max(apart).alias("d"), F.first("c_total").alias("n"))
+    pv = _kolmogorov(F.col("d") * F.sqrt(F.col("n")))
+    return g.select("feature", as_double("d").alias("ks_statistic"), as_double(pv).alias("p_value"),
+                    (pv < alpha).cast("bigint").alias("is_drift"), as_long("n").alias("n_current"))
 
 
 def psi(ref: DataFrame, cur: DataFrame, cols, bins: int = 10, threshold: float = 0.2,
@@ -185,10 +198,29 @@ def correlation_drift(ref: DataFrame, cur: DataFrame, cols, top_k: int = 3, thre
     return s.select(as_double(jac).alias("jaccard"), (jac < threshold).cast("bigint").alias("correlation_drift"))
 
 
+def score_bins(score: str, bins: int = 10):
+    """Number of a [0, 1] score's equal-width bin."""
+    return F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+
+
+def hellinger_by(reference: DataFrame, counts: DataFrame, by: str, bins: int = 10, threshold: float = 0.1) -> DataFrame:
+    """M12 per group: Hellinger distance of each group's histogram (by, bin, n)
+    from the reference histogram (bin, n)."""
+    ref = reference.groupBy("bin").agg(F.sum("n").alias("rn"))
+    ref = ref.select("bin", (F.col("rn") / F.sum("rn").over(Window.partitionBy())).alias("p"))  # <= bins rows
+    cur = counts.groupBy(by, "bin").agg(F.sum("n").alias("cn"))
+    cur = cur.select(by, "bin", (F.col("cn") / F.sum("cn").over(Window.partitionBy(by))).alias("q"))
+    grid = cur.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    full = grid.join(F.broadcast(ref), "bin", "left").join(cur, [by, "bin"], "left")
+    t = (F.sqrt(F.coalesce("p", F.lit(0.0))) - F.sqrt(F.coalesce("q", F.lit(0.0)))) ** 2
+    g = full.groupBy(by).agg(F.sqrt(F.sum(t) / 2).alias("h"))
+    return g.select(by, as_double("h").alias("hellinger"), (F.col("h") > threshold).cast("bigint").alias("prediction_drift"))
+
+
 def hellinger(ref_scores: DataFrame, cur_scores: DataFrame, score: str, bins: int = 10,
               threshold: float = 0.1) -> DataFrame:
     """Hellinger distance of equal-width [0, 1] score histograms."""
-    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    b = score_bins(score, bins).alias("bin")
     r = ref_scores.groupBy(b).agg(F.count(F.lit(1)).alias("rn"))
     c = cur_scores.groupBy(b).agg(F.count(F.lit(1)).alias("cn"))
     j = r.join(c, "bin", "full").select(F.coalesce("rn", F.lit(0)).alias("rn"), F.coalesce("cn", F.lit(0)).alias("cn"))
@@ -199,30 +231,33 @@ def hellinger(ref_scores: DataFrame, cur_scores: DataFrame, score: str, bins: in
     return h.select(as_double("h").alias("hellinger"), (F.col("h") > threshold).cast("bigint").alias("prediction_drift"))
 
 
-def windowed_psi(events: DataFrame, ts: str, value: str, window: str = "7 days", slide: str = "1 day",
-                 bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """For each sliding window, row count, mean and PSI of `value`
-    against the whole-period distribution (equal-width bins of the whole
-    range). A row lands in window/slide windows (bounded fan-out)."""
+def windowed_drift(events: DataFrame, ts: str, value: str, days: int = 30, bins: int = 10,
+                   floor: float = 1e-6) -> DataFrame:
+    """For each window of `days` days (one begins every day): row count,
+    mean, PSI and KS distance of `value` against the whole period, over
+    equal-width bins of the whole range. Events are counted per (day, bin)
+    once; windows add up that small table."""
     mm = events.agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    d = events.crossJoin(F.broadcast(mm))
+    d = events.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(mm))
     rng = F.col("_mx") - F.col("_mn")
     b = F.when(rng == 0, F.lit(1)).otherwise(
         F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((F.col(value) - F.col("_mn")) / (rng / bins)))))
-    d = d.withColumn("bin", b)
-    ref = d.groupBy("bin").agg(F.count(F.lit(1)).alias("rn"))
-    ref = ref.select("bin", (F.col("rn") / F.sum("rn").over(Window.partitionBy())).alias("r"))
-    wd = d.select(F.window(F.col(ts).cast("timestamp"), window, slide).alias("w"), "bin", value)
-    per = wd.groupBy("w", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sv"))
+    per_day = d.groupBy(F.to_date(ts).alias("day"), b.cast("int").alias("bin")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,6)")).alias("sv"))
+    ref = per_day.groupBy("bin").agg(F.sum("n").alias("rn"))
+    ref = ref.select("bin", (F.col("rn") / F.sum("rn").over(Window.partitionBy())).alias("r"))  # <= bins rows
+    wd = per_day.withColumn("w", F.explode(F.sequence(F.date_sub("day", days - 1), F.col("day"))))
+    per = wd.groupBy("w", "bin").agg(F.sum("n").alias("n"), F.sum("sv").alias("sv"))
     tot = per.groupBy("w").agg(F.sum("n").alias("tot"), F.sum("sv").alias("sv"))
-    grid = tot.select("w", "tot", "sv").crossJoin(F.broadcast(ref))
-    full = grid.join(per.select("w", "bin", "n"), ["w", "bin"], "left")
-    cs = F.greatest(F.coalesce(F.col("n"), F.lit(0)) / F.col("tot"), F.lit(floor))
-    rs = F.greatest(F.col("r"), F.lit(floor))
-    g = full.groupBy("w", "tot", "sv").agg(F.sum((cs - rs) * F.log(cs / rs)).alias("psi"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").cast("string").alias("window_start"),
-                    as_long("tot").alias("events"), as_double(F.col("sv") / F.col("tot")).alias("mean_value"),
-                    as_double("psi").alias("psi"))
+    full = tot.crossJoin(F.broadcast(ref)).join(per.select("w", "bin", "n"), ["w", "bin"], "left")
+    share = F.coalesce(F.col("n"), F.lit(0)) / F.col("tot")
+    in_window = Window.partitionBy("w").orderBy("bin")
+    full = full.withColumn("_gap", F.abs(F.sum(share - F.col("r")).over(in_window)))
+    cs, rs = F.greatest(share, F.lit(floor)), F.greatest(F.col("r"), F.lit(floor))
+    g = full.groupBy("w", "tot", "sv").agg(F.sum((cs - rs) * F.log(cs / rs)).alias("psi"), F.max("_gap").alias("ks"))
+    return g.select(F.col("w").cast("string").alias("window_start"), as_long("tot").alias("events"),
+                    as_double(F.col("sv").cast("double") / F.col("tot")).alias("mean_value"), as_double("psi").alias("psi"),
+                    as_double("ks").alias("ks_statistic"))
 
 
 # The drift response table (drift type, severity, action).

@@ -189,12 +189,35 @@ def q_ks(t):
     return _ks(t)
 
 
-@register("ks_normal_test", "M4 B9")
-def q_ks_normal(t):
+_ERF_T = "(1.0 / (1.0 + 0.3275911 * x))"
+KS_NORMAL_SQL = f"""
+WITH l AS ({_long_sql()}),
+st AS (SELECT feature, AVG(value) AS mu, STDDEV_SAMP(value) AS sd FROM l WHERE side = 'ref' GROUP BY feature),
+g AS (SELECT feature, value, COUNT(*) AS c FROM l WHERE side = 'cur' GROUP BY 1, 2),
+cu AS (SELECT feature, value, c, SUM(c) OVER w AS upto, SUM(c) OVER (PARTITION BY feature) AS n
+       FROM g WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+z AS (SELECT cu.*, (value - mu) / sd AS z, ABS((value - mu) / sd) / SQRT(2.0) AS x FROM cu JOIN st USING (feature) WHERE sd > 0),
+e AS (SELECT *, 1.0 - {_ERF_T} * (0.254829592 + {_ERF_T} * (-0.284496736 + {_ERF_T} * (1.421413741
+       + {_ERF_T} * (-1.453152027 + {_ERF_T} * 1.061405429)))) * EXP(-x * x) AS erf FROM z),
+p AS (SELECT *, CASE WHEN z < 0 THEN (1.0 - erf) / 2 ELSE (1.0 + erf) / 2 END AS phi FROM e),
+d AS (SELECT feature, MAX(GREATEST(ABS((upto - c) / n - phi), ABS(upto / n - phi))) AS d, MAX(n) AS n FROM p GROUP BY feature),
+q AS (SELECT *, d * SQRT(n) AS lam FROM d),
+r AS (SELECT feature, d, n, CASE WHEN lam < 0.27 THEN 1.0 ELSE LEAST(1.0, GREATEST(0.0, 2 * (
+    SELECT SUM(POW(-1.0, k - 1) * EXP(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)))) END AS pv FROM q)
+SELECT feature, ROUND(d, 6) AS ks_statistic, ROUND(pv, 6) AS p_value, CAST(pv < 0.05 AS BIGINT) AS is_drift,
+  CAST(n AS BIGINT) AS n_current FROM r"""
+
+
+def _ks_normal(t):
     ref, cur = X.drift_pair(t)
     return D.ks_normal_test(ref, cur, FEATS)
 
 
+@register("ks_normal_test", "M4 B9", oracle(KS_NORMAL_SQL, **_drift_sides_sql()))
+def q_ks_normal(t):
+    return _ks_normal(t)
+
+
 PSI_SQL = f"""
 WITH l AS ({_long_sql()}),
 e AS (SELECT feature, MIN(value) AS mn, MAX(value) AS mx FROM l WHERE side = 'ref' GROUP BY feature),
@@ -260,13 +283,13 @@ def q_label_shift(t):
 
 
 @register("multi_feature_drift", "M10", oracle(f"""
-WITH ks AS ({KS_SQL.strip()})
+WITH ks AS ({KS_NORMAL_SQL.strip()})
 SELECT CAST(COUNT(*) FILTER (WHERE is_drift = 1) AS BIGINT) AS drifted_features,
   CAST(COUNT(*) FILTER (WHERE is_drift = 1) >= 3 AS BIGINT) AS overall_drift,
   CASE WHEN COUNT(*) FILTER (WHERE is_drift = 1) >= 3 THEN 'Trigger model retraining' ELSE 'No action needed' END AS recommendation
 FROM ks""", **_drift_sides_sql()))
 def q_multi_drift(t):
-    return D.multi_feature_drift(_ks(t))
+    return D.multi_feature_drift(_ks_normal(t))
 
 
 def _pairs():
@@ -304,18 +327,19 @@ def q_prediction_drift(t):
 
 @register("windowed_psi", "M13", oracle("""
 WITH mm AS (SELECT MIN(value) AS mn, MAX(value) AS mx FROM events),
-b AS (SELECT ts, value, CASE WHEN mx - mn = 0 THEN 1 ELSE LEAST(10, GREATEST(1, CAST(CEIL((value - mn) / ((mx - mn) / 10)) AS BIGINT))) END AS bin
-      FROM events, mm),
+b AS (SELECT CAST(ts AS DATE) AS day, value, CASE WHEN mx - mn = 0 THEN 1 ELSE LEAST(10, GREATEST(1, CAST(CEIL((value - mn) / ((mx - mn) / 10)) AS BIGINT))) END AS bin
+      FROM events, mm WHERE value IS NOT NULL),
 ref AS (SELECT bin, COUNT(*) / SUM(COUNT(*)) OVER () AS r FROM b GROUP BY bin),
-w AS (SELECT date_trunc('day', ts) - k * INTERVAL 1 DAY AS ws, bin, value FROM b, range(0, 7) t(k)),
+w AS (SELECT day - CAST(k AS INTEGER) AS ws, bin, value FROM b, range(0, 30) t(k)),
 per AS (SELECT ws, bin, COUNT(*) AS n FROM w GROUP BY 1, 2),
-tot AS (SELECT ws, COUNT(*) AS tot, SUM(value) AS sv FROM w GROUP BY 1),
-f AS (SELECT t.ws, t.tot, t.sv, GREATEST(COALESCE(p.n, 0) / t.tot, 1e-6) AS cs, GREATEST(ref.r, 1e-6) AS rs
-      FROM tot t CROSS JOIN ref LEFT JOIN per p ON p.ws = t.ws AND p.bin = ref.bin)
+tot AS (SELECT ws, COUNT(*) AS tot, CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS sv FROM w GROUP BY 1),
+f AS (SELECT t.ws, t.tot, t.sv, ref.bin, COALESCE(p.n, 0) / t.tot AS c, ref.r
+      FROM tot t CROSS JOIN ref LEFT JOIN per p ON p.ws = t.ws AND p.bin = ref.bin),
+g AS (SELECT *, ABS(SUM(c - r) OVER (PARTITION BY ws ORDER BY bin)) AS gap, GREATEST(c, 1e-6) AS cs, GREATEST(r, 1e-6) AS rs FROM f)
 SELECT CAST(ws AS VARCHAR) AS window_start, CAST(tot AS BIGINT) AS events, ROUND(sv / tot, 6) AS mean_value,
-  ROUND(SUM((cs - rs) * LN(cs / rs)), 6) AS psi FROM f GROUP BY ws, tot, sv"""))
-def q_windowed_psi(t):
-    return D.windowed_psi(t.events, "ts", "value")
+  ROUND(SUM((cs - rs) * LN(cs / rs)), 6) AS psi, ROUND(MAX(gap), 6) AS ks_statistic FROM g GROUP BY ws, tot, sv"""))
+def q_windowed_drift(t):
+    return D.windowed_drift(t.events, "ts", "value")
 
 
 @register("drift_actions", "M14", oracle(f"""

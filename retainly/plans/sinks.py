@@ -138,24 +138,28 @@ def q_feedback_join(t):
 
 @register("stream_prediction_monitor", "R6 M12", oracle("""
 WITH r AS (SELECT LEAST(FLOOR(churn_probability * 10), 9) AS bin, COUNT(*) AS rn FROM pref GROUP BY 1),
-c AS (SELECT LEAST(FLOOR(churn_probability * 10), 9) AS bin, COUNT(*) AS cn FROM predictions GROUP BY 1),
-j AS (SELECT COALESCE(rn, 0) AS rn, COALESCE(cn, 0) AS cn FROM r FULL OUTER JOIN c ON r.bin = c.bin),
-s AS (SELECT SQRT(SUM(POW(SQRT(rn / (SELECT SUM(rn) FROM j)) - SQRT(cn / (SELECT SUM(cn) FROM j)), 2)) / 2) AS h FROM j)
-SELECT CAST(0 AS BIGINT) AS batch_id, ROUND(h, 6) AS hellinger, CAST(h > 0.1 AS BIGINT) AS prediction_drift FROM s""",
+d AS (SELECT DATE '2001-01-01' + CAST(customer_id % 5 AS INTEGER) AS day, LEAST(FLOOR(churn_probability * 10), 9) AS bin FROM predictions),
+c AS (SELECT day, bin, COUNT(*) AS cn FROM d GROUP BY 1, 2),
+g AS (SELECT day, CAST(b AS DOUBLE) AS bin FROM (SELECT DISTINCT day FROM d), range(0, 10) t(b)),
+j AS (SELECT g.day, COALESCE(rn, 0) / (SELECT SUM(rn) FROM r) AS p, COALESCE(cn, 0) / SUM(COALESCE(cn, 0)) OVER (PARTITION BY g.day) AS q
+      FROM g LEFT JOIN r ON r.bin = g.bin LEFT JOIN c ON c.day = g.day AND c.bin = g.bin),
+s AS (SELECT day, SQRT(SUM(POW(SQRT(p) - SQRT(q), 2)) / 2) AS h FROM j GROUP BY day)
+SELECT CAST(day AS VARCHAR) AS day, ROUND(h, 6) AS hellinger, CAST(h > 0.1 AS BIGINT) AS prediction_drift FROM s""",
                                                        ["predictions"], pref=V.predictions_at_sql("2000-01-01 00:00:00")))
 def q_stream_monitor(t):
+    """Scores of five days, two files a batch, so that days come in several batches."""
     spark = t.spark
     src = scratch_path(spark, "scores")
-    cur = V.predictions(t)
-    cur.write.parquet(src)
-    stream = spark.readStream.schema(cur.schema).parquet(src)
+    day = F.date_add(F.lit("2001-01-01").cast("date"), (F.col("customer_id") % 5).cast("int"))
+    cur = V.predictions(t).withColumn("scored_at", day.cast("timestamp"))
+    cur.repartition(6).write.parquet(src)
+    stream = spark.readStream.schema(cur.schema).option("maxFilesPerTrigger", 2).parquet(src)
     out = scratch_path(spark, "score-monitor")
-    ref = V.predictions_at(t, "2000-01-01 00:00:00")
-    q = (stream.writeStream.foreachBatch(J.monitor_prediction_distribution(ref, out))
+    q = (stream.writeStream.foreachBatch(J.monitor_prediction_distribution(out, "scored_at"))
          .option("checkpointLocation", scratch_path(spark, "ckpt-monitor")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).select(F.col("batch_id").cast("bigint").alias("batch_id"), "hellinger",
-                                          "prediction_drift")
+    ref = V.predictions_at(t, "2000-01-01 00:00:00")
+    return J.daily_prediction_drift(ref, spark.read.parquet(out)).withColumn("day", F.col("day").cast("string"))
 
 
 @register("stream_scoring", "R4 P2")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.drift import hellinger
+from ..operators.drift import hellinger_by, score_bins
 from ..operators.score import prepare_features
 
 
@@ -73,16 +73,23 @@ def rolling_error_rate(feedback: DataFrame, watermark: str = "1 day", window: st
             .agg(F.count(F.lit(1)).alias("n"), F.avg(wrong).alias("error_rate")))
 
 
-def monitor_prediction_distribution(reference_scores: DataFrame, path: str, score: str = "churn_probability"):
-    """A `foreachBatch` function that compares each micro-batch of scores
-    with the reference histogram (Hellinger, M12) and writes one row per
-    batch into `batch_id=N` (overwrite: a replayed batch replaces itself)."""
+def monitor_prediction_distribution(path: str, day: str, score: str = "churn_probability"):
+    """A `foreachBatch` function that counts each micro-batch's scores per
+    (day, bin) into `batch_id=N` (overwrite: a replayed batch replaces itself).
+    A day may come in several batches; `daily_prediction_drift` adds them up."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        h = hellinger(reference_scores, batch, score)
-        h.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        counts = batch.groupBy(F.to_date(day).alias("day"), score_bins(score).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
+def daily_prediction_drift(reference: DataFrame, counts: DataFrame, score: str = "churn_probability") -> DataFrame:
+    """Hellinger distance (M12) of each day's scores from the reference
+    scores, whose histogram is counted once, not per batch."""
+    hist = reference.groupBy(score_bins(score).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return hellinger_by(hist, counts, "day")
+
+
 def upsert_batches(path: str):
     """`foreachBatch` sink for update-mode aggregates: every micro-batch is
     written to its own `batch_id=N` folder with overwrite, so a batch replayed
