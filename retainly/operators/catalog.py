@@ -39,12 +39,13 @@ def _w(as_of: str, days: int):
     return F.col("order_date") >= since(as_of, days)
 
 
-def purchase_aggregates(tx: DataFrame, as_of: str) -> DataFrame:
+def purchase_aggregates(tx: DataFrame, recent: DataFrame, as_of: str) -> DataFrame:
     """C1-C12, C19-C24, C46 per customer with transactions.
 
-    The additive measures come out of one grouped pass. The distinct counts
-    (order days in 7/30/90 days, payment methods in 90 days) read only the
-    90-day slice (the date filter reaches the scan): (customer, day) and
+    The additive measures come out of one grouped pass over the order columns
+    of the whole history. The refund and discount rates and the distinct counts
+    (order days in 7/30/90 days, payment methods in 90 days) read only `recent`,
+    the 90-day slice with the lines' flags: (customer, day) and
     (customer, method) pairs are deduplicated by partial aggregation and then
     counted. Written as four conditional `count_distinct`s, Spark would
     expand every order of the whole history five times before the shuffle.
@@ -57,11 +58,9 @@ def purchase_aggregates(tx: DataFrame, as_of: str) -> DataFrame:
         F.max("order_date").alias("last"),
         F.sum(F.when(w7, amt)).alias("s7"), F.sum(F.when(w30, amt)).alias("s30"),
         F.sum(F.when(w90, amt)).alias("s90"),
-        F.avg(F.when(w90, F.col("refund_flag"))).alias("rr90"),
-        F.avg(F.when(w90, F.col("discount_flag"))).alias("du90"),
         F.count_if(w30 & ~w15).alias("early30"), F.count_if(w15).alias("late30"),
         F.sum(amt).alias("ltv"))
-    recent = tx.filter(w90)
+    rates = recent.groupBy("customer_id").agg(F.avg("refund_flag").alias("rr90"), F.avg("discount_flag").alias("du90"))
     day_last = recent.groupBy("customer_id", F.to_date("order_date").alias("_day")) \
         .agg(F.max("order_date").alias("order_date"))
     days = day_last.groupBy("customer_id").agg(
@@ -70,35 +69,37 @@ def purchase_aggregates(tx: DataFrame, as_of: str) -> DataFrame:
     methods = recent.filter(F.col("payment_method").isNotNull()) \
         .select("customer_id", "payment_method").distinct() \
         .groupBy("customer_id").agg(F.count(F.lit(1)).alias("pm90"))
-    j = base.join(days, "customer_id", "left").join(methods, "customer_id", "left")
+    j = base.join(rates, "customer_id", "left").join(days, "customer_id", "left").join(methods, "customer_id", "left")
     return j.fillna(0, subset=["d7", "d30", "d90", "pm90"])
 
 
-def category_diversity(tx: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
+def category_diversity(recent: DataFrame, lines: DataFrame) -> DataFrame:
     """C17: distinct product categories of the customer's 90-day order lines."""
-    recent = tx.filter(_w(as_of, 90)).select("customer_id", "transaction_id")
-    j = recent.join(lines, F.col("transaction_id") == F.col("l_orderkey"))
+    j = recent.select("customer_id", "transaction_id").join(lines, F.col("transaction_id") == F.col("l_orderkey"))
     return j.groupBy("customer_id").agg(F.count_distinct("p_type").alias("cat90"))
 
 
-def purchase_regularity(tx: DataFrame, as_of: str) -> DataFrame:
+def purchase_regularity(recent: DataFrame) -> DataFrame:
     """Sample std of day gaps between consecutive 90-day orders (chunked
     lag, so a customer with a third of all orders is split across tasks)."""
-    recent = tx.filter(_w(as_of, 90)).select("customer_id", "transaction_id", "order_date")
-    prev = forward_fill(recent, ["order_date"], "customer_id", ["order_date", "transaction_id"],
+    prev = forward_fill(recent.select("customer_id", "transaction_id", "order_date"), ["order_date"], "customer_id", ["order_date", "transaction_id"],
                         include_current=False)
     gaps = prev.filter(F.col("prev_order_date").isNotNull()) \
         .select("customer_id", days_between("order_date", "prev_order_date").alias("gap"))
     return gaps.groupBy("customer_id").agg(F.stddev_samp("gap").alias("reg"))
 
 
-def catalog_purchase_features(customers: DataFrame, tx: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
-    """C1-C12, C17-C24, C46 for every customer."""
-    a = purchase_aggregates(tx, as_of)
+def catalog_purchase_features(customers: DataFrame, tx: DataFrame, lines: DataFrame, as_of: str,
+                              recent: DataFrame | None = None) -> DataFrame:
+    """C1-C12, C17-C24, C46 for every customer. `recent`: the 90-day slice of tx
+    with refund and discount flags (default: cut from tx), read several times;
+    with it, tx needs the order columns alone."""
+    recent = tx.filter(_w(as_of, 90)) if recent is None else recent
+    a = purchase_aggregates(tx, recent, as_of)
     c = (customers.select("customer_id", "signup_date")
          .join(a, "customer_id", "left")
-         .join(category_diversity(tx, lines, as_of), "customer_id", "left")
-         .join(purchase_regularity(tx, as_of), "customer_id", "left"))
+         .join(category_diversity(recent, lines), "customer_id", "left")
+         .join(purchase_regularity(recent), "customer_id", "left"))
     as_of_c = F.lit(as_of).cast("timestamp_ntz")
     z = lambda x: F.coalesce(F.col(x), F.lit(0))
     has90 = F.coalesce(F.col("c90"), F.lit(0)) > 0

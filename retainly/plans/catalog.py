@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_double, as_long
+from ..functions.exprs import as_double, as_long, since
 from ..operators import catalog as K
 from ..operators.rfm import rfm_scores
+from ..session import materialize
 from ..sources import views as V
 from ..sources.views import EVENTS_AS_OF as EA
 from ..sources.views import ORDERS_AS_OF as OA
@@ -89,7 +90,10 @@ LEFT JOIN reg ON reg.customer_id = c.customer_id"""
 
 
 def _purchase(t):
-    return K.catalog_purchase_features(V.customers(t), V.transactions(t), V.line_categories(t), OA)
+    """The 90-day slice is cut once (orders and their lines pruned first) and
+    feeds the rates, distinct counts, categories and gaps."""
+    recent = materialize(V.transactions(t, where=F.col("o_orderdate") >= since(OA, 90)))
+    return K.catalog_purchase_features(V.customers(t), V.transactions(t, lines=False), V.line_categories(t, recent), OA, recent)
 
 
 @register("catalog_purchase_features", "C1 C2 C3 C4 C5 C6 C7 C8 C9 C10 C11 C12 C17 C18 C19 C20 C21 C22 C23 C24 C46",
@@ -192,7 +196,7 @@ LEFT JOIN sl ON sl.customer_id = p.customer_id""",
     ["customers", "transactions", "behavior_events", "support_tickets", "reviews"],
     purchase=PURCHASE_SQL, eng=ENGAGEMENT_SQL))
 def q_catalog_interactions(t):
-    p = _purchase(t)
+    p = materialize(_purchase(t))  # read for the products and by the ranks
     ri = K.rfm_index(p)
     e = _engagement(t).select("customer_id", "support_ticket_count_90d")
     sl = K.purchase_trend_slope(V.transactions(t, lines=False), OA)

@@ -18,6 +18,7 @@ from ..session import materialize, scratch_path
 from ..sources import views as V
 from ..sources.views import EVENTS_AS_OF as EA
 from ..sources.views import ORDERS_AS_OF as OA
+from .catalog import _purchase
 from .registry import REGISTRY, register
 from .sqltext import oracle, r6
 
@@ -335,7 +336,7 @@ def q_risk_counters(t):
 
 
 def _scoring_input(t):
-    p = K.catalog_purchase_features(V.customers(t), V.transactions(t), V.line_categories(t), OA)
+    p = materialize(_purchase(t))  # read by the ranks and the join
     ri = K.rfm_index(p).select("customer_id", F.col("rfm_index").alias("rfm_score"))
     e = K.catalog_engagement_features(V.customers(t), V.behavior_events(t), V.support_tickets(t), V.reviews(t), EA) \
         .select("customer_id", "support_ticket_count_90d")

@@ -79,9 +79,13 @@ def order_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     return g.join(codes, "code").select("l_orderkey", F.col("p_type").alias("category"), "refund", "discounted")
 
 
-def line_categories(t: Tables) -> DataFrame:
-    """(l_orderkey, p_type) per order line (lineitem joined with part)."""
-    return t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_type")
+def line_categories(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """(l_orderkey, p_type) per order line (lineitem joined with part);
+    `orders` (transaction_id) restricts the lines before they meet parts."""
+    lines = t.lineitem
+    if orders is not None:
+        lines = lines.join(orders.select("transaction_id"), F.col("l_orderkey") == F.col("transaction_id"), "left_semi")
+    return lines.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_type")
 
 
 def transactions(t: Tables, lines: bool = True, where=None) -> DataFrame:
