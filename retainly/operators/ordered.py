@@ -194,6 +194,16 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
                     *[F.col(f"{m}_total") for m in measures])
 
 
+def join_by_value(df: DataFrame, table: DataFrame, on, share: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Left join of rows with a per-value table (columns `on`, `_cnt`, `_n`). A
+    value that holds 1/share of its key's rows or more would put them into one
+    task; there are at most `share` such values per key, so they are broadcast
+    and their rows stay where they are. All others are joined by a shuffle."""
+    hot = F.broadcast(table.filter(F.col("_cnt") * share >= F.col("_n")))
+    rest = df.join(hot.select(*on), list(on), "left_anti").join(table, list(on), "left")
+    return df.join(hot, list(on)).unionByName(rest)
+
+
 def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int | None = None,
                value_splits=None, tie_splits=None) -> DataFrame:
     """Row-level `rank(method='first')`: 1 + rows with a smaller value + rows
@@ -205,12 +215,12 @@ def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int | No
     keys = list(keys)
     base = df.withColumn("_one", F.lit(1).cast("bigint"))
     by_value = ordered_prefix(base, value, ["_one"], keys, n_buckets=n_buckets, splits=value_splits) \
-        .select(*keys, value, F.col("_one_below").alias("_vb"), F.col("_one_total").alias("_n"))
+        .select(*keys, value, F.col("_one_below").alias("_vb"), F.col("_one").alias("_cnt"), F.col("_one_total").alias("_n"))
     within = ordered_prefix(base.select(*keys, value, tie, "_one"), tie, ["_one"], keys + [value],
                             n_buckets=n_buckets, collapse=False, small_keys=False, splits=tie_splits) \
         .select(*keys, value, tie, F.col("_one_below").alias("_tb"))
-    return (df.join(within, keys + [value, tie]).join(by_value, keys + [value])
-            .withColumn("_rank", F.col("_vb") + F.col("_tb") + 1).drop("_vb", "_tb"))
+    return (join_by_value(df.join(within, keys + [value, tie]), by_value, keys + [value])
+            .withColumn("_rank", F.col("_vb") + F.col("_tb") + 1).drop("_vb", "_tb", "_cnt"))
 
 
 def value_ranks(df: DataFrame, value: str, keys=(), n_buckets: int | None = None,
@@ -264,7 +274,7 @@ def percent_ranks(df: DataFrame, key: str, cols, n_buckets: int | None = None, s
     long = unpivot(df, [key], cols)
     r = value_ranks(long, "value", ["feature"], n_buckets, small_keys=True, splits=sp)
     pr = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    j = long.join(r.select("feature", "value", pr.alias("_pr")), ["feature", "value"], "left")
+    j = join_by_value(long, r.select("feature", "value", "_cnt", "_n", pr.alias("_pr")), ["feature", "value"])
     wide = j.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("_pr"))).alias(f"{c}{suffix}")
                                 for c in cols])
     return df.join(wide, key, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long
 from .dataset import standard_scale
-from .ordered import value_ranks
+from .ordered import join_by_value, value_ranks
 
 DEFAULT_THRESHOLD = 0.35
 # Risk bands of the scoring contract.
@@ -54,7 +54,7 @@ def risk_fields(df: DataFrame, prob: str = "churn_probability", threshold: float
     band = F.when(p < LOW_RISK, "low").when(p <= HIGH_RISK, "medium").otherwise("high")
     r = value_ranks(df.select(prob), prob)
     pct = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1) * 100).otherwise(F.lit(0.0))
-    j = df.join(r.select(prob, pct.alias("risk_percentile")), prob, "left")
+    j = join_by_value(df, r.select(prob, "_cnt", "_n", pct.alias("risk_percentile")), [prob])
     rec = F.coalesce(*[F.when(F.col("risk_band") == k, F.lit(v)) for k, v in RECOMMENDATIONS.items()])
     return j.select(*df.columns,
                     as_double(2 * F.abs(p - 0.5)).alias("confidence"),

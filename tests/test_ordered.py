@@ -160,3 +160,22 @@ def test_with_bucket_paths_agree(spark):
         for r in got:
             exp = 0 if r["v"] is None else int(np.searchsorted(splits, r["v"], side="right"))
             assert r["b"] == exp and (r["v"] is None or r["e"] == exp)
+
+
+def test_a_value_with_most_rows_is_not_one_task(spark):
+    """70 % of the rows on one value, without AQE's skew join: its rows are never shuffled by value."""
+    from pyspark.sql import functions as F
+
+    from retainly.operators import ordered as O
+    df = spark.range(2000).select("id", F.when(F.col("id") % 10 < 7, 0.0).otherwise(F.col("id") * 1.0).alias("v"))
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        got = {r.id: r.v_pr for r in O.percent_ranks(df, "id", ["v"], n_buckets=8).collect()}
+        table = O.value_ranks(df, "v", n_buckets=8)
+        plan = O.join_by_value(df, table, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    assert "strategy=broadcast" in plan and "LeftAnti" in plan
+    values = sorted(0.0 if i % 10 < 7 else float(i) for i in range(2000))
+    first = {v: values.index(v) for v in set(values)}
+    assert all(abs(got[i] - first[0.0 if i % 10 < 7 else float(i)] / 1999) < 1e-12 for i in range(2000))
