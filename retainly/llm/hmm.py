@@ -9,8 +9,8 @@ the unigram base is: 0.1 for each known word and for all unknown ones together.
 The model is a distribution over all word sequences, and the scaled forward
 recursion gives a text's exact log likelihood.
 
-Texts are first cut into words and packed: a pack holds some two million
-tokens as places in a list of its own distinct words. Word counts come from
+Texts are first cut into words and packed: a pack holds some PACK tokens as
+places in a list of its own distinct words. Word counts come from
 the packs' lists, and go back to them by a join on the word; a frequent word
 is one row for each pack, not one for each use. Training steps are passes over
 the packs, whose tasks return expected counts of fixed size that Spark adds up.
@@ -38,8 +38,7 @@ from .common import body, prepare, saved
 STATES = 8
 CLASSES = 4096  # of words; the end token's class is one more
 STEPS = 4  # of Baum-Welch
-PACK = 2_000_000  # tokens
-GROUP = 300_000  # tokens that are run through the recursions together
+PACK = 800_000  # tokens; a pack's texts are run through the recursions side by side
 ADD = 0.1  # smoothing of word counts
 PRIOR = 10.0  # weight of the whole text's class shares in a state's
 SEED = 5
@@ -58,11 +57,12 @@ def word_class(word: bytes) -> int:
 
 def packed(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> pack long, doc_ids, held (array<boolean>), sizes (array<int>, words of each text),
-    words array<binary>, codes binary (int32: place in words), trained binary (int32: training uses of each word)."""
+    words array<binary>, classes binary (int16: of the words), codes binary (int32: place in words), trained binary (int32:
+    training uses of each word)."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
-    types = [pa.int64(), pa.list_(to_arrow_type(kind)), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-    names = ["pack", "doc_ids", "held", "sizes", "words", "codes", "trained"]
+    types = [pa.int64(), pa.list_(to_arrow_type(kind)), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+    names = ["pack", "doc_ids", "held", "sizes", "words", "classes", "codes", "trained"]
 
     def made(ids, held, sizes, place, codes):
         seq = np.concatenate([np.asarray(c, np.int32) for c in codes]) if codes else np.empty(0, np.int32)
@@ -70,7 +70,8 @@ def packed(docs: DataFrame) -> DataFrame:
         uses = np.bincount(seq[train], minlength=len(place)).astype(np.int32)
         # a task that is run again packs the same rows alike, so the name is stable
         name = zlib.crc32(seq.tobytes()) << 31 | zlib.crc32(repr((ids[:64], len(ids))).encode()) >> 1
-        row = [name, ids, held, sizes, list(place), seq.tobytes(), uses.tobytes()]
+        classes = np.array([word_class(w) for w in place], np.int16)
+        row = [name, ids, held, sizes, list(place), classes.tobytes(), seq.tobytes(), uses.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
     def pack(batches):
@@ -90,7 +91,7 @@ def packed(docs: DataFrame) -> DataFrame:
             yield made(ids, held, sizes, place, codes)
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), body().alias("body")).mapInArrow(
-        pack, f"pack bigint, doc_ids array<{kind.simpleString()}>, held array<boolean>, sizes array<int>, words array<binary>, codes binary, trained binary")
+        pack, f"pack bigint, doc_ids array<{kind.simpleString()}>, held array<boolean>, sizes array<int>, words array<binary>, classes binary, codes binary, trained binary")
 
 
 def word_uses(packs: DataFrame) -> DataFrame:
@@ -98,15 +99,16 @@ def word_uses(packs: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for pack, words, trained in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                uses = np.frombuffer(trained, np.int32)
+            for row in range(batch.num_rows):
+                pack, words, classes, trained = (batch.column(k)[row].as_py() for k in range(4))
+                uses, classes = np.frombuffer(trained, np.int32), np.frombuffer(classes, np.int16)
                 for k in range(0, len(words), 100_000):
                     part = words[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(part), pack, np.int64)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(part, pa.binary()),
-                        pa.array(np.array([word_class(bytes(w)) for w in part], np.int32)), pa.array(uses[k : k + len(part)].astype(np.int64))], names=["pack", "place", "word", "class", "uses"])
+                        pa.array(classes[k : k + len(part)].astype(np.int32)), pa.array(uses[k : k + len(part)].astype(np.int64))], names=["pack", "place", "word", "class", "uses"])
 
-    return packs.select("pack", "words", "trained").mapInArrow(rows, "pack bigint, place int, word binary, class int, uses bigint")
+    return packs.select("pack", "words", "classes", "trained").mapInArrow(rows, "pack bigint, place int, word binary, class int, uses bigint")
 
 
 # --- Recursions -----------------------------------------------------------------------------------------------
@@ -126,6 +128,10 @@ class Model:
         move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
         return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
 
+    def single(self) -> Model:
+        """In single precision, which training needs no more than."""
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
     def after(self, starts, moves, emits, shares) -> Model:
         """Re-estimated from expected counts."""
         start, move, emit = starts + 1, moves + 1, emits + PRIOR * shares[:, None]
@@ -133,23 +139,23 @@ class Model:
 
 
 class Group:
-    """Sequences of classes side by side, the longest first, in the order of time."""
+    """Sequences of classes side by side, the longest first, in the order of time. classes: one after the other."""
 
-    def __init__(self, sequences: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sequences])
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray):
         self.order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[self.order]
-        self.active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # sequences longer than t
+        longest = sizes[self.order]
+        self.active = np.searchsorted(-longest, -np.arange(longest[0]), "left")  # sequences longer than t
         self.begin = np.r_[0, np.cumsum(self.active)]
-        t = np.concatenate([np.arange(n) for n in sizes])
-        self.place = self.begin[t] + np.repeat(np.arange(len(sizes)), sizes)
-        self.classes = np.empty(len(t), np.int64)
-        self.classes[self.place] = np.concatenate([sequences[k] for k in self.order])
+        rank = np.empty(len(sizes), np.int64)
+        rank[self.order] = np.arange(len(sizes))
+        t = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.classes = np.empty(len(classes), classes.dtype)
+        self.classes[self.begin[t] + np.repeat(rank, sizes)] = classes
 
     def forward(self, model: Model):
         """(emissions, scaled alphas, scales) of all tokens."""
         emit = model.emit[self.classes]
-        alpha, scale, ones = np.empty_like(emit), np.empty(len(emit)), np.ones(emit.shape[1])
+        alpha, scale, ones = np.empty_like(emit), np.empty(len(emit), emit.dtype), np.ones(emit.shape[1], emit.dtype)
         for t, n in enumerate(self.active):
             b = self.begin[t]
             now = alpha[b : b + n]
@@ -178,42 +184,29 @@ class Group:
         emit, alpha, scale = self.forward(model)
         beta = np.ones_like(alpha)
         back = model.move.T.copy()
+        emit /= scale[:, None]
+        moves = np.zeros(model.move.shape)
         for t in range(len(self.active) - 1, 0, -1):
             b, n, up = self.begin[t], self.active[t], self.begin[t - 1]
             ahead = emit[b : b + n]
             ahead *= beta[b : b + n]
-            ahead /= scale[b : b + n, None]
             np.matmul(ahead, back, out=beta[up : up + n])
-        later = np.arange(self.active[0], len(scale))  # tokens with one before them; emit now holds what is ahead of it
-        before = np.concatenate([np.arange(self.begin[t - 1], self.begin[t - 1] + n) for t, n in enumerate(self.active) if t] or [np.empty(0, np.int64)])
-        moves = (alpha[before].T @ emit[later]) * model.move
+            moves += alpha[up : up + n].T @ ahead
         alpha *= beta
         emits = np.stack([np.bincount(self.classes, alpha[:, k], len(model.emit)) for k in range(alpha.shape[1])], 1)
-        return alpha[: self.active[0]].sum(0), moves, emits
-
-
-def groups(sequences: list[np.ndarray]):
-    """(places, Group) of sequences of like length, each of some GROUP tokens."""
-    order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
-    own, n = [], 0
-    for k in order:
-        own.append(k)
-        n += len(sequences[k])
-        if n >= GROUP:
-            yield own, Group([sequences[k] for k in own])
-            own, n = [], 0
-    if own:
-        yield own, Group([sequences[k] for k in own])
+        return alpha[: self.active[0]].sum(0, np.float64), moves * model.move, emits
 
 
-def sequences_of(words, sizes, codes) -> list[np.ndarray]:
-    """Classes of each text of a pack, with its end."""
-    classes = np.array([word_class(bytes(w)) for w in words], np.int16 if CLASSES < 2**15 else np.int32)
-    seq, at, made = np.frombuffer(codes, np.int32), 0, []
-    for n in sizes:
-        made.append(np.r_[classes[seq[at : at + n]], CLASSES].astype(np.int64))
-        at += n
-    return made
+def group_of(held, sizes, classes, codes, train: bool = False) -> Group | None:
+    """A pack's texts with their ends, or its training texts."""
+    sizes = np.array(sizes, np.int64)
+    flat = np.frombuffer(classes, np.int16)[np.frombuffer(codes, np.int32)]
+    flat = np.insert(flat, np.cumsum(sizes), CLASSES)
+    sizes = sizes + 1
+    if train:
+        keep = ~np.array(held, bool)
+        flat, sizes = flat[np.repeat(keep, sizes)], sizes[keep]
+    return Group(flat, sizes) if len(sizes) else None
 
 
 # --- Training and scoring -------------------------------------------------------------------------------------
@@ -227,23 +220,20 @@ def train(packs: DataFrame, shares: np.ndarray, steps: int = STEPS) -> Model:
         shared = spark.sparkContext.broadcast(model)  # fixed size: states x classes
 
         def expected(batches, shared=shared):
-            now = shared.value
+            now = shared.value.single()
             starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES))
             for batch in batches:
                 for k in range(batch.num_rows):
-                    held, sizes, words, codes = (batch.column(c)[k].as_py() for c in range(4))
-                    own = [s for s, out in zip(sequences_of(words, sizes, codes), held) if not out]
-                    for _, group in groups(own):
-                        a, b, c = group.expected(now)
-                        starts += a
-                        moves += b
-                        emits += c
+                    group = group_of(*(batch.column(c)[k].as_py() for c in range(4)), train=True)
+                    if group:
+                        for total, part in zip((starts, moves, emits), group.expected(now)):
+                            total += part
             rows = np.vstack([emits, moves, starts])
             used = np.flatnonzero(rows.sum(1) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[used, k]) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))])
 
         columns = [f"s{k}" for k in range(STATES)]
-        counted = (packs.select("held", "sizes", "words", "codes").mapInArrow(expected, "row int, " + ", ".join(f"{c} double" for c in columns))
+        counted = (packs.select("held", "sizes", "classes", "codes").mapInArrow(expected, "row int, " + ", ".join(f"{c} double" for c in columns))
                    .groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)))
         total = np.zeros((CLASSES + 1 + STATES + 1, STATES))
         for r in counted.collect():  # classes + states + 2 rows at most
@@ -273,7 +263,7 @@ def scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     # Each pack's words with their counts come back as one row a pack, no longer than its list of words.
     found = (uses.select("pack", "place", "word").join(vocabulary.select("word", "c"), "word")
              .groupBy("pack").agg(F.collect_list("place").alias("places"), F.collect_list("c").alias("counts")))
-    joined = packs.select("pack", "doc_ids", "held", "sizes", "words", "codes").join(found, "pack", "left")
+    joined = packs.select("pack", "doc_ids", "held", "sizes", "classes", "codes").join(found, "pack", "left")
     shared = spark.sparkContext.broadcast((model, n_of, v_of))  # fixed size
     kind = docs.schema["doc_id"].dataType
     base_of = math.log10(total + ADD * (known + 1))
@@ -284,11 +274,11 @@ def scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         log_class = np.log10(n_of + ADD * (v_of + 1))
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, held, sizes, words, codes, places, counts = (batch.column(c)[k].as_py() for c in range(7))
-                count = np.zeros(len(words))
+                ids, held, sizes, own_classes, codes, places, counts = (batch.column(c)[k].as_py() for c in range(7))
+                classes = np.frombuffer(own_classes, np.int16)
+                count = np.zeros(len(classes))
                 if places:
                     count[places] = counts
-                classes = np.array([word_class(bytes(w)) for w in words], np.int64)
                 log_count = np.log10(count + ADD)
                 in_class = log_count - log_class[classes]
                 seq, sizes = np.frombuffer(codes, np.int32), np.array(sizes, np.int64)
@@ -297,9 +287,7 @@ def scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
                 score = sums(in_class)
                 base = sums(log_count - base_of) + end
                 n_known = sums((count > 0).astype(float)).astype(np.int64) + (texts > 0)
-                sequences = sequences_of(words, sizes, codes)
-                for own, group in groups(sequences):
-                    score[own] += group.likelihoods(model)
+                score += group_of(held, sizes, own_classes, codes).likelihoods(model)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, to_arrow_type(kind)), pa.array(held, pa.bool_()), pa.array(sizes + 1), pa.array(n_known),
                     pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=names)
