@@ -23,7 +23,7 @@ MESSAGE_SCHEMA = ("event_id bigint, customer_id bigint, event_type string, sessi
                   "event_timestamp string, value double, props struct<k: bigint>")
 
 
-def _messages(t) -> DataFrame:
+def event_messages(t) -> DataFrame:
     """Kafka-shaped records (topic, timestamp, value bytes) built from the
     behaviour events: JSON with a nested `props` object (FIXTURES.md §4)."""
     ev = V.behavior_events(t, props=True)
@@ -42,7 +42,7 @@ FROM behavior_events b JOIN events ev ON ev.event_id = b.event_id,
 LATERAL (SELECT CASE WHEN b.event_type = 'purchase' THEN 'transactions' ELSE 'customer_events' END AS topic) e""",
                                                    ["behavior_events"]))
 def q_json_events(t):
-    flat = IO.decode_json(_messages(t), MESSAGE_SCHEMA, keep=("topic",))
+    flat = IO.decode_json(event_messages(t), MESSAGE_SCHEMA, keep=("topic",))
     return flat.select("topic", "event_id", "customer_id", "event_type", "session_id", "value", "`props.k`")
 
 
@@ -55,7 +55,7 @@ WHERE b.event_timestamp >= TIMESTAMP '2024-01-10 00:00:00'
   AND b.event_timestamp < TIMESTAMP '2024-01-10 00:00:00' + INTERVAL 604800 SECOND""", ["behavior_events"]))
 def q_json_window(t):
     path = scratch_path(t.spark, "landed-messages")
-    _messages(t).write.parquet(path)
+    event_messages(t).write.parquet(path)
     raw = IO.read_message_window(t.spark, path, "2024-01-10 00:00:00", 7 * 24 * 3600)
     flat = IO.decode_json(raw, MESSAGE_SCHEMA, keep=("timestamp",))
     return flat.select(F.col("timestamp").cast("timestamp_ntz").cast("string").alias("timestamp"),

@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sources import views as V
 from ..streaming import jobs as J
 from .registry import register
+from .sinks import MESSAGE_SCHEMA, event_messages
 from .sqltext import oracle
 
 
@@ -52,8 +53,10 @@ def q_stream_hourly(t):
 SELECT CAST(event_timestamp AS DATE)::VARCHAR AS date, CAST(COUNT(*) AS BIGINT) AS events
 FROM (SELECT DISTINCT customer_id, event_timestamp FROM behavior_events) GROUP BY 1""", ["behavior_events"]))
 def q_stream_dedup(t):
-    path, schema = _event_files(t)
-    s = _stream(t, path, schema)
+    path = scratch_path(t.spark, "messages")
+    messages = event_messages(t)
+    messages.repartition(12).write.parquet(path)  # in no order of time
+    s = J.decode_events(t.spark.readStream.schema(messages.schema).parquet(path), MESSAGE_SCHEMA)
     d = J.dedup_events(s, "1 day").select("customer_id", "event_timestamp")
     out = scratch_path(t.spark, "landed")
     q = J.land_raw_events(d, out, scratch_path(t.spark, "ckpt-land"))

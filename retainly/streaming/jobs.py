@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.drift import hellinger_by, score_bins
 from ..operators.score import prepare_features
+from ..sources.io import decode_json
 
 
 def event_time(df: DataFrame, col: str = "event_timestamp") -> DataFrame:
@@ -22,6 +23,12 @@ def event_time(df: DataFrame, col: str = "event_timestamp") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
+def decode_events(raw: DataFrame, schema, ts: str = "event_timestamp") -> DataFrame:
+    """Kafka-shaped records (value: JSON bytes) -> flattened event columns
+    with a timestamp that watermarks accept."""
+    return event_time(decode_json(raw, schema, keep=("topic",)), ts)
+
+
 def land_raw_events(stream: DataFrame, path: str, checkpoint: str, ts: str = "event_timestamp",
                     trigger_available_now: bool = True):
     """Events -> date-partitioned parquet (exactly-once file sink)."""
