@@ -8,7 +8,7 @@ one threshold fits short and long items; all items at the threshold or above
 are retrieved. A passage whose terms' upper bounds don't reach the threshold
 together is passed over after a sum over its words; the others go through
 posting lists in item order, where a pivot is found by list bounds (WAND) and
-then checked by the bounds of the blocks that it lies in.
+is moved on to the next block of items that the terms' block bounds reach.
 
 A retrieved item is verified against the whole document: the item's text up to
 its first line break (without one: its first half) is the question, the rest
@@ -25,6 +25,7 @@ separately if their ids differ.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,8 +42,8 @@ THRESHOLD = 0.6
 GRAM = 5
 SIMILAR, PART = 0.8, 0.5
 K1, B = 1.2, 0.75
-BLOCK = 16  # postings
-ITEMS = 20_000  # items of one broadcast index
+BLOCK, BLOCKS = 16, 64  # items of a block at least, and blocks at most
+ITEMS = 5_000  # items of one broadcast index
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -75,56 +76,56 @@ class Index:
             total = sum(weight.values())
             for w, x in weight.items():
                 postings[self.term.setdefault(w, len(self.term))].append((at, x / total))
-        self.items = {t: [a for a, _ in p] for t, p in postings.items()}
-        self.weights = {t: [x for _, x in p] for t, p in postings.items()}
-        self.bound = [max(self.weights[t]) for t in range(len(self.term))]
+        self.items = [[a for a, _ in postings[t]] for t in range(len(self.term))]
+        self.weights = [[x for _, x in postings[t]] for t in range(len(self.term))]
+        self.bound = [max(w) for w in self.weights]
         self.bounds = np.array(self.bound)
-        # of each block its last item and its largest weight
-        self.blocks = {t: [(self.items[t][min(k + BLOCK, len(p)) - 1], max(p[k : k + BLOCK])) for k in range(0, len(p), BLOCK)] for t, p in self.weights.items()}
+        # Blocks of `width` items, the same in all lists: the largest weight of each term in each block.
+        self.width = max(BLOCK, -(-len(items) // BLOCKS))
+        self.block_bounds = np.zeros((len(self.term), -(-len(items) // self.width)), np.float32)
+        for t, (own, weights) in enumerate(zip(self.items, self.weights)):
+            np.maximum.at(self.block_bounds[t], np.array(own) // self.width, weights)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items that the distinct terms score at the threshold or above, by block-max WAND."""
-        found, least = [], threshold - 1e-9
-        lists = [[self.items[t][0], t, 0, 0] for t in terms]  # current item, term, place, block
-        items, weights, blocks, bounds = self.items, self.weights, self.blocks, self.bound
+        least = threshold - 1e-9
+        reach = np.flatnonzero(self.block_bounds[terms].sum(0) >= threshold - 1e-4)  # sums in single precision
+        if not len(reach):
+            return []
+        blocks, end, width = reach.tolist(), len(self.ids), self.width
+        found, items, weights, bound_of = [], self.items, self.weights, self.bound
+        lists = [[items[t][0], t, 0] for t in terms]  # current item, term, place
         while lists:
             lists.sort(key=lambda x: x[0])
             bound, pivot = 0.0, -1
             for k, x in enumerate(lists):
-                bound += bounds[x[1]]
+                bound += bound_of[x[1]]
                 if bound >= least:
                     pivot = k
                     break
             if pivot < 0:
                 break
             item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            bound, until = 0.0, None
-            for x in lists[: pivot + 1]:
-                own = blocks[x[1]]
-                while x[3] < len(own) and own[x[3]][0] < item:
-                    x[3] += 1
-                if x[3] < len(own):
-                    bound += own[x[3]][1]
-                    until = own[x[3]][0] if until is None else min(until, own[x[3]][0])
-            if bound >= least:
+            ahead = bisect_left(blocks, item // width)
+            if ahead == len(blocks):
+                break
+            if blocks[ahead] * width > item:  # no item before the next block in reach
+                target, moved = blocks[ahead] * width, len(lists)
+            else:
+                while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
+                    pivot += 1
+                target, moved = item, pivot + 1
                 if lists[0][0] == item:
-                    score = sum(weights[x[1]][x[2]] for x in lists[: pivot + 1])
+                    score = sum(weights[x[1]][x[2]] for x in lists[:moved])
                     if score >= least:
                         found.append((item, score))
                     target = item + 1
-                else:
-                    target = item
-            else:  # no item up to the end of these blocks, or to the next list's item, can reach it
-                ends = [x[0] for x in lists[pivot + 1 : pivot + 2]] + ([] if until is None else [until + 1])
-                target = max(item + 1, min(ends, default=item + 1))
-            for x in lists[: pivot + 1]:
-                own, k = items[x[1]], x[2]
-                while k < len(own) and own[k] < target:
-                    k += 1
-                x[2], x[0] = k, own[k] if k < len(own) else -1
-            lists = [x for x in lists if x[0] >= 0]
+            for x in lists[:moved]:
+                if x[0] < target:
+                    own = items[x[1]]
+                    x[2] = bisect_left(own, target, x[2])
+                    x[0] = own[x[2]] if x[2] < len(own) else end
+            lists = [x for x in lists if x[0] < end]
         return found
 
     def passages(self, terms: np.ndarray):
@@ -135,8 +136,9 @@ class Index:
         starts = np.arange(0, max(1, len(terms) - words + stride), stride)
         ends = np.minimum(starts + words, len(terms))
         for k in np.flatnonzero(total[ends] - total[starts] >= THRESHOLD - 1e-9):
-            own = np.unique(terms[starts[k] : ends[k]])
-            yield int(starts[k]), own[own >= 0].tolist()
+            own = set(terms[starts[k] : ends[k]].tolist())
+            own.discard(-1)
+            yield int(starts[k]), list(own)
 
     def matches(self, text: bytes) -> list[tuple]:
         """(item id, start word of the best passage, score, overlap, question's, answer's) of the verified items."""

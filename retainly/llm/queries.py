@@ -60,8 +60,8 @@ WITH r AS (
       || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(coalesce(html, '')) + 4 AS length
   FROM pages),
-o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
-SELECT CAST(file AS BIGINT) AS file, CAST(at AS BIGINT) AS "offset", CAST(page_id AS BIGINT) AS page_id, CAST(length AS BIGINT) AS length,
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM r)
+SELECT CAST(file AS BIGINT) AS file, CAST(place AS BIGINT) AS "offset", CAST(page_id AS BIGINT) AS page_id, CAST(length AS BIGINT) AS length,
   CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'corrupt' END AS status
 FROM o WHERE page_id % 211 = 7 OR page_id % 97 = 5
 """
