@@ -238,9 +238,8 @@ def _batches(made):
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, key1, key2, fingerprint (16 hex digits), component_id (the smallest doc_id
-    that it reaches over links; null ids count only where there are no others), first boolean (one row key of each
-    component: its smallest doc_id's). One row for each row of docs."""
+    """docs (doc_id, text, ...) -> doc_id, key1, key2, fingerprint (16 hex digits), root (of its component), component_id
+    (the smallest doc_id that it reaches over links; null where all are). One row for each row of docs."""
     marked = saved(fingerprints(docs, words), "fingerprints")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     roots = components(links(nodes, distance))
@@ -248,12 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("node"), "root", "component_id")
     named = saved(named, "fingerprint-components")
     found = marked.join(named, marked["fp"] == named["node"])
-    # The row that stands for a component: of its smallest doc_id's rows the one with the smallest key.
-    chosen = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy(F.col("root").alias("of")).agg(F.min("key1").alias("first1")))
-    found = found.join(chosen, found["root"] == chosen["of"])
-    return found.select("doc_id", "key1", "key2", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-                        (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key1") == F.col("first1"))).alias("first"))
+    return found.select("doc_id", "key1", "key2", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def representatives(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
@@ -262,7 +256,9 @@ def representatives(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     while set(names.values()) & set(docs.columns):
         names = {k: v + "_" for k, v in names.items()}
     a, b = names.values()
-    first = near_duplicates(docs, words, distance).where("first").select(F.col("key1").alias(a), F.col("key2").alias(b)).distinct()
+    # The row that stands for a component: of its smallest doc_id's rows the one with the smallest key.
+    first = (near_duplicates(docs, words, distance).where("doc_id <=> component_id")
+             .groupBy("root").agg(F.min("key1").alias(a), F.min_by("key2", "key1").alias(b)).select(a, b))
     own = docs.withColumns({v: c for v, c in zip((a, b), row_key())})
     nth = Window.partitionBy(a, b).orderBy(a)
     place = names["key1"] + "_place"
