@@ -52,7 +52,8 @@ from .common import body, partitions, prepare, saved, scratch_path
 WINDOW = 100
 GRAM = 32  # bytes of an anchor, a power of two
 TOKEN = 8
-PACK = 4_000_000
+PACK = 400_000  # bytes, unless a text is longer: a row that the JVM allocates like any other
+BUCKET = 4_000_000  # bytes of packs that one task reads
 LONG_RUN = 2000  # suffixes of one anchor that a bucket compares by itself
 ROWS = 100_000  # suffixes of a bucket
 
@@ -145,7 +146,7 @@ def packs_of(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     packed = docs.select("doc_id", order, body()).mapInArrow(pack, f"pack bigint, ids array<{kind.simpleString()}>, orders array<bigint>, sizes array<int>, text binary")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions(spark, min(50_000, 1 + size // PACK))
+    buckets = partitions(spark, min(50_000, 1 + size // BUCKET))
     name = f"packs_{uuid.uuid4().hex}"
     packed.write.option("path", scratch_path(spark, "suffix-packs")).bucketBy(buckets, "pack").saveAsTable(name)
     table = spark.table(name)
@@ -172,8 +173,11 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
                 start, _, _, gram, stretch, doc = anchors(text, sizes)
                 order = np.array(orders, np.int64)[doc]
                 by, known = settled(gram, stretch, order, doc, start)
-                own = by[~known]  # in order of their hash
-                part = ((gram[own] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                own = by[~known]
+                # anchors have small hashes, being the smallest around; mixed again they spread over all parts
+                part = ((gram[own] * _ODD >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                dealt = np.argsort(part, kind="stable")
+                own, part = own[dealt], part[dealt]
                 edges = np.searchsorted(part, np.arange(ranges + 1))
                 used = np.flatnonzero(np.diff(edges))
                 if len(used):
@@ -182,11 +186,26 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
                         pa.array(used.astype(np.int32)), pa.array(np.full(len(used), pack, np.int64)), lists(gram.view(np.int64), pa.int64()), lists(stretch, pa.int32()),
                         lists(order, pa.int64()), lists(np.arange(len(gram)), pa.int32())], names=["part", "pack", "gram", "stretch", "order", "number"])
 
-    def met(table):
-        sizes = pc.list_value_length(table.column("gram")).to_numpy()
-        flat = lambda name: np.concatenate([np.asarray(c.flatten()) for c in table.column(name).chunks])
-        gram, stretch, order, number = (flat(c) for c in ("gram", "stretch", "order", "number"))
-        pack = np.repeat(np.asarray(table.column("pack")), sizes)
+    def met(batches):
+        """Part after part; the rows of one are adjacent."""
+        held, current = [], None
+        for batch in batches:
+            parts = np.asarray(batch.column(0))
+            edges = np.r_[0, np.flatnonzero(np.diff(parts)) + 1, len(parts)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if b > a:
+                    if held and parts[a] != current:
+                        yield resolved(held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+                    current = parts[a]
+        if held:
+            yield resolved(held)
+
+    def resolved(batches):
+        flat = lambda name: np.concatenate([np.asarray(b.column(name).flatten()) for b in batches])
+        sizes = np.concatenate([pc.list_value_length(b.column("gram")).to_numpy(zero_copy_only=False) for b in batches])
+        gram, stretch, order = (flat(c) for c in ("gram", "stretch", "order"))
         by = np.lexsort((order, stretch, gram))
         g, s, o = gram[by], stretch[by], order[by]
         new_gram = np.r_[True, g[1:] != g[:-1]]
@@ -195,19 +214,20 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
         again = o > o[first]
         which = np.cumsum(new_gram) - 1
         several = np.bincount(which, new)[which] > 1
-        out = np.full(len(by), 0, np.int8)
-        out[again] = 1
-        out[~again & several] = 2
-        keep = out > 0
-        rows = {}
-        for kind in (1, 2):
-            at = by[keep & (out == kind)]
-            for p in np.unique(pack[at]).tolist():
-                rows.setdefault(p, ([], []))[kind - 1].extend(number[at[pack[at] == p]].tolist())
-        return pa.Table.from_arrays([pa.array(list(rows), pa.int64()), pa.array([r[0] for r in rows.values()], pa.list_(pa.int32())), pa.array([r[1] for r in rows.values()], pa.list_(pa.int32()))], names=["pack", "repeated", "open"])
+        kind = np.zeros(len(by), np.int8)
+        kind[by] = np.where(again, 1, np.where(several, 2, 0))  # back in the order of the packs
+        number, row = flat("number"), np.repeat(np.arange(len(sizes)), sizes)
+        lists = []
+        for k in (1, 2):
+            at = np.flatnonzero(kind == k)
+            ends = np.r_[0, np.cumsum(np.bincount(row[at], minlength=len(sizes)))]
+            lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(number[at])))
+        pack = pa.array(np.concatenate([np.asarray(b.column("pack")) for b in batches]))
+        return pa.RecordBatch.from_arrays([pack, *lists], names=["pack", "repeated", "open"])
 
     rows = packs.select("pack", "orders", "sizes", "text").mapInArrow(listed, "part int, pack bigint, gram array<bigint>, stretch array<int>, order array<bigint>, number array<int>")
-    found = rows.groupBy("part").applyInArrow(met, "pack bigint, repeated array<int>, open array<int>")
+    dealt = rows.repartition(max(ranges, partitions(packs.sparkSession)), "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(met, "pack bigint, repeated array<int>, open array<int>")
     return found.groupBy("pack").agg(F.flatten(F.collect_list("repeated")).alias("repeated"), F.flatten(F.collect_list("open")).alias("open"))  # a pack's own anchors
 
 

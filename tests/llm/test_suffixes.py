@@ -101,3 +101,12 @@ def test_awkward_rows(spark):
     assert sorted_rows(suffixes.kept(docs).collect()) == sorted_rows(brute(rows))
     assert suffixes.kept(docs.limit(0)).count() == 0
     assert suffixes.kept(frame(spark, [(1, "short"), (2, "short")])).count() == 2
+
+
+def test_anchors_spread_over_all_parts(spark):
+    """An anchor's hash is small, being the smallest around; the parts that meet by it have to be even all the same."""
+    rng = random.Random(8)
+    sizes = np.array([3000] * 40)
+    _, _, _, gram, _, _ = suffixes.anchors(b"".join(invented(rng, 800).encode()[:3000].ljust(3000) for _ in sizes), sizes)
+    parts = np.bincount(((gram * suffixes._ODD >> np.uint64(32)) * np.uint64(16) >> np.uint64(32)).astype(int), minlength=16)
+    assert parts.max() < 2 * parts.mean()
