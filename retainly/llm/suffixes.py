@@ -22,8 +22,8 @@ compared together.
    buckets. A bucket sorts its suffixes by multikey quicksort, token by token
    within runs of equals, and compares the windows of each run of equal anchors.
 4. Runs that reach a bucket's edge, where the next bucket may go on, and very
-   long ones are compared across buckets: their windows are grouped by digest,
-   combined before the shuffle.
+   long ones, which are cut, are compared across buckets as well: the first of
+   each window in a bucket is grouped by digest.
 
 All hashes only bring together what is then equal with a chance of error under
 2^-90 (stretches: 64 bits of the anchor and 32 of the stretch; open windows:
@@ -326,22 +326,26 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
         made, open_rows = [], []
         for a, b in zip(edges.tolist(), ends.tolist()):
             own = order[a:b]
-            if a == 0 or b == len(order) or b - a > LONG_RUN:
-                open_rows.extend(own.tolist())
-            elif b - a > 1:
-                own = own[np.lexsort((rows["start"][own], rows["doc"][own], rows["pack"][own], rows["order"][own]))]
-                made.extend(compared(rows, own))
+            own = own[np.lexsort((rows["start"][own], rows["doc"][own], rows["pack"][own], rows["order"][own]))]
+            across_buckets = a == 0 or b == len(order) or b - a > LONG_RUN
+            for k in range(0, len(own), LONG_RUN):
+                part = own[k : k + LONG_RUN]
+                found = list(compared(rows, part)) if len(part) > 1 else []
+                made.extend(found)
+                if across_buckets:  # of each window its first one here: the others are settled
+                    left = {r: np.ones(rows["n"][r], bool) for r in part.tolist()}
+                    for r, j, n in found:
+                        left[r][j : j + n] = False
+                    open_rows.extend((r, j) for r, w in left.items() for j in np.flatnonzero(w).tolist())
         if made:
             r, j, n = (np.array(x, np.int64) for x in zip(*made))
             none = pa.nulls(len(r), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array(rows["order"][r]), pa.array(rows["pack"][r]), pa.array(rows["doc"][r]), pa.array((rows["start"][r] + j).astype(np.int32)), pa.array(n.astype(np.int32))], names=out)
         digest = xxhash.xxh3_128_digest
-        for k in range(0, len(open_rows), 2000):
-            own = np.array(open_rows[k : k + 2000])
-            n = rows["n"][own].astype(np.int64)
-            d = np.frombuffer(b"".join([digest(rows["bytes"][r][j : j + WINDOW]) for r, m in zip(own.tolist(), n.tolist()) for j in range(m)]), ">i8").reshape(-1, 2).astype(np.int64)
-            at = np.repeat(own, n)
-            j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        for k in range(0, len(open_rows), 50_000):
+            own = open_rows[k : k + 50_000]
+            d = np.frombuffer(b"".join([digest(rows["bytes"][r][j : j + WINDOW]) for r, j in own]), ">i8").reshape(-1, 2).astype(np.int64)
+            at, j = np.array(own, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(rows["order"][at]), pa.array(rows["pack"][at]), pa.array(rows["doc"][at]), pa.array((rows["start"][at] + j).astype(np.int32)), pa.array(np.ones(len(at), np.int32))], names=out)
 
     # The splitters are sampled over all of the key, so that one anchor string may fill several buckets.
