@@ -25,9 +25,10 @@ compared together.
    long ones, which are cut, are compared across buckets as well: the first of
    each window in a bucket is grouped by digest.
 
-All hashes only bring together what is then equal with a chance of error under
-2^-90 (stretches: 64 bits of the anchor and 32 of the stretch; open windows:
-128 bits); within buckets windows are compared byte by byte.
+Stretches, and open windows across buckets, are equal if 128 bits of their
+digests are: two that differ are taken as equal with a chance of 2^-128, also
+among the stretches of one anchor string. Within buckets windows are compared
+byte by byte.
 
 Null texts are empty. Null doc_ids come before all others; rows of one doc_id
 are not earlier than each other. Texts shorter than WINDOW stay as they are.
@@ -77,10 +78,10 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 def anchors(text: bytes, sizes: np.ndarray):
     """Of texts laid end to end: arrays (start, n, place, gram, stretch, doc). Windows start .. start+n-1 belong to
-    the anchor at `place`; gram and stretch are the hashes of the anchor and of all bytes of its windows."""
+    the anchor at `place`; gram is the hash of the anchor, stretch (two columns) that of all bytes of its windows."""
     none = np.empty(0, np.int64)
     if len(text) < WINDOW:
-        return none, none, none, none.astype(np.uint64), none.astype(np.int32), none
+        return none, none, none, none.astype(np.uint64), none.reshape(0, 2), none
     hashes = gram_hashes(np.frombuffer(text, np.uint8))
     low = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
     span, width = WINDOW - GRAM + 1, 1  # anchors that a window may have
@@ -93,21 +94,22 @@ def anchors(text: bytes, sizes: np.ndarray):
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
     inside = np.flatnonzero(np.arange(len(place)) + WINDOW <= ends[doc])  # windows within one text
     if not len(inside):
-        return none, none, none, none.astype(np.uint64), none.astype(np.int32), none
+        return none, none, none, none.astype(np.uint64), none.reshape(0, 2), none
     place, doc = place[inside], doc[inside]
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
     n = np.diff(np.r_[new, len(place)])
     start = inside[new]
-    digest = xxhash.xxh32_intdigest
-    stretch = np.array([digest(text[a:b]) for a, b in zip(start.tolist(), (start + n + WINDOW - 1).tolist())], np.uint32).view(np.int32)
+    digest = xxhash.xxh3_128_digest
+    found = b"".join([digest(text[a:b]) for a, b in zip(start.tolist(), (start + n + WINDOW - 1).tolist())])
+    stretch = np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, 2)
     return start, n, place[new], hashes[place[new]], stretch, doc[new]
 
 
-def settled(gram, stretch, order, doc, start):
-    """(by, known): the anchors in order of (gram, stretch, order, doc, start), and which of those repeat one before."""
-    by = np.lexsort((start, doc, order, stretch, gram))
-    g, s, o, d = gram[by], stretch[by], order[by], doc[by]
-    same = np.r_[False, (g[1:] == g[:-1]) & (s[1:] == s[:-1])]
+def settled(stretch, order, doc, start):
+    """(by, known): the anchors in order of (stretch, order, doc, start), and which of those repeat one before."""
+    by = np.lexsort((start, doc, order, stretch[:, 1], stretch[:, 0]))
+    s, o, d = stretch[by], order[by], doc[by]
+    same = np.r_[False, (s[1:] == s[:-1]).all(1)]
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
     known = same & ((o > o[first]) | np.r_[False, d[1:] == d[:-1]])
     return by, known
@@ -172,7 +174,7 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
                 sizes = np.array(sizes, np.int64)
                 start, _, _, gram, stretch, doc = anchors(text, sizes)
                 order = np.array(orders, np.int64)[doc]
-                by, known = settled(gram, stretch, order, doc, start)
+                by, known = settled(stretch, order, doc, start)
                 own = by[~known]
                 # anchors have small hashes, being the smallest around; mixed again they spread over all parts
                 part = ((gram[own] * _ODD >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -183,8 +185,8 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
                 if len(used):
                     lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.r_[edges[used], len(own)].astype(np.int32)), pa.array(x[own], t))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(used.astype(np.int32)), pa.array(np.full(len(used), pack, np.int64)), lists(gram.view(np.int64), pa.int64()), lists(stretch, pa.int32()),
-                        lists(order, pa.int64()), lists(np.arange(len(gram)), pa.int32())], names=["part", "pack", "gram", "stretch", "order", "number"])
+                        pa.array(used.astype(np.int32)), pa.array(np.full(len(used), pack, np.int64)), lists(gram.view(np.int64), pa.int64()), *(lists(s, pa.int64()) for s in stretch.T),
+                        lists(order, pa.int64()), lists(np.arange(len(gram)), pa.int32())], names=["part", "pack", "gram", "stretch1", "stretch2", "order", "number"])
 
     def met(batches):
         """Part after part; the rows of one are adjacent."""
@@ -205,11 +207,11 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
     def resolved(batches):
         flat = lambda name: np.concatenate([np.asarray(b.column(name).flatten()) for b in batches])
         sizes = np.concatenate([pc.list_value_length(b.column("gram")).to_numpy(zero_copy_only=False) for b in batches])
-        gram, stretch, order = (flat(c) for c in ("gram", "stretch", "order"))
-        by = np.lexsort((order, stretch, gram))
-        g, s, o = gram[by], stretch[by], order[by]
+        gram, s1, s2, order = (flat(c) for c in ("gram", "stretch1", "stretch2", "order"))
+        by = np.lexsort((order, s2, s1, gram))
+        g, s1, s2, o = gram[by], s1[by], s2[by], order[by]
         new_gram = np.r_[True, g[1:] != g[:-1]]
-        new = new_gram | np.r_[True, s[1:] != s[:-1]]
+        new = new_gram | np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]
         first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
         again = o > o[first]
         which = np.cumsum(new_gram) - 1
@@ -225,7 +227,7 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
         pack = pa.array(np.concatenate([np.asarray(b.column("pack")) for b in batches]))
         return pa.RecordBatch.from_arrays([pack, *lists], names=["pack", "repeated", "open"])
 
-    rows = packs.select("pack", "orders", "sizes", "text").mapInArrow(listed, "part int, pack bigint, gram array<bigint>, stretch array<int>, order array<bigint>, number array<int>")
+    rows = packs.select("pack", "orders", "sizes", "text").mapInArrow(listed, "part int, pack bigint, gram array<bigint>, stretch1 array<bigint>, stretch2 array<bigint>, order array<bigint>, number array<int>")
     dealt = rows.repartition(max(ranges, partitions(packs.sparkSession)), "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(met, "pack bigint, repeated array<int>, open array<int>")
     return found.groupBy("pack").agg(F.flatten(F.collect_list("repeated")).alias("repeated"), F.flatten(F.collect_list("open")).alias("open"))  # a pack's own anchors
@@ -368,8 +370,8 @@ def across(found: DataFrame) -> DataFrame:
 def removed(text: bytes, orders, sizes, repeated, windows) -> tuple[np.ndarray, np.ndarray]:
     """Of a pack: which bytes go; and the ends of its texts."""
     sizes = np.array(sizes, np.int64)
-    start, n, _, gram, stretch, doc = anchors(text, sizes)
-    by, known = settled(gram, stretch, np.array(orders, np.int64)[doc], doc, start)
+    start, n, _, _, stretch, doc = anchors(text, sizes)
+    by, known = settled(stretch, np.array(orders, np.int64)[doc], doc, start)
     gone = np.r_[by[known], np.array(repeated or [], np.int64)]
     begin = np.concatenate([start[gone], np.array([w["start"] for w in windows or []], np.int64)])
     end = np.concatenate([(start + n)[gone], np.array([w["start"] + w["n"] for w in windows or []], np.int64)]) + WINDOW - 1

@@ -110,3 +110,22 @@ def test_anchors_spread_over_all_parts(spark):
     _, _, _, gram, _, _ = suffixes.anchors(b"".join(invented(rng, 800).encode()[:3000].ljust(3000) for _ in sizes), sizes)
     parts = np.bincount(((gram * suffixes._ODD >> np.uint64(32)) * np.uint64(16) >> np.uint64(32)).astype(int), minlength=16)
     assert parts.max() < 2 * parts.mean()
+
+
+def test_stretches_of_one_anchor_are_told_apart_by_more_than_32_bits(spark):
+    """Among the stretches of one anchor string the anchor's hash says nothing."""
+    rng = np.random.default_rng(9)
+    letters = rng.integers(97, 123, 200_000, np.uint8)
+    low = int(np.argmin(suffixes.gram_hashes(letters)))
+    texts = rng.integers(97, 123, (400_000, W), np.uint8)
+    texts[:, 34 : 34 + suffixes.GRAM] = letters[low : low + suffixes.GRAM]
+    seen, pairs = {}, []
+    for t in map(bytes, texts):
+        other = seen.setdefault(suffixes.xxhash.xxh32_intdigest(t), t)
+        if other != t:
+            pairs.append((other, t))
+    grams = [suffixes.anchors(b"".join(p), np.array([W, W]))[3] for p in pairs]
+    a, b = next(p for p, g in zip(pairs, grams) if len(g) == 2 and g[0] == g[1])
+    rows = [(1, a.decode()), (2, b.decode())]
+    assert sorted_rows(suffixes.kept(frame(spark, rows)).collect()) == sorted_rows(brute(rows))
+    assert sorted_rows(suffixes.kept(frame(spark, rows).repartition(2)).collect()) == sorted_rows(brute(rows))
