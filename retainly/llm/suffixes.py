@@ -60,6 +60,7 @@ ROWS = 100_000  # suffixes of a bucket
 
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 3) for b in range(256)], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 by the golden ratio
+_SIGN = np.uint64(1 << 63)  # flipped in tokens, so that Spark's signed order is that of the bytes
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -237,7 +238,7 @@ def stretches(packs: DataFrame, ranges: int) -> DataFrame:
 
 
 def suffixes(packs: DataFrame, found: DataFrame) -> DataFrame:
-    """The open suffixes: t0 .. t3 (the anchor's tokens), bytes (of its stretch), place (of the anchor in it), order,
+    """The open suffixes: t0 .. t3 (the anchor's tokens, ordered as its bytes), bytes (of its stretch), place (of the anchor in it), order,
     pack, doc, start (both within the pack), n (windows)."""
 
     def cut(batches):
@@ -249,7 +250,8 @@ def suffixes(packs: DataFrame, found: DataFrame) -> DataFrame:
                 order = np.array(orders, np.int64)[doc[at]]
                 for k in range(0, len(at), 20_000):
                     own = at[k : k + 20_000]
-                    grams = np.frombuffer(b"".join([text[p : p + GRAM] for p in place[own].tolist()]), ">i8").reshape(-1, GRAM // TOKEN).astype(np.int64)
+                    grams = np.frombuffer(b"".join([text[p : p + GRAM] for p in place[own].tolist()]), ">u8").reshape(-1, GRAM // TOKEN).astype(np.uint64)
+                    grams = (grams ^ _SIGN).view(np.int64)
                     yield pa.RecordBatch.from_arrays([
                         *(pa.array(grams[:, c]) for c in range(grams.shape[1])),
                         pa.array([text[a:b] for a, b in zip(start[own].tolist(), (start[own] + n[own] + WINDOW - 1).tolist())], pa.binary()),
@@ -319,7 +321,7 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
         rows = {c: table.column(c).to_numpy() for c in names if c != "bytes"}
         rows["bytes"] = table.column("bytes").to_pylist()
         places = np.asarray(table.column("place"))
-        grams = np.stack([table.column(f"t{c}").to_numpy().view(np.uint64) for c in range(GRAM // TOKEN)], 1)
+        grams = np.stack([table.column(f"t{c}").to_numpy().view(np.uint64) ^ _SIGN for c in range(GRAM // TOKEN)], 1)  # as the range partitioning orders them
         after = tokens_of([s[p + GRAM :] for s, p in zip(rows["bytes"], places.tolist())], WINDOW - GRAM + (-(WINDOW - GRAM)) % TOKEN)
         order = multikey_sort(np.hstack([grams, after]))
         sorted_grams = grams[order]

@@ -129,3 +129,34 @@ def test_stretches_of_one_anchor_are_told_apart_by_more_than_32_bits(spark):
     rows = [(1, a.decode()), (2, b.decode())]
     assert sorted_rows(suffixes.kept(frame(spark, rows)).collect()) == sorted_rows(brute(rows))
     assert sorted_rows(suffixes.kept(frame(spark, rows).repartition(2)).collect()) == sorted_rows(brute(rows))
+
+
+def accented(rng, n_words):
+    return "".join(rng.choice(["é", "ü", "日", "本", "語", "я", "a", "b", "c", " "]) for _ in range(4 * n_words))
+
+
+@pytest.mark.parametrize("seed", [10, 11])
+def test_edges_of_accented_and_cjk_text_are_compared_across_buckets(spark, monkeypatch, seed):
+    """Tokens that begin with a byte from 0x80 on are the largest, not negative."""
+    rng = random.Random(seed)
+    monkeypatch.setitem(globals(), "invented", accented)
+    rows = repeats(rng)
+    monkeypatch.setattr(suffixes, "ROWS", 40)
+    got = suffixes.kept(frame(spark, rows).repartition(5)).collect()
+    assert sorted_rows(got) == sorted_rows(brute(rows))
+    monkeypatch.setattr(suffixes, "ROWS", 3)
+    got = suffixes.kept(frame(spark, rows).repartition(5)).collect()
+    assert sorted_rows(got) == sorted_rows(brute(rows))
+
+
+def test_tokens_are_ordered_as_their_bytes(spark):
+    """The first and last run of a bucket are those at the edges of its range."""
+    rng = random.Random(13)
+    passage, other = accented(rng, 60), accented(rng, 60)
+    docs = frame(spark, [(k, accented(rng, 20) + passage[k:] + other[2 * k :]) for k in range(12)])
+    suffixes.prepare(spark)
+    packs = suffixes.packs_of(docs)
+    rows = suffixes.suffixes(packs, suffixes.stretches(packs, 4)).collect()
+    grams = {(r.t0, r.t1, r.t2, r.t3): bytes(r.bytes)[r.place : r.place + suffixes.GRAM] for r in rows}
+    assert len(grams) > 4 and [grams[t] for t in sorted(grams)] == sorted(grams.values())
+    assert {g[0] >= 0x80 for g in grams.values()} == {True, False}
