@@ -38,12 +38,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -126,25 +126,25 @@ def packs_of(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     types = [pa.int64(), pa.list_(to_arrow_type(kind)), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
-    def made(rows):
+    def made(rows, number):
         ids, orders, texts = zip(*rows)
         whole = b"".join(texts)
-        # a task that is run again packs the same rows alike, so the name is stable
-        name = xxhash.xxh64_intdigest(whole, zlib.crc32(repr((ids, orders)).encode())) >> 1
+        # by its place, as repeated rows may make equal packs; later steps read the names from the table
+        name = TaskContext.get().partitionId() << 32 | number
         row = [name, list(ids), list(orders), [len(t) for t in texts], whole]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["pack", "ids", "orders", "sizes", "text"])
 
     def pack(batches):
-        rows, n = [], 0
+        rows, n, number = [], 0, 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if rows and n + len(row[2]) > PACK:
-                    yield made(rows)
-                    rows, n = [], 0
+                    yield made(rows, number)
+                    rows, n, number = [], 0, number + 1
                 rows.append((row[0], row[1], bytes(row[2])))
                 n += len(row[2])
         if rows:
-            yield made(rows)
+            yield made(rows, number)
 
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     packed = docs.select("doc_id", order, body()).mapInArrow(pack, f"pack bigint, ids array<{kind.simpleString()}>, orders array<bigint>, sizes array<int>, text binary")
@@ -246,7 +246,7 @@ def suffixes(packs: DataFrame, found: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 pack, orders, sizes, text, numbers = _pack(batch, k, 5)
                 start, n, place, _, _, doc = anchors(text, np.array(sizes, np.int64))
-                at = np.sort(np.array(numbers, np.int64))
+                at = np.unique(np.array(numbers, np.int64))
                 order = np.array(orders, np.int64)[doc[at]]
                 for k in range(0, len(at), 20_000):
                     own = at[k : k + 20_000]
@@ -290,14 +290,16 @@ def multikey_sort(tokens: np.ndarray) -> np.ndarray:
 
 
 def compared(rows: dict[str, np.ndarray | list], by: np.ndarray):
-    """Repeated windows of one anchor string, rows `by` in order of (order, doc, start): (row, first window, windows)."""
-    seen: dict[bytes, int] = {}
-    strings, n, order, pack, doc = rows["bytes"], rows["n"], rows["order"], rows["pack"], rows["doc"]
+    """Repeated windows of one anchor string, rows `by` in order of (order, pack, doc, start): (row, first window, windows)."""
+    seen: dict[bytes, int] = {}  # a window's first row; of several documents of one order, in the last of them
+    strings, n, order, pack, doc, start = (rows[c] for c in ("bytes", "n", "order", "pack", "doc", "start"))
     for r in by.tolist():
         s, since = strings[r], None
         for j in range(n[r]):
             q = seen.setdefault(s[j : j + WINDOW], r)
-            again = q != r and (order[q] < order[r] or (pack[q] == pack[r] and doc[q] == doc[r]))
+            again = q != r and (order[q] < order[r] or (pack[q] == pack[r] and doc[q] == doc[r] and start[q] < start[r]))
+            if q != r and not again:
+                seen[s[j : j + WINDOW]] = r
             if again and since is None:
                 since = j
             elif not again and since is not None:
@@ -360,9 +362,10 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
 def across(found: DataFrame) -> DataFrame:
     """pack, start, n: all repeated windows of sorted_buckets(), those across buckets compared by digest."""
     open_windows = found.where("w1 is not null")
-    first = open_windows.groupBy("w1", "w2").agg(F.min(F.struct("order", "pack", "doc", "start")).alias("first"))
-    again = (F.col("order") > F.col("first.order")) | ((F.col("pack") == F.col("first.pack")) & (F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start")))
-    late = open_windows.join(first, ["w1", "w2"]).where(again).select("pack", "start", "n")
+    first = open_windows.groupBy("w1", "w2").agg(F.min("order").alias("first"))
+    own = open_windows.groupBy("w1", "w2", "order", "pack", "doc").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # of one text
+    again = F.when(F.col("order") > F.col("first"), F.col("starts")).otherwise(F.slice("starts", 2, 2**31 - 1))
+    late = own.join(first, ["w1", "w2"]).select("pack", F.explode(again).alias("start"), F.lit(1).alias("n"))
     return found.where("w1 is null").select("pack", "start", "n").union(late)
 
 

@@ -152,11 +152,26 @@ def test_edges_of_accented_and_cjk_text_are_compared_across_buckets(spark, monke
 def test_tokens_are_ordered_as_their_bytes(spark):
     """The first and last run of a bucket are those at the edges of its range."""
     rng = random.Random(13)
-    passage, other = accented(rng, 60), accented(rng, 60)
-    docs = frame(spark, [(k, accented(rng, 20) + passage[k:] + other[2 * k :]) for k in range(12)])
+    passages = [accented(rng, 12) for _ in range(40)]
+    docs = frame(spark, [(k, "".join(rng.sample(passages, 30))) for k in range(6)])
     suffixes.prepare(spark)
     packs = suffixes.packs_of(docs)
     rows = suffixes.suffixes(packs, suffixes.stretches(packs, 4)).collect()
     grams = {(r.t0, r.t1, r.t2, r.t3): bytes(r.bytes)[r.place : r.place + suffixes.GRAM] for r in rows}
     assert len(grams) > 4 and [grams[t] for t in sorted(grams)] == sorted(grams.values())
     assert {g[0] >= 0x80 for g in grams.values()} == {True, False}
+
+
+@pytest.mark.parametrize("rows_a_bucket", [suffixes.ROWS, 3])
+def test_equal_packs_stay_apart(spark, monkeypatch, rows_a_bucket):
+    """Rows of one doc_id are not earlier than each other: each copy of a table loses what it would lose alone."""
+    rng = random.Random(14)
+    rows = repeats(rng)
+    phrase = invented(rng, 9)
+    rows += [(3 * 10**7 + k, invented(rng, 30) + phrase + invented(rng, 30) + phrase[k:] + invented(rng, 5)) for k in range(8)]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    monkeypatch.setattr(suffixes, "PACK", 300)
+    monkeypatch.setattr(suffixes, "ROWS", rows_a_bucket)
+    docs = frame(spark, rows).repartition(3, "doc_id")
+    got = suffixes.kept(docs.union(docs)).collect()
+    assert sorted_rows(got) == sorted_rows(2 * brute(rows))
