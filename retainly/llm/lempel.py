@@ -6,9 +6,8 @@ dictionary; an unfinished phrase at the end adds none. Texts that compress well
 together share phrases. The phrase set is hashed, and its SIZE smallest hashes
 are the signature; the likeness of two signatures estimates the Jaccard
 similarity of the phrase sets, as the share of common hashes among the SIZE
-smallest of both together (exact for sets of up to SIZE phrases). Phrases of
-under SHORT bytes, which all texts have, are left out of the set unless there
-are no others.
+smallest of both together (exact for sets of up to SIZE phrases). All phrases
+count, at every size of a text.
 
 edited_likeness() compares each text with its edited form and with the next
 document. Documents are dealt out by ranges of doc_id and sorted, once; the
@@ -33,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import partitions, prepare
 
 SIZE = 128
-SHORT = 4
+SHORT = 1  # bytes of the shortest phrase that counts: all do
 SEED = 11
 FACTOR, MASK = 0x278DDE6D, 2**30 - 1  # of the rolling hash, whose products stay small numbers
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 by the golden ratio
@@ -76,11 +75,9 @@ class Parse:
 
     def signature(self) -> np.ndarray:
         """The SIZE smallest hashes of the phrases, mixed to 32 bits, ascending."""
-        hashes, sizes = np.array(self.hashes, np.uint64)[1:], np.array(self.sizes)[1:]
+        hashes = np.array(self.hashes, np.uint64)[1:]
         if not len(hashes):
             return hashes.astype(np.uint32)
-        if (long := sizes >= SHORT).any():
-            hashes = hashes[long]
         hashes = ((hashes + np.uint64(1)) * MIX >> np.uint64(32)).astype(np.uint32)
         if len(hashes) > 4 * SIZE:  # phrases are distinct, their hashes all but
             hashes = np.partition(hashes, 2 * SIZE)[: 2 * SIZE]

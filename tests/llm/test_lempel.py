@@ -92,3 +92,22 @@ def test_awkward_rows(spark):
     alone = lempel.edited_likeness(frame(spark, [(1, "alone here and long")])).collect()
     assert len(alone) == 1 and alone[0].near_next == 1
     assert lempel.fingerprints(docs).count() == docs.count()
+
+
+def test_short_texts_are_compared_by_all_phrases():
+    """Two thirds equal, and up to some 30 phrases each: the likeness is that of the whole sets, and never 0."""
+    rng = random.Random(4)
+    for n in range(40):
+        text, other = (invented(rng, 8 + n)[: 50 + 5 * n] for _ in range(2))
+        third = len(text) // 3
+        edited = text[: len(text) - third] + other[:third]
+        x, y = phrases(text), phrases(edited)
+        got = lempel.likeness(*(lempel.signature(t.encode()) for t in (text, edited)))
+        assert got > 0 and (len(x | y) > lempel.SIZE or abs(got - len(x & y) / len(x | y)) < 1e-9)
+
+
+def test_a_long_phrase_does_not_hide_the_short_ones():
+    short, longer = b"abcdefgh", b"abcdefgh" + b"ababcabcd"
+    x, y = phrases(short.decode()), phrases(longer.decode())
+    assert max(map(len, x)) < 4 <= max(map(len, y))
+    assert lempel.likeness(lempel.signature(short), lempel.signature(longer)) == len(x & y) / len(x | y)
