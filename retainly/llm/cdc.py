@@ -3,10 +3,13 @@
 A gear hash rolls over the text's bytes: each byte shifts it left and adds the
 byte's entry of a fixed table, so it depends on the last WINDOW bytes alone. A
 text is cut after white space where the hash is under a bound, on average
-after every WORDS_A_CHUNK words, and in stretches of over LONG bytes without a
-cut also between other characters. Cuts thus follow from the content around
-them: an insertion changes the chunks that it touches and no others, and a
-passage gives the same chunks in every document, but for its ends.
+after every WORDS_A_CHUNK words, and where the WINDOW bytes have no white space
+(Chinese, Japanese or Thai text, long URLs, base64) also between other
+characters, some BYTES_A_CHUNK bytes apart. Cuts thus follow from the WINDOW
+bytes before them, whatever else the text holds: an insertion changes the
+chunks that it touches and no others, and a passage gives the same chunks in
+every document, but for its ends. Only stretches of over LONG bytes in which
+no cut falls all the same, as of one short word, are cut at more places.
 
 Chunks are compared by digest over the whole corpus. A chunk is a duplicate if
 the same document has it further up or a document with a smaller doc_id has it
@@ -36,6 +39,7 @@ from .common import body, prepare
 
 WINDOW = 16
 WORDS_A_CHUNK = 4
+BYTES_A_CHUNK = 32
 LONG = 1024
 MIN_BYTES = 64
 SEED = 7
@@ -54,11 +58,18 @@ def cuts(text: bytes) -> list[int]:
     gear = GEAR[codes]
     for width in (1, 2, 4, 8):  # to windows of 2, 4, 8 and 16 bytes
         gear[width:] += gear[:-width] << width
-    ends = np.flatnonzero(SPACE[codes] & (gear < 65536 // WORDS_A_CHUNK)) + 1
-    ends = np.unique(np.r_[ends, len(text)])
+    space = SPACE[codes]
+    cut = space & (gear < 65536 // WORDS_A_CHUNK)
+    starts = np.r_[codes[1:] & 0xC0 != 0x80, True]  # the next byte begins a character
+    at = np.r_[-1, np.flatnonzero(space), len(text)]
+    for k in np.flatnonzero(np.diff(at) > WINDOW).tolist():
+        own = slice(at[k] + WINDOW, at[k + 1])  # where the window has no white space
+        # characters of several bytes are fewer than bytes, so that each is likelier to be an end
+        bound = np.where(codes[own] < 0x80, 65536 // BYTES_A_CHUNK, 3 * 65536 // BYTES_A_CHUNK)
+        cut[own] |= starts[own] & (gear[own] < bound)
+    ends = np.unique(np.r_[np.flatnonzero(cut) + 1, len(text)])
     gaps = np.diff(np.r_[0, ends])
     if gaps.max() > LONG:
-        starts = np.r_[codes[1:] & 0xC0 != 0x80, True]  # the next byte begins a character
         more = np.flatnonzero((gear < 512) & starts) + 1
         long = np.searchsorted(ends, more, "left")
         ends = np.unique(np.r_[ends, more[gaps[np.minimum(long, len(gaps) - 1)] > LONG]])

@@ -82,3 +82,30 @@ def test_awkward_rows(spark):
     assert sum(r.text is None for r in got.collect()) == 2
     assert cdc.spans(docs).count() == docs.count()
     assert cdc.spans(docs.limit(0)).count() == 0 and cdc.deduplicated(docs.limit(0)).count() == 0
+
+
+def unspaced(rng, n, kind):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") if kind == "ascii" else chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+
+
+def test_passages_without_spaces_are_found_in_paragraphs_of_any_length(spark):
+    rng = random.Random(11)
+    for kind in ("cjk", "ascii"):
+        passage, rows = unspaced(rng, 300, kind), []
+        for k, n in enumerate((0, 10, 40, 100, 300, 1200)):  # characters before and after the passage
+            rows.append((k, "a few words " + unspaced(rng, n, kind) + passage + unspaced(rng, n // 2, kind) + " and more"))
+        rows.append((99, unspaced(rng, 900, kind)))
+        got = {r.doc_id: r for r in cdc.spans(frame(spark, rows)).collect()}
+        size = len(passage.encode())
+        assert got[0].n_removed == got[99].n_removed == 0
+        assert all(got[k].n_removed > 0.6 * size for k in range(1, 6)), (kind, [got[k].n_removed for k in range(6)], size)
+
+
+def test_cuts_without_spaces_do_not_depend_on_the_gap():
+    rng = random.Random(12)
+    passage, ends = unspaced(rng, 300, "cjk").encode(), []
+    for n in (0, 30, 260, 500):
+        before = unspaced(rng, n, "cjk").encode()
+        own = [e - len(before) for e in cdc.cuts(before + passage + b" and more words")]
+        ends.append([e for e in own if cdc.WINDOW <= e <= len(passage)])
+    assert all(e == ends[0] for e in ends) and len(ends[0]) > 10
