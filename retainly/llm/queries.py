@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, decontam, fixity, hmm, lempel, ranking, reshard, simhash, suffixes
+from . import bpe, cdc, decontam, fixity, hmm, lempel, periodic, ranking, reshard, simhash, suffixes
 from .common import prepare, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,10 @@ def op9(spark, sf_dir):
 @query("op10_lempel_ziv")
 def op10(spark, sf_dir):
     return lempel.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """With the tails of some documents made to repeat, by the checksum of their ids."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.digests(periodic.runs(table(spark, sf_dir, "documents"), checksum))
