@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, decontam, fixity, hmm, lempel, periodic, ranking, reshard, simhash, suffixes
+from . import bpe, cdc, decontam, fixity, hmm, lempel, manifest, periodic, ranking, reshard, simhash, suffixes
 from .common import prepare, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,18 @@ def op12(spark, sf_dir):
     """With the tails of some documents made to repeat, by the checksum of their ids."""
     checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     return periodic.digests(periodic.runs(table(spark, sf_dir, "documents"), checksum))
+
+
+@query("op13_merkle_manifest")
+def op13(spark, sf_dir):
+    """One tree a language; where 3 divides the checksum of the id, the text is held against its proof in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in manifest.FIELDS]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0) & (lowered != F.col("text")), manifest.leaf([*fields[:-1], lowered]))
+    leaves = docs.select(F.col("lang").alias("grp"), "doc_id", manifest.leaf(fields).alias("hash"), tampered.alias("tampered"))
+    found = manifest.proofs(leaves, ["doc_id"], ["doc_id", "tampered"])
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    folded = manifest.fold(F.coalesce("tampered", "hash"), F.col("path"))
+    return found.select("doc_id", F.col("hash").alias("leaf"), "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
