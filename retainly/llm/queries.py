@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, decontam, fixity, hmm, lempel, manifest, periodic, ranking, reshard, simhash, suffixes
+from . import bpe, cdc, decontam, fixity, hmm, lempel, manifest, periodic, quantized, ranking, reshard, simhash, suffixes
 from .common import prepare, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,25 @@ def op10(spark, sf_dir):
     return lempel.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_bool_or(list_transform(x, lambda c: c <> 0)) THEN x END AS x
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM v UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@query("op11_product_quantisation", OP11_SQL)
+def op11(spark, sf_dir):
+    return quantized.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 @query("op12_periodic_runs")
 def op12(spark, sf_dir):
     """With the tails of some documents made to repeat, by the checksum of their ids."""
