@@ -64,8 +64,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             # executors on other machines cannot read a driver-local folder
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="retainly-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
+    sc = spark.sparkContext  # the setting can't be changed in a running session; the context keeps the folder
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
