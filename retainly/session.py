@@ -63,8 +63,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             # executors on other machines cannot read a driver-local folder
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
-        d = tempfile.mkdtemp(prefix="retainly-ckpt-")
-    sc = spark.sparkContext  # the setting can't be changed in a running session; the context keeps the folder
+        # A running session's settings can't be changed; the context keeps the folder (one of its own in it).
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="retainly-ckpt-"))
+        return spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
