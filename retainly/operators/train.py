@@ -8,8 +8,6 @@ our exact ROC / PR operators over the predicted probability column.
 
 from __future__ import annotations
 
-import math
-import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -20,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long
+from . import boosting
 from .evaluate import confusion_metrics, curve_metrics
 
 # Model settings of the reference configuration.
@@ -27,10 +26,7 @@ LR_MAX_ITER = 1000
 GBT_DEPTH, GBT_STEP, GBT_ROUNDS, GBT_SUBSAMPLE = 6, 0.1, 100, 0.8
 GBT2_ROUNDS = 200
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 100, 10, 5
-# Search space of T10: depth, learning rate, rounds, subsample.
-SEARCH_SPACE = {"maxDepth": (3, 4, 5, 6, 7, 8), "stepSize": (0.01, 0.05, 0.1, 0.2, 0.3), "maxIter": (20, 50, 100),
-                "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0)}
-
+LEAFWISE = boosting.Settings(rounds=200, leaves=31, rate=0.1, rows=0.8, columns=0.8, patience=50)
 
 def estimators(label: str = "label", weight: str | None = "weight", seed: int = 42, stop: str | None = None) -> dict:
     """Logistic baseline, two boosted-tree settings, random forest.
@@ -62,20 +58,25 @@ def probability(pred: DataFrame, out: str = "p") -> DataFrame:
 
 def model_metrics(model, df: DataFrame, label: str, threshold: float = 0.5) -> DataFrame:
     """E1-E5 of a fitted model on df (1 row)."""
-    p = probability(model.transform(df))
+    p = model.score(df) if isinstance(model, boosting.Model) else probability(model.transform(df))
     return confusion_metrics(p, label, "p", threshold).crossJoin(curve_metrics(p, label, "p"))
 
 
 def train_and_compare(train: DataFrame, val: DataFrame, test: DataFrame, features, label: str,
-                      weight: str | None = "weight"):
-    """Fit every estimator (boosted trees stop early on the validation
-    rows), report validation and test metrics, choose the best by validation
-    PR-AUC (never by test). Returns (metrics DataFrame, {name: fitted model})."""
+                      weight: str | None = "weight", only=None):
+    """Fit every estimator and the leaf-wise trees (T8), or those named in
+    `only` (boosted trees stop early on the validation rows), report validation
+    and test metrics, choose the best by validation PR-AUC (never by test).
+    Returns (metrics DataFrame, {name: fitted model})."""
     models, rows = {}, []
     both = train.withColumn("_stop", F.lit(False)).unionByName(val.withColumn("_stop", F.lit(True)))
-    for name, est in estimators(label, weight, stop="_stop").items():
-        m = pipeline(features, est).fit(both if est.hasParam("validationIndicatorCol") else train)
-        models[name] = m
+    fits = {name: lambda est=est: pipeline(features, est).fit(both if est.hasParam("validationIndicatorCol") else train)
+            for name, est in estimators(label, weight, stop="_stop").items()}
+    fits["leafwise_boosting"] = lambda: boosting.fit(both, features, label, weight, "_stop", LEAFWISE)
+    for name, fit in fits.items():
+        if only is not None and name not in only:
+            continue
+        models[name] = m = fit()
         for split, d in (("validation", val), ("test", test)):
             rows.append(model_metrics(m, d, label).select(F.lit(name).alias("model"), F.lit(split).alias("split"),
                                                           "precision", "recall", "f1_score", "roc_auc", "pr_auc"))
@@ -109,29 +110,6 @@ def feature_importance(model, features) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def random_points(est, points: int, seed: int = 42) -> list[dict]:
-    """`points` different random settings of SEARCH_SPACE as parameter maps."""
-    rng = random.Random(seed)
-    seen: dict = {}
-    most = math.prod(len(v) for v in SEARCH_SPACE.values())
-    while len(seen) < min(points, most):
-        seen[tuple(rng.choice(v) for v in SEARCH_SPACE.values())] = None
-    return [{est.getParam(k): v for k, v in zip(SEARCH_SPACE, p)} for p in seen]
-
-
-def tune(train: DataFrame, features, label: str, weight: str | None = "weight", points: int = 8, parallelism: int = 4,
-         train_ratio: float = 0.8, seed: int = 42):
-    """Random settings of the boosted trees scored by ROC-AUC on a held-out share."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import TrainValidationSplit
-    est = estimators(label, weight, seed)["gradient_boosting"]
-    grid = random_points(est, points, seed)
-    tvs = TrainValidationSplit(estimator=pipeline(features, est), estimatorParamMaps=grid,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-                               trainRatio=train_ratio, parallelism=parallelism, seed=seed)
-    return tvs.fit(train)
-
-
 def cross_validate(train: DataFrame, features, label: str, weight: str | None = "weight", folds: int = 5, seed: int = 42):
     """K-fold cross-validated logistic regression with class weights (ROC-AUC)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator

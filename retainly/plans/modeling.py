@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long
+from ..operators import attribution as AT
 from ..operators import catalog as K
 from ..operators import dataset as DS
 from ..operators import quality as Q
 from ..operators import score as SC
+from ..operators import search as HS
+from ..operators import synthetic as SY
 from ..operators import train as TR
 from ..operators.customer import behavioral_features, engagement_features, profile_features
 from ..operators.rfm import rfm_from_raw
@@ -209,6 +212,19 @@ def q_oversample(t):
 FEATURES = TF_COLS + PROFILE_COLS
 
 
+@register("synthetic_minority", "T5", oracle(f"""
+WITH l AS ({LABELS_SQL})
+SELECT l.customer_id, CAST(k AS BIGINT) AS copy, CAST(1 AS BIGINT) AS between_two FROM l, range(1, 4) r(k) WHERE l.churn = 0""", ["transactions"]))
+def q_synthetic(t):
+    """Three new rows for each of the minority class, and whether all features lie between the row's and a neighbour's."""
+    d = materialize(_labels(t).join(customer_features(t), "customer_id"))
+    made = SY.synthetic_minority(d, "customer_id", "churn", FEATURES, minority=0, copies=3)
+    real = lambda p: d.where("churn = 0").select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(p + c) for c in FEATURES], F.col("customer_id").alias(p + "id"))
+    j = made.join(real("a_"), F.col("customer_id") == F.col("a_id")).join(real("b_"), F.col("neighbour") == F.col("b_id"))
+    within = [F.col(c).between(F.least("a_" + c, "b_" + c) - 1e-9, F.greatest("a_" + c, "b_" + c) + 1e-9) for c in FEATURES]
+    return j.select("customer_id", "copy", as_long(F.forall(F.array(*within), lambda w: w) & (F.col("a_id") != F.col("b_id"))).alias("between_two"))
+
+
 def _before(cut):
     """Condition on orders placed before `cut`."""
     return F.col("o_orderdate") < F.lit(cut).cast("timestamp_ntz")
@@ -235,10 +251,10 @@ def _fit_inputs(t):
     return materialize(d.join(scaled, "customer_id")), scaled, params, every
 
 
-def _comparison(t):
+def _comparison(t, only=None):
     d = _fit_inputs(t)[0]
     tr, va, te = (d.filter(F.col("split") == s) for s in ("train", "validation", "test"))
-    return TR.train_and_compare(tr, va, te, FEATURES, "label", "weight")[0]
+    return TR.train_and_compare(tr, va, te, FEATURES, "label", "weight", only)[0]
 
 
 @register("model_comparison", "T6 T7 T8 T9 T12 B13 B15")
@@ -248,24 +264,35 @@ def q_models(t):
 
 @register("baseline_or_boosted", "T13 T7")
 def q_baseline_or_boosted(t):
-    return TR.baseline_or_boosted(_comparison(t))
+    return TR.baseline_or_boosted(_comparison(t, ("logistic_regression", "gradient_boosting")))
+
+
+def fitted_boosted(d):
+    """The boosted trees of the training rows, stopped early on the validation rows."""
+    fit = d.filter(F.col("split") != "test").withColumn("_stop", F.col("split") == "validation")
+    return TR.pipeline(FEATURES, TR.estimators("label", "weight", stop="_stop")["gradient_boosting"]).fit(fit)
 
 
 @register("feature_importance", "T14")
 def q_importance(t):
+    """Split gains of the boosted trees, with the mean absolute attribution over all labelled customers."""
     d = _fit_inputs(t)[0]
-    fit = d.filter(F.col("split") != "test").withColumn("_stop", F.col("split") == "validation")
-    m = TR.pipeline(FEATURES, TR.estimators("label", "weight", stop="_stop")["gradient_boosting"]).fit(fit)
-    return TR.feature_importance(m, FEATURES)
+    m = fitted_boosted(d)
+    found = AT.attributions(d, AT.leaf_table(t.spark, m), FEATURES, "customer_id")
+    each = found.select(F.explode("attributions").alias("feature", "share"))
+    mean = each.groupBy("feature").agg(F.avg(F.abs("share")).alias("mean_attribution"))
+    return TR.feature_importance(m, FEATURES).join(mean, "feature").orderBy(F.desc("importance"), "feature")
 
 
 @register("hyperparameter_search", "T10")
 def q_tuning(t):
-    tr = _fit_inputs(t)[0].filter(F.col("split") != "test")
-    m = TR.tune(tr, FEATURES, "label", "weight")
-    rows = [(str({p.name: v for p, v in pm.items()}), float(x)) for pm, x in
-            zip(m.getEstimatorParamMaps(), m.validationMetrics)]
-    return t.spark.createDataFrame(rows, "params string, roc_auc double")
+    """100 trials on training and validation rows, each with what it ran; the best of those not pruned is selected."""
+    d = _fit_inputs(t)[0].filter(F.col("split") != "test").withColumn("held", F.col("split") == "validation")
+    found = HS.search(d, FEATURES, "label", "weight", "held")
+    chosen = HS.best(found) if found else None
+    rows = [(x["trial"], *(float(x["point"][k]) for k in HS.SPACE), x["score"], x["rounds"], int(x["pruned"]), int(x["settings"] is chosen)) for x in found]
+    names = ", ".join(f"{k} double" for k in HS.SPACE).replace("rounds double", "max_rounds double")
+    return t.spark.createDataFrame(rows, f"trial bigint, {names}, roc_auc double, rounds_run bigint, pruned bigint, selected bigint")
 
 
 @register("cross_validation", "T11")
@@ -299,14 +326,19 @@ def fitted_baseline(d):
 
 @register("batch_scores", "P1 P2 P8")
 def q_batch_scores(t):
+    """All customers by the baseline and by the boosted trees, with the top five features of either."""
     d, every, _, _ = _fit_inputs(t)
     model = fitted_baseline(d)
     coefs = model.stages[-1].coefficients.toArray().tolist()
     scored = SC.score(model, every, 0.35, "v2001", CUT)
     scored = SC.linear_explanation(scored, FEATURES, coefs, 5)
+    boosted = fitted_boosted(d)
+    found = AT.attributions(every, AT.leaf_table(t.spark, boosted), FEATURES, "customer_id")
+    p = TR.probability(boosted.transform(every), "boosted_probability").select("customer_id", *FEATURES, "boosted_probability")
+    p = AT.explained(p, found, "customer_id", 5, "boosted_explanation").select("customer_id", "boosted_probability", "boosted_explanation")
     r = SC.risk_fields(scored.select("customer_id", "churn_probability", "model_version", "scored_at",
                                      "explanation"))
-    return r
+    return r.join(p, "customer_id")
 
 
 @register("risk_report", "P3 P4 P5 P6 P7", oracle("""

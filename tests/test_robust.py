@@ -145,12 +145,6 @@ def test_boosting_stops_on_validation_rows(spark):
     assert TR.pipeline(["x", "z"], est).fit(df).stages[-1].getNumTrees < 100
 
 
-def test_random_points_are_different_settings(spark):
-    est = TR.estimators()["gradient_boosting"]
-    points = [tuple(p.values()) for p in TR.random_points(est, 8)]
-    assert len(set(points)) == 8 and points == [tuple(p.values()) for p in TR.random_points(est, 8)]
-
-
 def test_baseline_unless_the_boosted_model_is_better(spark):
     schema = "model string, split string, roc_auc double"
     for boosted, want in ((0.8, "logistic_regression"), (0.81, "gradient_boosting"), (0.7, "logistic_regression")):
