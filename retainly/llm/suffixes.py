@@ -362,7 +362,8 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
 def across(found: DataFrame) -> DataFrame:
     """pack, start, n: all repeated windows of sorted_buckets(), those across buckets compared by digest."""
     open_windows = found.where("w1 is not null")
-    first = open_windows.groupBy("w1", "w2").agg(F.min("order").alias("first"))
+    first = (open_windows.groupBy("w1", "w2").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("rows"))
+             .where("rows > 1").drop("rows"))  # a window alone repeats nothing
     own = open_windows.groupBy("w1", "w2", "order", "pack", "doc").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # of one text
     again = F.when(F.col("order") > F.col("first"), F.col("starts")).otherwise(F.slice("starts", 2, 2**31 - 1))
     late = own.join(first, ["w1", "w2"]).select("pack", F.explode(again).alias("start"), F.lit(1).alias("n"))
