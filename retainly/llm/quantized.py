@@ -238,7 +238,7 @@ def links(nodes: DataFrame, cosine: float) -> DataFrame:
         return pa.table([pa.array([label.as_py()] * len(cols[0]), label.type), pa.array([dim.as_py()] * len(cols[0]), pa.int32()), *map(pa.array, cols)],
                         names=["label", "dims", "low", "high", "side", "node"])
 
-    asked = (met.groupBy("label", "dims", "list", "block0", "block1").applyInArrow(looked_up, f"label {kind}, dims int, low int, high int, side int, node bigint").distinct())
+    asked = saved(met.groupBy("label", "dims", "list", "block0", "block1").applyInArrow(looked_up, f"label {kind}, dims int, low int, high int, side int, node bigint").distinct(), "vector-candidates")
     # Within one list all nodes stand on both sides, so that blocks of a list meet like blocks of two.
     both = asked.withColumn("side", F.explode(F.when(F.col("low") == F.col("high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("side"))))
     ranked = _blocked(both, ["label", "dims", "low", "high"], "side")
