@@ -3,12 +3,13 @@
 Given rows in old shards and a number of new ones, the new row counts are to
 be at most one apart while as few bytes as possible move. Rows that stay in
 their shard cost nothing; a moved row costs its bytes. That is a transport
-problem over blocks (old shard, size class): its network has one node per
-shard and side, a hub between them and parallel arcs for the blocks, and is
-solved on the driver by shortest augmenting paths. What the driver holds is
-bounded by shards x size classes (four to an octave), not by rows. The rows
-that leave a shard are its smallest ones, to the exact size, so within the
-flow's row counts the bytes moved are the fewest.
+problem over blocks of rows of an old shard: its network has one node per shard
+and side, a hub between them and parallel arcs for the blocks, and is solved on
+the driver by shortest augmenting paths. The rows that leave a shard are its
+smallest ones, and the rows that the flow can choose of have their exact sizes
+as costs, so the bytes moved are the fewest. What the driver holds is bounded by
+shards x size classes (four to an octave) and the CUTS parts that a class is cut
+into, not by rows.
 
 Positions of rows come from counts per (old shard, moved or not, slice), where
 a slice is a hash of the row; a shard with a third of all rows is ranked by
@@ -32,6 +33,7 @@ from .common import partitions, prepare, saved
 
 HEADER = 8  # bytes that a row takes besides its text
 FINE = 2  # binary digits after the leading one that make a size's class
+CUTS = 64  # parts that a class is cut into at a time
 
 
 def size_class(size: Column) -> Column:
@@ -117,6 +119,40 @@ def solve(blocks: dict[int, list[tuple[int, int]]], shards: int) -> dict[tuple[i
     return moves
 
 
+def margins(rows_of: dict[int, int], over: dict[int, int], marginal: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+    """Blocks for solve(): of a shard's `over` smallest rows all but the last leave at any rate, the last at its size, the others
+    only after it."""
+    return {s: [(c, n) for c, n in ((1, over[s] - 1), (marginal[s], 1), (marginal[s] + 1, rows_of[s] - over[s])) if n] if s in over else [(1, rows_of[s])]
+            for s in rows_of}
+
+
+def at_rank(keyed: DataFrame, classes: dict[int, dict[int, int]], ranks: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """keyed (old, size) -> for each shard the size of its row of that rank (from 1, by size), and how many rows of that size there
+    are up to it. Size classes are cut into CUTS parts until one is one size: a few passes, shards x CUTS counts each."""
+    spark, at = keyed.sparkSession, {}
+    for s, rank in ranks.items():
+        for block in sorted(classes[s]):
+            if rank <= classes[s][block]:
+                at[s] = [block, block + max(1, 2 ** (block.bit_length() - 1 - FINE)) if block else 1, rank]
+                break
+            rank -= classes[s][block]
+    while open_ := {s: x for s, x in at.items() if x[1] - x[0] > 1}:
+        step = {s: -(-(high - low) // CUTS) for s, (low, high, _) in open_.items()}
+        spans = spark.createDataFrame([(s, low, high, step[s]) for s, (low, high, _) in open_.items()], "of int, low bigint, high bigint, step bigint")
+        inside = keyed.join(F.broadcast(spans), (F.col("old") == F.col("of")) & (F.col("size") >= F.col("low")) & (F.col("size") < F.col("high")))  # a row a shard
+        counts: dict = defaultdict(dict)
+        for r in inside.groupBy("old", F.expr("(size - low) div step").alias("part")).count().collect():
+            counts[r.old][r.part] = r["count"]
+        for s, x in open_.items():
+            for part in sorted(counts[s]):
+                if x[2] <= counts[s][part]:
+                    low = x[0] + part * step[s]
+                    at[s] = [low, min(low + step[s], x[1]), x[2]]
+                    break
+                x[2] -= counts[s][part]
+    return {s: (low, rank) for s, (low, _, rank) in at.items()}
+
+
 def _tree(pairs: list[tuple[Column, int]], otherwise: int) -> Column:
     column = None
     for when, value in pairs:
@@ -134,38 +170,24 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
         F.coalesce(F.col("old_shard"), F.lit(-1)).cast("int").alias("old"), "doc_id", "size", "text_crc32",
         F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slices)).cast("int").alias("slice")), "reshard-rows")
 
-    # 1. Blocks, the flow, and from it how many rows each old shard gives away.
-    sizes = keyed.groupBy("old", size_class(F.col("size")).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
-    blocks: dict = defaultdict(list)
-    classes: dict = defaultdict(list)
-    for r in sizes.collect():  # shards x size classes
-        blocks[r.old].append((r.b // r.n, r.n))
-        classes[r.old].append((r.block, r.n))
-    moves = solve(blocks, shards)
+    # 1. How many rows stay in a shard differs by one at most, so all that the flow decides is whether a shard's marginal row
+    # leaves, the largest of those that may have to: its exact size is the cost, and the result the fewest bytes.
+    classes: dict = defaultdict(dict)
+    for r in keyed.groupBy("old", size_class(F.col("size")).alias("block")).count().collect():  # shards x size classes
+        classes[r.old][r.block] = r["count"]
+    rows_of = {s: sum(c.values()) for s, c in classes.items()}
+    least = sum(rows_of.values()) // shards
+    over = {s: n - (least if 0 <= s < shards else 0) for s, n in rows_of.items()}
+    over = {s: n for s, n in over.items() if n > 0}
+    marginal = {s: size for s, (size, _) in at_rank(keyed, classes, over).items()}
+    moves = solve(margins(rows_of, over, marginal), shards)
     give: dict = defaultdict(int)
     for (s, _), n in moves.items():
         give[s] += n
 
     # 2. The smallest rows go: the size up to which all go, and how many of the next size.
-    cut, rest = {}, {}
-    for s, n in give.items():
-        for block, k in sorted(classes[s]):
-            if n <= k:
-                cut[s], rest[s] = block, n
-                break
-            n -= k
-    if cut:
-        exact = keyed.where(F.create_map(*(F.lit(x) for p in cut.items() for x in p))[F.col("old")] == size_class(F.col("size")))
-        tail: dict = defaultdict(list)
-        for r in exact.groupBy("old", "size").count().collect():  # the sizes of one class of each shard
-            tail[r.old].append((r["size"], r["count"]))
-        for s in cut:
-            n = rest[s]
-            for size, k in sorted(tail[s]):
-                if n <= k:
-                    cut[s], rest[s] = size, n
-                    break
-                n -= k
+    found = at_rank(keyed, classes, {s: n for s, n in give.items() if n})
+    cut, rest = {s: size for s, (size, _) in found.items()}, {s: n for s, (_, n) in found.items()}
     at = _tree([(F.col("old") == s, size) for s, size in cut.items()], -1).cast("bigint")
     # 3. Of the rows of that next size the first ones by slice; groups are ranked in slices.
     part = F.when(F.col("size") < at, "move").when(F.col("size") == at, "edge").otherwise("stay")
@@ -189,11 +211,11 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     total = {k: sum(n.values()) for k, n in counts.items()}
     spans, slot_from = [], {}
     filled = [0] * shards
-    for s in sorted(blocks):  # what stays comes first in its shard
+    for s in sorted(rows_of):  # what stays comes first in its shard
         if 0 <= s < shards:
             stays = total.get((s, "stay"), 0) + total.get((s, "edge"), 0) - rest.get(s, 0)
             filled[s] = stays
-    for s in sorted(blocks):
+    for s in sorted(rows_of):
         here = total.get((s, "move"), 0)
         begin = 0
         for (a, t), n in sorted(moves.items()):
@@ -206,7 +228,7 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
             filled[t] += n
             begin += n
         slot_from[s] = rest.get(s, 0)
-    for s in sorted(blocks):
+    for s in sorted(rows_of):
         if 0 <= s < shards:
             stay = total.get((s, "stay"), 0)
             spans += [(s, "stay", 0, stay, s, 0)] * bool(stay)

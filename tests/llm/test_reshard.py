@@ -49,6 +49,49 @@ def test_fewest_bytes_and_one_apart(spark):
         check(reshard.assign(rows_frame(spark, rows), new).collect(), new)
 
 
+def test_the_marginal_rows_sizes_decide(spark):
+    """Sizes of one class: by class averages the flow would take the wrong shard's row."""
+    sizes = {0: [1024, 1279, 1279], 1: [1100, 1100, 1100], 2: [50]}
+    rows = [(s, i, size, i) for s, own in sizes.items() for i, size in enumerate(own)]
+    got = reshard.assign(rows_frame(spark, rows), 3).collect()
+    check(got, 3)
+    assert sum(r.size for r in got if r.old_shard != r.shard) == 1024
+
+
+def test_fewest_bytes_over_many_small_cases():
+    class Row:
+        def __init__(self, old_shard, size):
+            self.old_shard, self.size = old_shard, size
+
+    rng = random.Random(9)
+    for _ in range(300):
+        shards = rng.randint(1, 6)
+        rows = [Row(rng.choice([-1, 0, 0, 0, 1, 2, 3, 7]), rng.choice([rng.randint(1, 30), rng.randint(1000, 1300)])) for _ in range(rng.randint(1, 40))]
+        own = defaultdict(list)
+        for r in rows:
+            own[r.old_shard].append(r.size)
+        least = len(rows) // shards
+        over = {s: len(v) - (least if 0 <= s < shards else 0) for s, v in own.items()}
+        over = {s: n for s, n in over.items() if n > 0}
+        moves = reshard.solve(reshard.margins({s: len(v) for s, v in own.items()}, over, {s: sorted(own[s])[n - 1] for s, n in over.items()}), shards)
+        give = Counter()
+        for (s, _), n in moves.items():
+            give[s] += n
+        assert sum(sum(sorted(own[s])[:n]) for s, n in give.items()) == fewest(rows, shards)
+
+
+def test_sizes_at_ranks(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), rng.choice([0, 1, 8, rng.randint(1, 100), rng.randint(10**5, 10**7)])) for _ in range(400)]
+    keyed = frame(spark, rows, "old int, size bigint")
+    own = {s: sorted(x for o, x in rows if o == s) for s in range(3)}
+    classes = defaultdict(Counter)
+    for r in keyed.select("old", reshard.size_class(F.col("size")).alias("b")).collect():
+        classes[r.old][r.b] += 1
+    for k in (1, 17, 60, 100):
+        assert reshard.at_rank(keyed, classes, {s: k for s in own}) == {s: (v[k - 1], k - v.index(v[k - 1])) for s, v in own.items()}
+
+
 def test_flow_alone():
     moves = reshard.solve({0: [(10, 6), (1, 4)], 1: [(5, 1)]}, 3)
     assert sum(moves.values()) == 6 and all(a == 0 for a, _ in moves)
