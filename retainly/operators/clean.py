@@ -95,6 +95,22 @@ def fill_constant(df: DataFrame, values: dict) -> DataFrame:
     return df.fillna(values)
 
 
+def fill_by_family(df: DataFrame, rules: dict) -> DataFrame:
+    """V3f: a rule for each column: a number is an exact percentile (50: the
+    median), "mode" and "max" are those of the column, ("constant", v) is v."""
+    for rule, fill in (("mode", fill_mode), ("max", fill_max)):
+        cols = [c for c, r in rules.items() if r == rule]
+        df = fill(df, cols) if cols else df
+    constants = {c: r[1] for c, r in rules.items() if isinstance(r, tuple)}
+    df = fill_constant(df, constants) if constants else df
+    for c, p in rules.items():
+        if isinstance(p, (int, float)):
+            known = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("_v"))
+            q = exact_quantiles(known, "_v", [p / 100]).select(F.col("q_0").alias("_q"))  # one row
+            df = df.crossJoin(F.broadcast(q)).withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("_q"))).drop("_q")
+    return df
+
+
 def fill_forward(df: DataFrame, cols, key: str, order) -> DataFrame:
     """V3d: forward fill per key in time order (key and order are required:
     an unordered global fill has no defined result and runs in one task)."""

@@ -94,9 +94,12 @@ def engagement_features(support: DataFrame, reviews: DataFrame) -> DataFrame:
         as_double(F.coalesce("review_sentiment_score", review_sentiment)).alias("review_sentiment_score"))
 
 
-def temporal_features(df: DataFrame, date_col: str, key: str) -> DataFrame:
-    """Monday-0 weekday, month, quarter, weekend flag, seasonal index."""
-    d = F.col(date_col)
+def temporal_features(df: DataFrame, date_col: str, key: str, as_of: str | None = None) -> DataFrame:
+    """Monday-0 weekday, month, quarter, weekend flag, seasonal index;
+    of `as_of` where df has no such column."""
+    if date_col not in df.columns and as_of is None:
+        raise ValueError(f"no column {date_col}, and no as_of in its place")
+    d = F.col(date_col) if date_col in df.columns else F.lit(as_of).cast("date")
     return df.select(
         as_long(key).alias(key),
         as_long(F.weekday(d)).alias("day_of_week"),

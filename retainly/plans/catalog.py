@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long, since
 from ..operators import catalog as K
+from ..operators import daystate as DY
 from ..operators.rfm import rfm_scores
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources import views as V
 from ..sources.views import EVENTS_AS_OF as EA
 from ..sources.views import ORDERS_AS_OF as OA
@@ -253,3 +256,41 @@ SELECT CAST(a.customer_id AS BIGINT) AS customer_id, CAST(CASE WHEN f.customer_i
 FROM a LEFT JOIN f ON f.customer_id = a.customer_id""", ["transactions"]))
 def q_churn_labels(t):
     return K.churn_labels(V.transactions(t, lines=False), "2001-01-01 00:00:00", 366, 30)
+
+
+# The payment methods of the canonical transactions, a bit each in the state.
+METHODS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+AS_OF_DATES = ("2000-06-01", "2001-01-01", OA[:10])
+FIXED_DAY = "2000-12-20"
+
+
+def _as_of_sql(d):
+    w = lambda n: f"order_date >= DATE '{d}' - INTERVAL {n} DAY"
+    return f"""
+SELECT '{d}' AS as_of, CAST(customer_id AS BIGINT) AS customer_id,
+  {', '.join(f"CAST(COALESCE(SUM(order_amount) FILTER (WHERE {w(n)}), 0) AS DOUBLE) AS purchase_value_{n}d, CAST(COUNT(*) FILTER (WHERE {w(n)}) AS BIGINT) AS order_count_{n}d" for n in DY.WINDOWS)},
+  ROUND(7.0 / GREATEST(1, COUNT(DISTINCT CASE WHEN {w(7)} THEN CAST(order_date AS DATE) END)), 6) AS purchase_frequency_7d,
+  ROUND(90.0 / (COUNT(DISTINCT CAST(order_date AS DATE)) + 1), 6) AS purchase_frequency_90d,
+  CAST(COUNT(DISTINCT payment_method) AS BIGINT) AS payment_method_diversity
+FROM transactions WHERE {w(90)} AND order_date < DATE '{d}' GROUP BY customer_id"""
+
+
+@register("incremental_features", "F11 C9 C10 C19", oracle(" UNION ALL ".join(_as_of_sql(d) for d in AS_OF_DATES), ["transactions"]))
+def q_incremental(t):
+    """From a stored state by day, as of three dates; one past day was stored wrong and is replaced by a delta of its own."""
+    day = F.to_date("o_orderdate")
+    reach = reduce(lambda a, b: a | b, [(day >= F.date_sub(F.lit(d).cast("date"), 90)) & (day < F.lit(d).cast("date")) for d in AS_OF_DATES])
+    tx = V.transactions(t, lines=False, where=reach)  # days that a window reaches back to
+    path = scratch_path(t.spark, "day-state")
+    state = DY.transaction_days(tx, METHODS)
+    wrong = F.col("day") == F.lit(FIXED_DAY).cast("date")
+    DY.store_days(state.withColumn("orders", F.when(wrong, F.col("orders") + 5).otherwise(F.col("orders"))), path)
+    DY.store_days(DY.transaction_days(tx.where(F.to_date("order_date") == F.lit(FIXED_DAY).cast("date")), METHODS), path)
+    out = None
+    for d in AS_OF_DATES:
+        f = DY.window_features(DY.read_days(t.spark, path, d, 90), d)
+        f = f.select(F.lit(d).alias("as_of"), as_long("customer_id").alias("customer_id"),
+                     *[x for n in DY.WINDOWS for x in (as_double(f"purchase_value_{n}d").alias(f"purchase_value_{n}d"), as_long(f"order_count_{n}d").alias(f"order_count_{n}d"))],
+                     as_double("purchase_frequency_7d").alias("purchase_frequency_7d"), as_double("purchase_frequency_90d").alias("purchase_frequency_90d"), "payment_method_diversity")
+        out = f if out is None else out.unionByName(f)
+    return out

@@ -95,6 +95,15 @@ def q_fill_mode_max(t):
     return _orders_out(C.fill_max(d, ["amount"]))
 
 
+@register("fill_by_family", "V3f", oracle(f"""
+SELECT {_ORD_SEL}, ROUND(COALESCE(CAST(amount AS DOUBLE), (SELECT quantile_cont(CAST(amount AS DOUBLE), 0.5) FROM dirty)), 6) AS amount,
+  COALESCE(priority, (SELECT priority FROM dirty WHERE priority IS NOT NULL GROUP BY priority ORDER BY COUNT(*) DESC, priority LIMIT 1)) AS priority
+FROM dirty""", dirty=D.DIRTY_ORDERS_SQL))
+def q_fill_by_family(t):
+    """Each family's rule: amounts take their 50th percentile, categories their mode."""
+    return _orders_out(C.fill_by_family(D.dirty_orders(t), {"amount": 50, "priority": "mode"}))
+
+
 @register("iqr_outliers_approx", "V4")
 def q_iqr_approx(t):
     d = C.remove_outliers_iqr(D.balances_with_outlier(t), "balance", rel_error=0.05)
@@ -226,17 +235,17 @@ def _tf_sql():
 
 
 @register("feature_caps", "V16", oracle(f"""
-SELECT customer_id, CAST(LEAST(days_since_last_purchase, 15000) AS BIGINT) AS days_since_last_purchase,
-  ROUND(LEAST(lifetime_purchase_value, 100000), 6) AS total_spend
-FROM tf""", ["transactions"], tf=_tf_sql()))
+SELECT tf.customer_id, CAST(LEAST(days_since_last_purchase, 15000) AS BIGINT) AS days_since_last_purchase,
+  ROUND(LEAST(lifetime_purchase_value, 100000), 6) AS total_spend, CAST(LEAST(COALESCE(s.n, 0), 1000) AS BIGINT) AS support_tickets
+FROM tf LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM support_tickets GROUP BY customer_id) s ON s.customer_id = tf.customer_id""",
+                                     ["transactions", "support_tickets"], tf=_tf_sql()))
 def q_caps(t):
     f = transaction_features(V.transactions(t), ORDERS_AS_OF) \
-        .select("customer_id", "days_since_last_purchase",
-                F.col("lifetime_purchase_value").alias("total_spend"))
-    capped = Q.apply_caps(f, {"days_since_last_purchase": Q.FEATURE_CAPS["days_since_last_purchase"],
-                              "total_spend": Q.FEATURE_CAPS["total_spend"]})
+        .select("customer_id", "days_since_last_purchase", F.col("lifetime_purchase_value").alias("total_spend"))
+    tickets = V.support_tickets(t).groupBy("customer_id").agg(F.count(F.lit(1)).alias("support_tickets"))
+    capped = Q.apply_caps(f.join(tickets, "customer_id", "left").fillna(0, subset=["support_tickets"]), Q.FEATURE_CAPS)
     return capped.select("customer_id", as_long("days_since_last_purchase").alias("days_since_last_purchase"),
-                         as_double("total_spend").alias("total_spend"))
+                         as_double("total_spend").alias("total_spend"), as_long("support_tickets").alias("support_tickets"))
 
 
 Z_COLS = ["lifetime_purchase_value", "total_orders", "average_order_value", "days_since_last_purchase",

@@ -8,6 +8,8 @@ from ..functions.exprs import as_double, as_long
 from ..operators import drift as D
 from ..operators import evaluate as E
 from ..operators import monitor as M
+from ..operators import sketches as SK
+from ..session import scratch_path
 from ..sources import derived as X
 from ..sources import views as V
 from ..sources.views import ORDERS_AS_OF, predictions_at_sql
@@ -342,6 +344,24 @@ def q_windowed_drift(t):
     return D.windowed_drift(t.events, "ts", "value")
 
 
+@register("sketched_windows", "M1 M13", oracle("""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, COUNT(value) AS n, MIN(value) AS lo, MAX(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY 1),
+w AS (SELECT day - CAST(k AS INTEGER) AS ws, n, lo, hi FROM d, range(0, 30) t(k))
+SELECT CAST(ws AS VARCHAR) AS window_start, CAST(SUM(n) AS BIGINT) AS events, ROUND(MIN(lo), 6) AS least, ROUND(MAX(hi), 6) AS largest,
+  CAST(1 AS BIGINT) AS quartiles_in_order FROM w GROUP BY ws"""))
+def q_sketched_windows(t):
+    """30-day windows merged from stored daily sketches; the quartiles are tested against their rank error."""
+    path = scratch_path(t.spark, "day-sketches")
+    SK.store_sketches(SK.daily_sketches(t.events, "ts", ["value"]), path)
+    w = SK.windows(SK.read_sketches(t.spark, path), 30)
+    c = [F.col(x) for x in ("least", "q25", "q50", "q75", "largest")]
+    order = c[0] <= c[1]
+    for a, b in zip(c[1:], c[2:]):
+        order = order & (a <= b)
+    return w.select(F.col("window_start").cast("string").alias("window_start"), as_long("n").alias("events"), as_double("least").alias("least"),
+                    as_double("largest").alias("largest"), as_long(order).alias("quartiles_in_order"))
+
+
 @register("drift_actions", "M14", oracle(f"""
 WITH ks AS ({KS_SQL.strip()}), lb AS ({LABEL_SQL.strip()}), pd AS ({PREDICTION_SQL.strip()}),
 s AS (SELECT (SELECT COUNT(*) FILTER (WHERE is_drift = 1) FROM ks) AS n, (SELECT significant_shift FROM lb) AS l,
