@@ -139,7 +139,41 @@ def op12(spark, sf_dir):
     return periodic.digests(periodic.runs(table(spark, sf_dir, "documents"), checksum))
 
 
-@query("op13_merkle_manifest")
+def _op13_sql(levels: int, above: int) -> str:
+    """Trees of up to 8^levels rows a language and 8^above languages, level by level."""
+    fields = lambda text: " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))
+    # crc32 bit by bit: the polynomial 0xEDB88320 in decimal.
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = [f"""d AS MATERIALIZED (SELECT doc_id, lang AS grp, sha256({fields('text')}) AS leaf,
+      CASE WHEN {crc} % 3 = 0 THEN sha256({fields(lower)}) END AS tampered FROM documents)""",
+             """t0 AS MATERIALIZED (SELECT doc_id, grp, leaf AS hash, coalesce(tampered, leaf) AS folded, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+      count(*) OVER (PARTITION BY grp) AS n FROM d)"""]
+
+    def tree(t, depth):
+        for k in range(depth):
+            parts.append(f"""{t}{k + 1} AS MATERIALIZED (SELECT grp, pos // 8 AS pos, (n + 7) // 8 AS n, sha256(string_agg(hash, '' ORDER BY pos)) AS hash FROM {t}{k} WHERE n > 1 GROUP BY 1, 2, 3)""")
+            side = lambda rows: f"coalesce(string_agg(hash, '') OVER (PARTITION BY grp, pos // 8 ORDER BY pos ROWS BETWEEN {rows}), '')"
+            parts.append(f"""{t}s{k} AS MATERIALIZED (SELECT grp, pos, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {t}{k} WHERE n > 1)""")
+        parts.append(f"{t}r AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT grp, hash FROM {t}{k} WHERE n = 1" for k in range(depth + 1)) + ")")
+
+    tree("t", levels)
+    parts.append("g0 AS MATERIALIZED (SELECT 0 AS grp, grp AS lang, hash, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tr)")
+    tree("g", above)
+    steps = [(f"ts{k}", "s.grp IS NOT DISTINCT FROM f.grp", "f.pos", k) for k in range(levels)] + [(f"gs{k}", "true", "f.up", k) for k in range(above)]
+    parts.append("""f0 AS MATERIALIZED (SELECT t0.doc_id, t0.grp, t0.hash AS leaf, t0.pos, g0.pos AS up, g0.hash AS subroot, gr.hash AS root, t0.folded AS h, '' AS proof
+      FROM t0 JOIN g0 ON g0.lang IS NOT DISTINCT FROM t0.grp, gr)""")
+    for j, (table_, same, at, k) in enumerate(steps):
+        parts.append(f"""f{j + 1} AS MATERIALIZED (SELECT f.* EXCLUDE (h, proof), CASE WHEN s.pos IS NULL THEN f.h ELSE sha256(s.l || f.h || s.r) END AS h, f.proof || coalesce(s.l || s.r, '') AS proof
+      FROM f{j} f LEFT JOIN {table_} s ON {same} AND s.pos = {at} // {8**k})""")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM f{len(steps)}"
+
+
+OP13_SQL = _op13_sql(levels=6, above=2)
+
+
+@query("op13_merkle_manifest", OP13_SQL)
 def op13(spark, sf_dir):
     """One tree a language; where 3 divides the checksum of the id, the text is held against its proof in lower case."""
     docs = table(spark, sf_dir, "documents")
