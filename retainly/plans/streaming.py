@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import as_long
 from ..session import scratch_path
 from ..sources import views as V
+from ..streaming import compacted as CS
 from ..streaming import jobs as J
 from .registry import register
 from .sinks import MESSAGE_SCHEMA, event_messages
@@ -39,10 +40,10 @@ def q_stream_hourly(t):
     path, schema = _event_files(t)
     agg = J.hourly_behavior_counters(_stream(t, path, schema))
     out = scratch_path(t.spark, "hourly-counters")
-    q = (agg.writeStream.outputMode("update").foreachBatch(J.upsert_batches(out))
+    q = (agg.writeStream.outputMode("update").foreachBatch(CS.compacting_sink(out, ["w", "customer_id"]))
          .option("checkpointLocation", scratch_path(t.spark, "ckpt-hourly")).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = J.latest_versions(t.spark.read.parquet(out), ["w", "customer_id"])
+    res = CS.current(t.spark, out, ["w", "customer_id"], agg.schema)
     return res.select(F.col("w.start").cast("timestamp_ntz").cast("string").alias("window_start"),
                       as_long("customer_id").alias("customer_id"), as_long("page_views").alias("page_views"),
                       as_long("add_to_cart_events").alias("add_to_cart_events"),
@@ -81,10 +82,10 @@ def q_stream_error(t):
     s = t.spark.readStream.schema(fb.schema).parquet(path).withColumn("received_at", F.col("received_at").cast("timestamp"))
     agg = J.rolling_error_rate(s)
     out = scratch_path(t.spark, "error-rate")
-    q = (agg.writeStream.outputMode("update").foreachBatch(J.upsert_batches(out))
+    q = (agg.writeStream.outputMode("update").foreachBatch(CS.compacting_sink(out, ["w"]))
          .option("checkpointLocation", scratch_path(t.spark, "ckpt-err")).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = J.latest_versions(t.spark.read.parquet(out), ["w"])
+    res = CS.current(t.spark, out, ["w"], agg.schema)
     return res.select(F.col("w.start").cast("timestamp_ntz").cast("string").alias("window_start"),
                       as_long("n").alias("n"), F.round("error_rate", 6).alias("error_rate"))
 
