@@ -17,6 +17,7 @@ from ..sources import views as V
 from ..streaming import jobs as J
 from .monitoring import metrics_long_sql
 from .registry import register
+from ..streaming import routing as RT
 from .sqltext import oracle
 
 MESSAGE_SCHEMA = ("event_id bigint, customer_id bigint, event_type string, session_id string, "
@@ -62,6 +63,35 @@ def q_json_window(t):
                        "event_id", "customer_id", "event_type", "value", "`props.k`")
 
 
+# Records by the last digit of their event: 3 cut short, 5 of a topic without a table, 7 without a value, 9 without a customer.
+_BROKEN_SQL = """CASE event_id % 10 WHEN 3 THEN 'undecodable' WHEN 5 THEN 'unknown topic' WHEN 7 THEN 'no value' WHEN 9 THEN 'missing customer_id' ELSE '' END"""
+
+
+@register("routed_landing", "S3 S14", oracle(f"""
+WITH b AS (SELECT *, {_BROKEN_SQL} AS error, CASE WHEN event_type = 'purchase' THEN 'transactions' ELSE 'customer_events' END AS topic FROM behavior_events)
+SELECT CASE WHEN error = '' THEN topic ELSE '_rejects' END AS landed_in, error, CAST(COUNT(*) AS BIGINT) AS records,
+  CAST(SUM(CASE WHEN error = '' THEN event_id END) AS BIGINT) AS event_ids, ROUND(SUM(CASE WHEN error = '' THEN value END), 2) AS value
+FROM b GROUP BY 1, 2""", ["behavior_events"]))
+def q_routed(t):
+    """Two topics and some broken records, landed by a stream in several micro-batches: what each table got."""
+    digit = F.get_json_object(F.col("value").cast("string"), "$.event_id").cast("bigint") % 10
+    text = F.col("value").cast("string")
+    m = event_messages(t).withColumn("digit", digit)
+    m = m.select(F.when(F.col("digit") == 5, "audit_log").otherwise(F.col("topic")).alias("topic"), "timestamp",
+                 F.when(F.col("digit") == 3, F.substring(text, F.lit(1), F.length(text) - 1))
+                 .when(F.col("digit") == 9, F.regexp_replace(text, '"customer_id"', '"customer"'))
+                 .when(F.col("digit") != 7, text).cast("binary").alias("value"))
+    src, out = scratch_path(t.spark, "mixed-messages"), scratch_path(t.spark, "routed")
+    m.repartition(6).write.parquet(src)
+    stream = t.spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    topics = ("transactions", "customer_events")
+    RT.land(RT.route(stream, dict.fromkeys(topics, MESSAGE_SCHEMA), dict.fromkeys(topics, ["customer_id"])), out, scratch_path(t.spark, "routed-ckpt")).awaitTermination()
+    rows = RT.read_rejects(t.spark, out).select(F.lit("_rejects").alias("landed_in"), "error", F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    for topic in topics:
+        rows = rows.unionByName(RT.read_topic(t.spark, out, topic).select(F.lit(topic).alias("landed_in"), F.lit("").alias("error"), "event_id", "value"))
+    return rows.groupBy("landed_in", "error").agg(F.count(F.lit(1)).alias("records"), F.sum("event_id").alias("event_ids"), F.round(F.sum("value"), 2).alias("value"))
+
+
 TX_COLUMNS = "transaction_id long, customer_id long, order_amount double, payment_method string"
 TX_SUM = "SUM(transaction_id % 1009 * (customer_id % 97)) + SUM(length(payment_method)), CAST(SUM(order_amount) AS DOUBLE)"
 
