@@ -50,6 +50,35 @@ def q_stream_hourly(t):
                       as_long("purchase_events").alias("purchase_events"), as_long("events").alias("events"))
 
 
+@register("stream_sessions", "R2 C58", oracle("""
+WITH g AS (SELECT *, CASE WHEN event_timestamp - LAG(event_timestamp) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+  FROM behavior_events WINDOW w AS (PARTITION BY customer_id ORDER BY event_timestamp)),
+s AS (SELECT *, SUM(fresh) OVER (PARTITION BY customer_id ORDER BY event_timestamp, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM
+  (SELECT * FROM g)),
+p AS (SELECT customer_id, nth, COUNT(*) AS events, COUNT(*) FILTER (WHERE event_type = 'page_view') AS views,
+  date_diff('microsecond', MIN(event_timestamp), MAX(event_timestamp)) / 1000000.0 AS seconds FROM s GROUP BY 1, 2)
+SELECT CAST(customer_id AS BIGINT) AS customer_id, CAST(COUNT(*) AS BIGINT) AS sessions, CAST(SUM(events) AS BIGINT) AS events,
+  ROUND(SUM(views) / COUNT(*), 6) AS page_views_per_session, ROUND(CAST(SUM(seconds) AS DOUBLE) / COUNT(*), 3) AS average_session_seconds
+FROM p GROUP BY customer_id""", ["behavior_events"]))
+def q_stream_sessions(t):
+    """Sessions by a 30-minute gap, given out in append mode; a later event without a customer closes the last ones."""
+    path, schema = _event_files(t)
+    out, checkpoint = scratch_path(t.spark, "sessions"), scratch_path(t.spark, "ckpt-sessions")
+
+    def run():
+        s = J.customer_sessions(_stream(t, path, schema))
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    end = t.spark.read.parquet(path).agg((F.max("event_timestamp") + F.expr("INTERVAL 3 DAYS")).alias("event_timestamp"))
+    end = end.select(*[F.col(f.name) if f.name == "event_timestamp" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], F.to_date("event_timestamp").alias("day"))
+    end.write.mode("append").partitionBy("day").parquet(path)
+    run()
+    per = t.spark.read.parquet(out).where("customer_id is not null").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("events").alias("e"), F.sum("page_views").alias("v"), F.sum(F.col("duration_seconds").cast("decimal(18,6)")).alias("d"))
+    return per.select(as_long("customer_id").alias("customer_id"), as_long("n").alias("sessions"), as_long("e").alias("events"),
+                      F.round(F.col("v") / F.col("n"), 6).alias("page_views_per_session"), F.round(F.col("d").cast("double") / F.col("n"), 3).alias("average_session_seconds"))
+
+
 @register("stream_dedup_landing", "R3 R1 S15", oracle("""
 SELECT CAST(event_timestamp AS DATE)::VARCHAR AS date, CAST(COUNT(*) AS BIGINT) AS events
 FROM (SELECT DISTINCT customer_id, event_timestamp FROM behavior_events) GROUP BY 1""", ["behavior_events"]))

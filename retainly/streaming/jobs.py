@@ -53,6 +53,26 @@ def hourly_behavior_counters(events: DataFrame, watermark: str = "1 hour", windo
                  F.count(F.lit(1)).alias("events")))
 
 
+def customer_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 day", ts: str = "event_timestamp") -> DataFrame:
+    """Sessions of each customer: events less than `gap` apart are one
+    session, also where a late one joins two. customer_id, session_start,
+    duration_seconds (first to last event), page_views, events. On a stream
+    (append mode) a session is given out once the watermark has passed its end,
+    and its state goes; events that come after that are dropped and counted
+    (`late_events`). On a table it is the batch twin. Events without a customer
+    make sessions of a null one, for the reader to leave out: left out here,
+    they would be dropped before they move the watermark."""
+    s = (events.withWatermark(ts, watermark).groupBy(F.session_window(F.col(ts), gap).alias("s"), "customer_id")
+         .agg(F.min(ts).alias("session_start"), F.max(ts).alias("_last"), F.count_if(F.col("event_type") == "page_view").alias("page_views"), F.count(F.lit(1)).alias("events")))
+    seconds = (F.unix_micros("_last") - F.unix_micros("session_start")) / 1_000_000
+    return s.select("customer_id", "session_start", seconds.alias("duration_seconds"), "page_views", "events")
+
+
+def late_events(query) -> int:
+    """Events of a stream's recent micro-batches that came after the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def dedup_events(events: DataFrame, watermark: str = "10 minutes", keys=("customer_id", "event_timestamp"),
                  ts: str = "event_timestamp") -> DataFrame:
     """Duplicates of (customer, timestamp) dropped within the watermark."""
