@@ -133,3 +133,73 @@ def test_awkward_rows(spark):
     assert hmm.scores(docs.limit(0)).count() == 0
     alone = hmm.scores(frame(spark, [(d, "no training text") for d in range(200) if zlib.crc32(str(d).encode()) % 10 == 0])).collect()
     assert alone and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in alone)
+
+
+def test_word_model_matches_a_twin_on_one_machine(spark, monkeypatch):
+    """Packs and slices of few tokens; emissions, masses and scores again by plain loops from the same trained states."""
+    monkeypatch.setattr(hmm, "SLICE", 60)
+    rows = corpus(random.Random(9), 90)
+    docs = frame(spark, rows)
+    packs = hmm.packed(docs)
+    got = {r.doc_id: r.score for r in hmm.scores(docs, steps=2).collect()}
+    _, count = base_scores(rows)
+    bytes_of = {w: hmm.END if w is END else w for w in count}
+    n_of = np.zeros(hmm.CLASSES + 1)
+    for w, c in count.items():
+        n_of[hmm.word_class(bytes_of[w])] += c
+    assert (hmm.class_counts(packs) == n_of).all()
+    model = hmm.train(packs, (n_of + 0.1) / (n_of.sum() + 0.1 * len(n_of)), 2)
+    expected = {w: np.zeros(hmm.STATES) for w in count}
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 10 == 0:
+            continue
+        seq = tokens(t)
+        emit = [model.emit[hmm.word_class(bytes_of[w])] for w in seq]
+        ahead, back = [model.start * emit[0]], [np.ones(hmm.STATES)]
+        for e in emit[1:]:
+            ahead.append((ahead[-1] @ model.move) * e)
+        for e in emit[:0:-1]:
+            back.insert(0, model.move @ (e * back[0]))
+        for w, a, b in zip(seq, ahead, back):
+            expected[w] += a * b / (a @ b)
+    overall = np.linalg.matrix_power(model.move, 1 << 10).mean(0)
+    mass = {}
+    for w, e in expected.items():
+        share = np.clip(np.round(255 * (e + hmm.LEAN * overall) / (e.sum() + hmm.LEAN)), 1, None)
+        mass[w] = (count[w] + 0.1) * share / share.sum()
+    whole = sum(mass.values()) + 0.1 * overall
+    for d, t in rows:
+        p, total = model.start, 0.0
+        for k, w in enumerate(tokens(t)):
+            p = (p @ model.move if k else p) * mass.get(w, 0.1 * overall) / whole
+            total, p = total + math.log10(p.sum()), p / p.sum()
+        # shares are kept in 255 steps and counts in 64 parts, so that a step may differ by rounding
+        assert got[d] == pytest.approx(total, abs=0.02 * len(tokens(t)))
+
+
+def test_a_state_emits_a_distribution_and_a_table_loaded_twice_counts_twice(spark):
+    rows = corpus(random.Random(12), 60)
+    docs = frame(spark, rows)
+    packs = hmm.packed(docs)
+    model = hmm.train(packs, np.full(hmm.CLASSES + 1, 1 / (hmm.CLASSES + 1)), 1)
+    overall = np.full(hmm.STATES, 1 / hmm.STATES)
+    words = hmm.emissions(packs, model, overall)
+    table = words.toPandas()
+    _, count = base_scores(rows)
+    assert dict(zip(table.word, table.uses)) == {hmm.END if w is END else w: c for w, c in count.items()}
+    by_state = hmm.masses(table.uses.to_numpy(), table["mix"].to_numpy())
+    assert np.allclose(by_state.sum(0) + hmm.ADD * overall, hmm.state_masses(words, overall))
+    twice = hmm.scores(docs.union(docs), steps=1).collect()
+    want, _ = base_scores(rows + rows)
+    key = lambda x: tuple(map(repr, x[:5]))
+    assert sorted(map(key, twice)) == sorted(map(key, want))
+
+
+def test_words_by_state_tell_topics_apart(spark):
+    """Rare words, each in texts of one topic: far better than the base on held-out texts, where buckets can't be."""
+    rng = random.Random(21)
+    topics = [[f"{c}{k}" for k in range(400)] for c in "abc"]
+    rows = [(d, " ".join(rng.choices(topics[d % 3], k=30))) for d in range(400)]
+    got = [r for r in hmm.scores(frame(spark, rows)).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.15  # log10(3) = 0.48 at best
