@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long, since
+from ..operators import affinity as AF
 from ..operators import catalog as K
 from ..operators import daystate as DY
 from ..operators.rfm import rfm_scores
 from ..session import materialize, scratch_path
+from ..sources import io as IO
 from ..sources import views as V
 from ..sources.views import EVENTS_AS_OF as EA
 from ..sources.views import ORDERS_AS_OF as OA
@@ -247,6 +249,21 @@ def q_category_affinity(t):
     return K.category_affinity(V.transactions(t, lines=False), V.line_categories(t))
 
 
+@register("affinity_vectors", "C59 S17 S18")
+def q_affinity_vectors(t):
+    """Vectors and best categories, stored by version and read back."""
+    prefs = materialize(AF.preferences(V.transactions(t, lines=False), V.line_categories(t)))
+    customers, categories = AF.fit(prefs, materialize(AF.numbered(prefs)))
+    path = scratch_path(t.spark, "affinity")
+    IO.store_features(AF.affinities(customers, categories), path, f"seed-{AF.SEED}")
+    return IO.retrieve_features(t.spark, path, f"seed-{AF.SEED}")
+
+
+@register("affinity_holdout", "C59")
+def q_affinity_holdout(t):
+    return AF.holdout_ranking(AF.preferences(V.transactions(t, lines=False), V.line_categories(t)))
+
+
 @register("churn_labels", "C60 J5 B14", oracle("""
 WITH a AS (SELECT DISTINCT customer_id FROM transactions
            WHERE order_date >= TIMESTAMP '2001-01-01' - INTERVAL 366 DAY AND order_date < TIMESTAMP '2001-01-01'),
