@@ -21,6 +21,7 @@ about one shuffle partition in size as the data and the cluster grow.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,10 +160,11 @@ def unpivot(df: DataFrame, ids, cols, name: str = "feature", value: str = "value
 
 def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
                    n_buckets: int | None = None, collapse: bool = True,
-                   small_keys: bool = False) -> DataFrame:
+                   small_keys: bool = False, carry=()) -> DataFrame:
     """One row per distinct (keys, value) with, for every measure m:
     `m` (sum at this value), `m_below` (sum over strictly smaller values within
-    the keys) and `m_total` (sum within the keys).
+    the keys) and `m_total` (sum within the keys). With `collapse=False` one row
+    per row of df, whose columns `carry` come along.
 
     The offsets table has (keys x buckets) rows. It is broadcast explicitly
     only when that is a proven bound: no keys (<= buckets rows) or
@@ -176,7 +178,7 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
     if collapse:
         g = df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
     else:
-        g = df.select(*keys, value, *measures)
+        g = df.select(*keys, value, *measures, *carry)
     g = with_bucket(g, F.col(value).cast("double"), splits, "_bucket", keys)
     per = g.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_b_{m}") for m in measures])
     w_run = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,7 +190,7 @@ def ordered_prefix(df: DataFrame, value: str, measures, keys=(), *, splits=None,
     j = g.join(F.broadcast(off) if (small_keys or not keys) else off, keys + ["_bucket"])
     w_in = Window.partitionBy(*keys, "_bucket").orderBy(value) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    return j.select(*keys, value, *measures,
+    return j.select(*keys, value, *measures, *carry,
                     *[(F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(w_in), F.lit(0))).alias(f"{m}_below")
                       for m in measures],
                     *[F.col(f"{m}_total") for m in measures])
@@ -208,18 +210,22 @@ def rank_first(df: DataFrame, value: str, tie: str, keys=(), n_buckets: int | No
                value_splits=None, tie_splits=None) -> DataFrame:
     """Row-level `rank(method='first')`: 1 + rows with a smaller value + rows
     with an equal value and a smaller `tie` column (unique). Adds `_rank`, `_n`.
+    Rows with a NULL value, tie or key have no rank and are left out.
 
     A value shared by many rows is split across id buckets (second pass keyed
-    by value), so no single task holds all its rows.
+    by value), so no single task holds all its rows. The second pass carries
+    the rows' other columns, so rows are never joined back to themselves.
     """
     keys = list(keys)
-    base = df.withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, value, tie)])
+    base = df.where(ranked).withColumn("_one", F.lit(1).cast("bigint"))
     by_value = ordered_prefix(base, value, ["_one"], keys, n_buckets=n_buckets, splits=value_splits) \
         .select(*keys, value, F.col("_one_below").alias("_vb"), F.col("_one").alias("_cnt"), F.col("_one_total").alias("_n"))
-    within = ordered_prefix(base.select(*keys, value, tie, "_one"), tie, ["_one"], keys + [value],
-                            n_buckets=n_buckets, collapse=False, small_keys=False, splits=tie_splits) \
-        .select(*keys, value, tie, F.col("_one_below").alias("_tb"))
-    return (join_by_value(df.join(within, keys + [value, tie]), by_value, keys + [value])
+    rest = [c for c in df.columns if c not in {*keys, value, tie}]
+    within = ordered_prefix(base, tie, ["_one"], keys + [value], n_buckets=n_buckets, collapse=False,
+                            small_keys=False, splits=tie_splits, carry=rest) \
+        .select(*df.columns, F.col("_one_below").alias("_tb"))
+    return (join_by_value(within, by_value, keys + [value])
             .withColumn("_rank", F.col("_vb") + F.col("_tb") + 1).drop("_vb", "_tb", "_cnt"))
 
 

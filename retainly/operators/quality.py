@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import column_splits, exact_quantiles, unpivot
 
 
@@ -167,7 +168,10 @@ def zscore_outlier_flag(df: DataFrame, cols, threshold: float = 3.0) -> DataFram
 
 def feature_statistics(df: DataFrame, cols, n_buckets: int | None = None) -> DataFrame:
     """Per column count, nulls, mean, sample std, min, exact quartiles,
-    max. Quartiles for all columns come from one keyed ordered pass."""
+    max. Quartiles for all columns come from one keyed ordered pass. Cut
+    points, aggregates and that pass read the saved columns, so whatever makes
+    df is computed once."""
+    df = materialize(df.select(*cols))
     long = unpivot(df, [], cols)
     basic = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"),

@@ -179,3 +179,29 @@ def test_a_value_with_most_rows_is_not_one_task(spark):
     values = sorted(0.0 if i % 10 < 7 else float(i) for i in range(2000))
     first = {v: values.index(v) for v in set(values)}
     assert all(abs(got[i] - first[0.0 if i % 10 < 7 else float(i)] / 1999) < 1e-12 for i in range(2000))
+
+
+def test_rank_first_carries_the_columns_without_joining_rows_back(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(v), f"name {i}") for i, v in enumerate(rng.integers(0, 6, 300))] + [(1000, None, "none")]
+    df = spark.createDataFrame(rows, "id long, v long, name string")
+    got = rank_first(df, "v", "id", n_buckets=4)
+    want = {i: k + 1 for k, (v, i) in enumerate(sorted((v, i) for i, v, _ in rows if v is not None))}
+    assert {r.id: r._rank for r in got.collect()} == want
+    assert all(r.name == f"name {r.id}" and r._n == 300 for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # rows meet tables of buckets and of values, never a table of rows: the tie is in no join condition
+    assert not [x for x in plan.splitlines() if "Join" in x and "id#" in x.split("Join", 1)[1]]
+
+
+def test_feature_statistics_reads_its_input_once(spark):
+    from retainly.operators import quality as Q
+    from retainly.plans.cleaning import Z_COLS
+    from retainly.operators.transactions import transaction_features
+    from retainly.sources import views as V
+    from retainly.sources.tables import Tables
+    features = transaction_features(V.transactions(Tables(spark, "/root/testdata/sf0.001")), V.ORDERS_AS_OF)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey")
+    assert scans(features) > 0
+    got = Q.feature_statistics(features, Z_COLS)
+    assert scans(got) == 0 and {r.column_name for r in got.collect()} == set(Z_COLS)
