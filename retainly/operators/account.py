@@ -54,3 +54,28 @@ def account_extras(accounts: DataFrame, payments: DataFrame, addresses: DataFram
         as_double(spend).alias("marketing_spend_lifetime_usd"),
         as_double(F.when(spend != 0, clip(F.coalesce("ltv", F.lit(0.0)) / spend, 0.0, EFFICIENCY_CAP))).alias("acquisition_efficiency"),
         as_double(active * frequency).alias("subscription_x_frequency30"))
+
+
+# Codes of membership tiers and acquisition sources, the codes of missing or unlisted ones, and the neutral rating.
+TIERS = {"bronze": 1, "silver": 2, "gold": 3, "platinum": 4}
+SOURCES = {"organic": 1, "paid_search": 2, "social": 3, "affiliate": 4, "direct": 5, "referral": 5}
+MISSING_TIER, MISSING_SOURCE, NEUTRAL_RATING = 1, 1, 3.0
+
+
+def _code(column: str, codes: dict, missing: int):
+    """The column's code, whatever its case; `missing` where it is NULL or unlisted."""
+    name = F.lower(F.col(column))
+    return F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in codes.items()], F.lit(missing))
+
+
+def account_standing(members: DataFrame, surveys: DataFrame, as_of: str, days: int = 365) -> DataFrame:
+    """Tier and source codes of every member, and the mean rating of its
+    surveys of the last `days` days (NULL ratings skipped). Ratings are summed before
+    the shuffle; a member without any is neutral."""
+    recent = surveys.where(F.col("survey_date") >= since(as_of, days))
+    rated = recent.groupBy("customer_id").agg(F.avg("rating").alias("_rating"))
+    return members.join(rated, "customer_id", "left").select(
+        as_long("customer_id").alias("customer_id"),
+        as_long(_code("membership_tier", TIERS, MISSING_TIER)).alias("membership_tier"),
+        as_long(_code("acquisition_source", SOURCES, MISSING_SOURCE)).alias("referral_source"),
+        as_double(F.coalesce("_rating", F.lit(NEUTRAL_RATING))).alias("customer_service_rating_avg"))

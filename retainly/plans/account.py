@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.account import account_extras
+from ..operators.account import account_extras, account_standing
 from ..sources import account_views as A
 from ..sources import views as V
 from ..sources.views import ORDERS_AS_OF as OA
@@ -44,3 +44,16 @@ def q_account_extras(t):
     v = {name: A.view(t, name) for name in A.VIEWS}
     return account_extras(v["accounts"], v["saved_payment_methods"], v["addresses"], v["subscriptions"], v["wishlists"],
                           v["marketing_campaigns"], V.transactions(t, lines=False), OA)
+
+
+@register("account_standing", "C32 C42 C49", oracle(f"""
+WITH s AS (SELECT customer_id, AVG(rating) AS rating FROM satisfaction_surveys
+  WHERE survey_date >= TIMESTAMP '{OA}' - INTERVAL 365 DAY GROUP BY 1)
+SELECT CAST(m.customer_id AS BIGINT) AS customer_id,
+  CAST(CASE lower(membership_tier) WHEN 'silver' THEN 2 WHEN 'gold' THEN 3 WHEN 'platinum' THEN 4 ELSE 1 END AS BIGINT) AS membership_tier,
+  CAST(CASE lower(acquisition_source) WHEN 'paid_search' THEN 2 WHEN 'social' THEN 3 WHEN 'affiliate' THEN 4
+    WHEN 'direct' THEN 5 WHEN 'referral' THEN 5 ELSE 1 END AS BIGINT) AS referral_source,
+  ROUND(COALESCE(s.rating, 3.0), 6) AS customer_service_rating_avg
+FROM memberships m LEFT JOIN s ON s.customer_id = m.customer_id""", **A.view_sql()))
+def q_account_standing(t):
+    return account_standing(A.view(t, "memberships"), A.view(t, "satisfaction_surveys"), OA)

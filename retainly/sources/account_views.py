@@ -28,6 +28,14 @@ VIEWS = {
     "wishlists": ("orders", [
         "o_custkey AS customer_id", "o_orderkey AS item_id",
         "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS deleted_at"], "o_orderkey % 3 = 0"),
+    "memberships": ("customer", [
+        "c_custkey AS customer_id",
+        "CASE c_custkey % 6 WHEN 0 THEN 'bronze' WHEN 1 THEN 'Silver' WHEN 2 THEN 'gold' WHEN 3 THEN 'platinum' WHEN 4 THEN 'unlisted' END AS membership_tier",
+        "CASE c_custkey % 8 WHEN 0 THEN 'organic' WHEN 1 THEN 'paid_search' WHEN 2 THEN 'social' WHEN 3 THEN 'Affiliate' WHEN 4 THEN 'direct' "
+        "WHEN 5 THEN 'referral' WHEN 6 THEN 'unlisted' END AS acquisition_source"], "TRUE"),
+    "satisfaction_surveys": ("orders", [
+        "o_custkey AS customer_id", "o_orderdate AS survey_date",
+        "CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 5 + 1 END AS rating"], "o_orderkey % 6 = 2"),
     "marketing_campaigns": ("events", ["user_id AS customer_id", "value AS spend"], "event_type = 'view'"),
 }
 
