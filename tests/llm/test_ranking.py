@@ -70,3 +70,24 @@ def test_weights_equal_plain_gradient_descent_over_the_pairs():
     assert (strengths < model.cutoff).sum() in (len(bad), len(bad) + 1)
     # a score over the threshold is a strength over the cutoff
     assert ((model.scores(both) >= ranking.THRESHOLD) == ((both - model.mean) / model.scale @ model.weights >= model.cutoff)).all()
+
+
+def test_every_labelled_document_counts(spark):
+    """More labelled documents than a block holds: the fit is that of all of them, whatever the blocks."""
+    rng = np.random.default_rng(9)
+    words = lambda k: " ".join("".join(rng.choice(list("abcdeXY9!.%"), rng.integers(1, 3 + k % 7))) for _ in range(rng.integers(3, 40)))
+    rows = [(k, words(k)) for k in range(600)]
+    for bad in (range(0, 600, 3), (11, 301)):  # many bad ones, and fewer than there are blocks
+        bad = set(bad)
+        kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+        labels = frame(spark, [(k, int(k not in bad)) for k, _ in rows], "doc_id bigint, quality int")
+        found = {k: ranking.features(t.encode()) for k, t in kept}
+        model = ranking.fit(frame(spark, rows), labels, rows=40)
+        every = np.array(list(found.values()))
+        assert np.allclose(model.mean, every.mean(0)) and np.allclose(model.scale, np.maximum(every.std(0), 1e-6))
+        strength = (every - model.mean) / model.scale @ model.weights
+        share = len(bad & found.keys()) / len(found)
+        assert np.isclose(model.cutoff, np.quantile(strength, share))  # of all strengths, none left out
+        whole = ranking.fit(frame(spark, rows), labels)  # one block: as held in one place
+        twin = ranking.fit_pairs(*(np.array([x for k, x in found.items() if (k in bad) == b]) for b in (False, True)))
+        assert np.allclose(whole.weights, twin.weights, atol=1e-6) and np.isclose(whole.cutoff, twin.cutoff, atol=1e-6)
