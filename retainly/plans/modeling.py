@@ -233,7 +233,7 @@ def _before(cut):
 def customer_features(t, cut: str = CUT):
     """FEATURES of every customer as observed strictly before `cut`; NULL where
     a customer has no orders by then."""
-    tf = transaction_features(V.transactions(t, where=_before(cut)), cut)
+    tf = transaction_features(V.transactions(t, where=_before(cut), prune=False), cut)
     return profile_features(V.customers(t), cut).join(tf, "customer_id", "left").select("customer_id", *FEATURES)
 
 
@@ -314,7 +314,7 @@ SELECT feature, {r6('corr')} AS corr, ROUND(ABS(corr), 6) AS abs_corr,
                                                ["transactions"], tx="SELECT * FROM transactions"))
 def q_correlation(t):
     """As of the cut: what came after it is the label's."""
-    d = _labels(t).join(transaction_features(V.transactions(t, where=_before(CUT)), CUT), "customer_id")
+    d = _labels(t).join(transaction_features(V.transactions(t, where=_before(CUT), prune=False), CUT), "customer_id")
     return TR.correlation_selection(d, TF_COLS, "churn")
 
 

@@ -20,6 +20,7 @@ from .tables import Tables
 # Fixed as-of dates of the driver data (never the clock).
 ORDERS_AS_OF = "2001-08-02 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
+TASK_LINES = 500_000  # order lines that one task adds up
 
 
 def as_of_lit(ts: str):
@@ -60,9 +61,16 @@ def type_codes(t: Tables) -> DataFrame:
         .select("p_type", F.row_number().over(Window.orderBy("p_type")).alias("code"))
 
 
-def order_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+def line_tasks(t: Tables) -> int:
+    """Tasks that meet orders with their lines: as many more as there are lines,
+    so that what one task holds doesn't grow (a count of lines reads footers)."""
+    return max(t.spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // TASK_LINES))
+
+
+def order_lines(t: Tables, orders: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Per-order line attributes: one row per l_orderkey (partial aggregation
-    first). `orders` (o_orderkey) restricts the lines before they meet parts.
+    first, or with `tasks` in so many tasks, where the lines of an order meet).
+    `orders` (o_orderkey) restricts the lines before they meet parts.
     The smallest type is taken over its number: a string minimum would make
     Spark sort all lines instead of hashing them."""
     lines = t.lineitem
@@ -70,8 +78,10 @@ def order_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
         lines = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     codes = type_codes(t)
     parts = t.part.join(codes, "p_type").select("p_partkey", "code")
-    g = (lines.join(parts, F.col("p_partkey") == F.col("l_partkey"))
-         .groupBy("l_orderkey")
+    lines = lines.join(parts, F.col("p_partkey") == F.col("l_partkey"))
+    if tasks:
+        lines = lines.select("l_orderkey", "code", "l_returnflag", "l_linestatus", "l_discount").repartition(tasks, "l_orderkey")
+    g = (lines.groupBy("l_orderkey")
          .agg(F.min("code").alias("code"),
               F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), 1)
                     .otherwise(0)).alias("refund"),
@@ -88,9 +98,11 @@ def line_categories(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     return lines.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_type")
 
 
-def transactions(t: Tables, lines: bool = True, where=None) -> DataFrame:
+def transactions(t: Tables, lines: bool = True, where=None, prune: bool = True) -> DataFrame:
     """Order-level transactions. `where` (a condition on the order's columns,
-    e.g. o_orderdate) prunes orders, and their lines, first. `lines=False` skips the lineitem join for
+    e.g. o_orderdate) prunes orders, and their lines, first; `prune=False` leaves
+    the lines, for a condition that most orders meet: sorting all lines to find
+    the few that go takes more time and memory than adding them up. `lines=False` skips the lineitem join for
     callers that read only order columns (the line attributes then take the
     view's absent-line defaults, which is what they are for orders without lines
     but not in general — only use it when those columns are not read)."""
@@ -102,7 +114,12 @@ def transactions(t: Tables, lines: bool = True, where=None) -> DataFrame:
             F.col("o_orderstatus").alias("shipping_status")]
     if not lines:
         return o.select(*base, *rest)
-    lj = o.join(order_lines(t, None if where is None else o), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if where is not None and prune:
+        per_order = order_lines(t, o)
+    else:
+        tasks = line_tasks(t)
+        o, per_order = o.repartition(tasks, "o_orderkey"), order_lines(t, tasks=tasks)
+    lj = o.join(per_order, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return lj.select(*base, F.coalesce("category", F.lit("NONE")).alias("product_category"), *rest,
                      F.coalesce("refund", F.lit(0)).alias("refund_flag"),
                      F.coalesce("discounted", F.lit(0)).alias("discount_flag"))
