@@ -18,12 +18,12 @@ compared together.
    stretch that an earlier document has is repeated as a whole. What is left to
    do are first stretches whose anchor also occurs in another stretch.
 3. Those suffixes are range-partitioned by sampled splitters over their leading
-   tokens (8 bytes each), so that even one anchor string may spread over many
-   buckets. A bucket sorts its suffixes by multikey quicksort, token by token
+   tokens (8 bytes each). A bucket sorts its suffixes by multikey quicksort, token by token
    within runs of equals, and compares the windows of each run of equal anchors.
-4. Runs that reach a bucket's edge, where the next bucket may go on, and very
-   long ones, which are cut, are compared across buckets as well: the first of
-   each window in a bucket is grouped by digest.
+4. An anchor string stays in one bucket unless it has more than LONG_RUN
+   suffixes. The long ones are cut, and may fill several buckets, so they are
+   compared across the cuts as well: the first of each window in a part is
+   grouped by digest.
 
 Stretches, and open windows across buckets, are equal if 128 bits of their
 digests are: two that differ are taken as equal with a chance of 2^-128, also
@@ -55,7 +55,7 @@ GRAM = 32  # bytes of an anchor, a power of two
 TOKEN = 8
 PACK = 400_000  # bytes, unless a text is longer: a row that the JVM allocates like any other
 BUCKET = 4_000_000  # bytes of packs that one task reads
-LONG_RUN = 2000  # suffixes of one anchor that a bucket compares by itself
+LONG_RUN = 10_000  # suffixes of one anchor that a bucket compares by itself
 ROWS = 100_000  # suffixes of a bucket
 
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 3) for b in range(256)], np.uint64)
@@ -321,6 +321,7 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
             return
         table = pa.Table.from_batches(found)
         rows = {c: table.column(c).to_numpy() for c in names if c != "bytes"}
+        cut = np.asarray(table.column("long"))
         rows["bytes"] = table.column("bytes").to_pylist()
         places = np.asarray(table.column("place"))
         grams = np.stack([table.column(f"t{c}").to_numpy().view(np.uint64) ^ _SIGN for c in range(GRAM // TOKEN)], 1)  # as the range partitioning orders them
@@ -333,7 +334,7 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
         for a, b in zip(edges.tolist(), ends.tolist()):
             own = order[a:b]
             own = own[np.lexsort((rows["start"][own], rows["doc"][own], rows["pack"][own], rows["order"][own]))]
-            across_buckets = a == 0 or b == len(order) or b - a > LONG_RUN
+            across_buckets = cut[own[0]]
             for k in range(0, len(own), LONG_RUN):
                 part = own[k : k + LONG_RUN]
                 found = list(compared(rows, part)) if len(part) > 1 else []
@@ -354,8 +355,11 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
             at, j = np.array(own, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(rows["order"][at]), pa.array(rows["pack"][at]), pa.array(rows["doc"][at]), pa.array((rows["start"][at] + j).astype(np.int32)), pa.array(np.ones(len(at), np.int32))], names=out)
 
-    # The splitters are sampled over all of the key, so that one anchor string may fill several buckets.
-    dealt = rows.repartitionByRange(buckets, "t0", "t1", "t2", "t3", F.xxhash64("bytes"), "order")
+    # Equal keys share a bucket; the splitters are sampled over all of the key, so that a long anchor string may fill several.
+    anchor = [f"t{c}" for c in range(GRAM // TOKEN)]
+    long = rows.groupBy(*anchor).count().where(F.col("count") > LONG_RUN).select(*anchor, F.lit(True).alias("long"))  # one for LONG_RUN rows at most
+    marked = rows.join(F.broadcast(long), anchor, "left").withColumn("long", F.col("long").isNotNull())
+    dealt = marked.repartitionByRange(buckets, *anchor, F.when(F.col("long"), F.xxhash64("bytes")), F.when(F.col("long"), F.col("order")))
     return dealt.mapInArrow(resolved, "w1 bigint, w2 bigint, order bigint, pack bigint, doc int, start int, n int")
 
 

@@ -175,3 +175,20 @@ def test_equal_packs_stay_apart(spark, monkeypatch, rows_a_bucket):
     docs = frame(spark, rows).repartition(3, "doc_id")
     got = suffixes.kept(docs.union(docs)).collect()
     assert sorted_rows(got) == sorted_rows(2 * brute(rows))
+
+
+def near_copies(rng, n):
+    words = invented(rng, 60).split()
+    return [(d, " ".join([*words[: 20 + d % 20], f"changed{d}", *words[21 + d % 20 :]])) for d in range(n)]
+
+
+def test_only_long_anchors_are_compared_across_buckets(spark, monkeypatch):
+    rows = near_copies(random.Random(6), 120) + repeats(random.Random(7))
+    want = sorted_rows(brute(rows))
+    for most, opened in ((suffixes.LONG_RUN, False), (20, True)):
+        monkeypatch.setattr(suffixes, "LONG_RUN", most)
+        assert sorted_rows(suffixes.kept(frame(spark, rows)).collect()) == want
+        packs = suffixes.packs_of(frame(spark, rows))
+        open_rows = suffixes.suffixes(packs, suffixes.stretches(packs, 8))
+        made = suffixes.sorted_buckets(open_rows, 40)
+        assert bool(made.where("w1 is not null").count()) == opened
