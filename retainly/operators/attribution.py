@@ -11,22 +11,24 @@ i of a leaf of value v gets
 as |S|! (m - |S| - 1)! / m! is the integral of t^|S| (1 - t)^(m - |S| - 1). The
 product is a polynomial in t, so a Gauss-Legendre rule of m / 2 points is exact.
 
-The model is a table of leaves, one row each, broadcast: as many rows as the
-fitted trees have leaves, whatever the data. Rows meet the leaves tree by tree
-and all sums are JVM expressions; the contributions of a row are added up before
-the shuffle, to one row for each row and feature.
+The model is a list of leaves, as many as the fitted trees have, whatever the
+data. A task takes its rows a batch at a time and adds up what each leaf pays to
+all of them; of a leaf with up to PATTERNS conditions this is worked out once for
+each way of meeting them, and rows look it up. One row with a number for each
+feature comes of a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .boosting import Model, Tree
 
-LEAVES = "tree int, value double, conditions array<struct<feature:int,low:double,high:double,z:double>>"
+PATTERNS = 10  # conditions of a leaf whose ways of being met, 2 to that power at most, are worked out first
 
 
 def _leaves(number: int, feature, threshold, left, right, value, cover) -> list[tuple]:
@@ -75,30 +77,51 @@ def expected_margin(leaves: list[tuple], start: float = 0.0) -> float:
     return start + sum(value * float(np.prod([c[3] for c in conditions])) for _, value, conditions in leaves)
 
 
+def paid(value: float, z: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """What a leaf pays: met (conditions, rows) -> shares (conditions, rows)."""
+    z, o, total = z[:, None], met.astype(np.float64), np.zeros(met.shape)
+    for p, w in zip(*np.polynomial.legendre.leggauss((len(z) + 1) // 2)):
+        through = (1 - (p + 1) / 2) * z + (p + 1) / 2 * o
+        total += w / 2 * (through.prod(0) / through)
+    return value * (o - z) * total
+
+
+def added(x: np.ndarray, leaves: list[tuple], tables: dict) -> np.ndarray:
+    """x (features, rows) -> shares (features, rows) of all leaves; tables: keeps what was worked out for a leaf."""
+    out = np.zeros(x.shape)
+    for k, (_, value, conditions) in enumerate(leaves):
+        if not conditions:
+            continue
+        at, low, high, z = (np.array(c) for c in zip(*conditions))
+        met = (x[at] > low[:, None]) & (x[at] <= high[:, None])
+        if len(at) > PATTERNS:
+            out[at] += paid(value, z, met)
+            continue
+        bit = np.arange(len(at))[:, None]
+        if k not in tables:
+            tables[k] = paid(value, z, np.arange(2 ** len(at)) >> bit & 1)
+        out[at] += tables[k][:, (met << bit).sum(0)]
+    return out
+
+
 def attributions(df: DataFrame, leaves: list[tuple], features, key: str) -> DataFrame:
     """df (key unique, features...) -> key, attributions: map of feature to its share of the margin over the expected one. Features
     that are null or absent count as 0; ones that no tree asks for have share 0."""
-    spark, features = df.sparkSession, list(features)
-    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in features))
-    trees = 1 + max((k for k, _, _ in leaves), default=-1)
-    points, weights = np.polynomial.legendre.leggauss(max(1, (max((len(c) for _, _, c in leaves), default=1) + 1) // 2))
-    table = F.broadcast(spark.createDataFrame(leaves, LEAVES))
-    rows = df.select(F.col(key).alias("row"), x.alias("x"))
-    met = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if trees else rows.limit(0).withColumn("tree", F.lit(0))
-    met = met.join(table, "tree").where(F.size("conditions") > 0).select(
-        "row", "value", F.transform("conditions", lambda c: F.struct(
-            c["feature"].alias("feature"), c["z"].alias("z"),
-            F.when((F.get("x", c["feature"]) > c["low"]) & (F.get("x", c["feature"]) <= c["high"]), 1.0).otherwise(0.0).alias("o"))).alias("c"))
-    through = lambda c, t: (1 - t) * c["z"] + t * c["o"]
-    ts, ws = [float((p + 1) / 2) for p in points], [float(w / 2) for w in weights]
-    product = lambda t: F.aggregate("c", F.lit(1.0), lambda acc, c: acc * through(c, t))
-    met = met.select("row", "value", "c", *(product(t).alias(f"p{k}") for k, t in enumerate(ts)))
-    total = lambda c: sum((F.lit(w) * F.col(f"p{k}") / through(c, t) for k, (t, w) in enumerate(zip(ts, ws))), F.lit(0.0))
-    each = met.select("row", F.explode(F.transform("c", lambda c: F.struct(c["feature"].alias("feature"), (F.col("value") * (c["o"] - c["z"]) * total(c)).alias("share")))).alias("s"))
-    added = each.groupBy("row", "s.feature").agg(F.sum("s.share").alias("share"))
-    gathered = added.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("feature", "share"))).alias("shares"))  # one entry a feature at most
-    filled = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*(F.coalesce(F.try_element_at("shares", F.lit(k)), F.lit(0.0)) for k in range(len(features)))))
-    return rows.select("row").join(gathered, "row", "left").select(F.col("row").alias(key), filled.alias("attributions"))
+    features = list(features)
+    x = [(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0)).alias(f"x{k}") for k, f in enumerate(features)]
+    rows = df.select(F.col(key).alias("row"), *x)
+    names = [f"s{k}" for k in range(len(features))]
+
+    def mapped(batches):
+        tables: dict = {}
+        for b in batches:
+            shares = added(np.stack([np.asarray(c) for c in b.columns[1:]]), leaves, tables)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, shares)], names=["row", *names])
+
+    each = rows.mapInArrow(mapped, f"row {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names))
+    gathered = each.groupBy("row").agg(*(F.sum(c).alias(c) for c in names))
+    filled = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*(F.coalesce(c, F.lit(0.0)) for c in names)))
+    return df.select(F.col(key).alias("row")).join(gathered, "row", "left").select(F.col("row").alias(key), filled.alias("attributions"))
 
 
 def explained(df: DataFrame, found: DataFrame, key: str, top: int = 5, out: str = "explanation") -> DataFrame:
