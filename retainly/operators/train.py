@@ -117,7 +117,7 @@ def cross_validate(train: DataFrame, features, label: str, weight: str | None =
     est = estimators(label, weight, seed)["logistic_regression"]
     grid = ParamGridBuilder().addGrid(est.regParam, [0.0, 0.1]).build()
     cv = CrossValidator(estimator=pipeline(features, est), estimatorParamMaps=grid,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=seed)
+                        evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=seed, parallelism=len(grid))
     return cv.fit(train)
 
 

@@ -168,7 +168,8 @@ def _labels(t):
 
 
 def _split(t):
-    return DS.stratified_split(_labels(t), "customer_id", "churn", 0.15, 0.15, 42)
+    labels = materialize(_labels(t))  # read by the cut points, the ranks and the join
+    return DS.stratified_split(labels, "customer_id", "churn", 0.15, 0.15, 42)
 
 
 @register("stratified_split", "T1", oracle(SPLIT_SQL, ["transactions"]))
