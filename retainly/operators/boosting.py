@@ -5,11 +5,15 @@ best leaf first: of all leaves the one whose split gains most is split next,
 until there are `leaves` of them. A split needs the sums of gradients and
 hessians of each bin of its leaf; Spark adds those up over all rows, a whole
 generation of leaves in one pass, and only sums by (leaf, feature, bin) come to
-the driver. Leaves that may still be chosen are looked at ahead of their turn,
+the driver, one set a task at most. Leaves that may still be chosen are looked at ahead of their turn,
 so a tree takes about as many passes as it is deep.
 
+Of two sibling leaves the one with fewer rows is added up; the other's sums are
+what is left of their parent's.
+
 Sums are of whole numbers (gradients times 2^24), so a tree depends neither on
-the order of rows nor on tasks, and a task that runs again changes nothing.
+the order of rows nor on tasks, and a task that runs again changes nothing. Rows
+are kept in blocks of TASK_ROWS, one table row each, as every pass reads them.
 Margins are saved every KEEP rounds; between that the last trees are walked anew.
 Boosting stops when the loss on the validation rows has not fallen for
 `patience` rounds, and the trees after the best round go.
@@ -22,6 +26,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,10 @@ from ..session import ensure_defaults, scratch_path
 BINS = 64
 KEEP = 10
 TASK_ROWS = 100_000
+LEAST_ROWS = 10_000
+FEW = 64  # tasks whose sums are added up by the driver
+SIDE = 64  # leaves whose splits are weighed side by side
+PACK = {"key": np.int64, "label": np.float64, "weight": np.float64, "held": np.bool_, "bins": np.uint8, "margin": np.float64}
 UNIT = 2.0**24
 NUMBERS = "array<struct<feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>,cover:array<double>>>"
 
@@ -66,16 +75,20 @@ class Tree:
             column.append(x)
         return len(self.feature) - 1
 
-    def place(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row of bins."""
+    def place(self, bins: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row of bins; at: the nodes that the rows have come to."""
+        at = np.zeros(len(bins), np.int64) if at is None else at
         feature, cut, left, right = map(np.array, (self.feature, self.cut, self.left, self.right))
-        at = np.zeros(len(bins), np.int64)
-        going = np.flatnonzero(feature[at] >= 0)
-        while len(going):
-            n = at[going]
-            at[going] = np.where(bins[going, feature[n]] <= cut[n], left[n], right[n])
-            going = going[feature[at[going]] >= 0]
-        return at
+        leaf, own = feature < 0, np.arange(len(feature))
+        if leaf.all() or not len(bins):
+            return at
+        child = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], 1).ravel()  # a leaf leads to itself
+        feature, flat, start = np.maximum(feature, 0), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        while True:
+            below = child[2 * at + (flat[start + feature[at]] > cut[at])]
+            if np.array_equal(below, at):
+                return at
+            at = below
 
 
 def kept_share(keys: np.ndarray, share: float, seed: int, of: int) -> np.ndarray:
@@ -87,7 +100,8 @@ def kept_share(keys: np.ndarray, share: float, seed: int, of: int) -> np.ndarray
 
 
 class Growth:
-    """One tree as it grows. wanted(): leaves whose sums it needs; learn(): takes them; tree(): the grown tree."""
+    """One tree as it grows. wanted(): leaves whose sums it needs; light(): those of them that must be added up; learn(): takes these;
+    tree(): the grown tree."""
 
     def __init__(self, settings: Settings, features: int, number: int):
         self.settings, self.sketch, self.best = settings, Tree(), {}
@@ -95,23 +109,41 @@ class Growth:
         self.own = own if own.any() else np.arange(features) == number % features
         self.sketch.add(0.0, 0.0)
         self.deep, self.order = [0], []
+        self.cells, self.heavy = {}, {}  # of a leaf that may be split, its sums; of a light child, its sibling and their parent's sums
+
+    def light(self, nodes: list[int]) -> list[int]:
+        """Of each two siblings the one with fewer rows."""
+        left_out = {heavy for heavy, _ in self.heavy.values()}
+        return [n for n in nodes if n not in left_out]
 
     def learn(self, sums: np.ndarray, nodes: list[int]) -> None:
-        """sums: by node, feature and bin: gradient, hessian, rows."""
-        s = self.settings
-        for node, cells in zip(nodes, sums):
-            total = cells[0].sum(0)
-            g, h = total[0], total[1]
-            self.sketch.value[node], self.sketch.cover[node] = -s.rate * g / (h + s.l2 + 1e-12), float(h)
-            low = np.cumsum(cells, 1)[:, :-1]
-            high = total - low
-            gain = low[..., 0] ** 2 / (low[..., 1] + s.l2 + 1e-12) + high[..., 0] ** 2 / (high[..., 1] + s.l2 + 1e-12) - g * g / (h + s.l2 + 1e-12)
-            allowed = (np.minimum(low[..., 1], high[..., 1]) >= s.child_weight) & (np.minimum(low[..., 2], high[..., 2]) >= max(1, s.child_rows)) & self.own[:, None]
-            if s.depth and self.deep[node] >= s.depth:
-                allowed[:] = False
-            gain = np.where(allowed, gain, -1.0)
-            at = int(np.argmax(gain)) if gain.size else 0
-            self.best[node] = (float(gain.flat[at]), *np.unravel_index(at, gain.shape)) if gain.size and gain.flat[at] > 1e-9 else None
+        """sums: by node, feature and bin: gradient, hessian, rows. A light child's give its sibling's too."""
+        found = dict(zip(nodes, sums))
+        for node in nodes:
+            if node in self.heavy:
+                heavy, cells = self.heavy.pop(node)
+                found.setdefault(heavy, cells - found[node])  # exact: whole UNITs
+        own = list(found)
+        for k in range(0, len(own), SIDE):
+            self._weigh(own[k : k + SIDE], np.stack([found[n] for n in own[k : k + SIDE]]))
+
+    def _weigh(self, nodes: list[int], cells: np.ndarray) -> None:
+        s, t = self.settings, self.sketch
+        total = cells[:, 0].sum(1)
+        g, h = total[:, 0], total[:, 1]
+        low = np.cumsum(cells, 2)[:, :, :-1]
+        high = total[:, None, None] - low
+        gain = low[..., 0] ** 2 / (low[..., 1] + s.l2 + 1e-12) + high[..., 0] ** 2 / (high[..., 1] + s.l2 + 1e-12) - (g * g / (h + s.l2 + 1e-12))[:, None, None]
+        allowed = (np.minimum(low[..., 1], high[..., 1]) >= s.child_weight) & (np.minimum(low[..., 2], high[..., 2]) >= max(1, s.child_rows)) & self.own[:, None]
+        if s.depth:
+            allowed &= np.array([self.deep[n] < s.depth for n in nodes])[:, None, None]
+        gain = np.where(allowed, gain, -1.0)
+        for k, (node, value) in enumerate(zip(nodes, -s.rate * g / (h + s.l2 + 1e-12))):
+            t.value[node], t.cover[node] = value, float(h[k])
+            at = int(np.argmax(gain[k])) if gain[k].size else 0
+            self.best[node] = (float(gain[k].flat[at]), *np.unravel_index(at, gain[k].shape)) if gain[k].size and gain[k].flat[at] > 1e-9 else None
+            if self.best[node]:
+                self.cells[node] = cells[k].copy()
 
     def wanted(self) -> list[int]:
         """Goes through the splits, best first, as far as is known; gives the leaves that must be looked at first."""
@@ -126,6 +158,10 @@ class Growth:
                 t.feature[node], t.cut[node] = map(int, self.best[node][1:])
                 t.left[node], t.right[node] = t.add(0.0, 0.0), t.add(0.0, 0.0)
                 self.deep += [self.deep[node] + 1] * 2
+                cells = self.cells.pop(node)
+                rows = cells[t.feature[node], :, 2]
+                less, more = (t.left[node], t.right[node]) if 2 * rows[: t.cut[node] + 1].sum() <= rows.sum() else (t.right[node], t.left[node])
+                self.heavy[less] = more, cells
             for child in (t.left[node], t.right[node]):
                 if child not in self.best:
                     missing.append(child)
@@ -160,11 +196,12 @@ def sums_by_bin(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray
     slot[nodes] = np.arange(len(nodes))
     here = np.flatnonzero(slot[node] >= 0)
     n, f = len(nodes), bins.shape[1]
-    cell = (slot[node[here], None] * f + np.arange(f)) * size + bins[here]
-    out = np.empty((n * f * size, 3))
-    for k, x in enumerate((g, h, None)):
-        out[:, k] = np.bincount(cell.ravel(), None if x is None else np.repeat(x[here], f), minlength=n * f * size)
-    return out.reshape(n, f, size, 3)
+    first, own = slot[node[here]] * size, bins[here]
+    out = np.empty((n, f, size, 3))
+    for k, x in enumerate((g[here], h[here], None)):
+        for j in range(f):
+            out[:, j, :, k] = np.bincount(first + own[:, j], x, minlength=n * size).reshape(n, size)
+    return out
 
 
 def loss(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -186,18 +223,20 @@ class Model:
         return spark.createDataFrame([(rows,)], f"trees {NUMBERS}")
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        """df with its margin and the probability `out`; a null or absent feature counts as 0. The model is one broadcast row, its trees
-        are walked by JVM expressions."""
-        x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in self.features))
-        steps = F.sequence(F.lit(1), F.lit(max((_depth(t) for t in self.trees), default=0) + 1))
+        """df with its margin and the probability `out`; a null or absent feature counts as 0. Trees are walked for a batch of rows at a
+        time, on bins: a value is in the bin of the first cut point that isn't below it, NaN in the last."""
+        edges, base, trees = [np.array(c, np.float64) for c in self.cuts], float(self.base), self.trees
 
-        def leaf(t):
-            down = lambda n: F.when(F.get(x, F.get(t["feature"], n)) <= F.get(t["threshold"], n), F.get(t["left"], n)).otherwise(F.get(t["right"], n))
-            return F.get(t["value"], F.aggregate(steps, F.lit(0), lambda n, _: F.when(F.get(t["feature"], n) < 0, n).otherwise(down(n))))
+        @F.pandas_udf("double")
+        def walked(*columns: pd.Series) -> pd.Series:
+            bins = np.stack([np.searchsorted(e, x.to_numpy(np.float64), "left") for e, x in zip(edges, columns)], 1)
+            margin = np.full(len(bins), base)
+            for t in trees:
+                margin += np.array(t.value)[t.place(bins)]
+            return pd.Series(margin)
 
-        joined = df.crossJoin(F.broadcast(self.table(df.sparkSession)))
-        margin = F.aggregate("trees", F.lit(float(self.base)), lambda m, t: m + leaf(t))
-        return joined.withColumn("margin", margin).withColumn(out, 1 / (1 + F.exp(-F.col("margin")))).drop("trees")
+        x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in self.features]
+        return df.withColumn("margin", walked(*x) if trees else F.lit(base)).withColumn(out, 1 / (1 + F.exp(-F.col("margin"))))
 
 
 def _depth(t: Tree, node: int = 0) -> int:
@@ -229,18 +268,26 @@ def binned(df: DataFrame, features, cuts, label: str, weight: str | None, valida
         .mapInArrow(mapped, "key bigint, label double, weight double, held boolean, bins binary, margin double")
 
 
-def _arrays(b, trees: list[Tree]):
-    """A batch's key, label, weight, held, bins, and its margin after `trees`."""
-    key, label, weight = (np.asarray(b.column(k)) for k in (0, 1, 2))
-    held = np.asarray(b.column(3).to_pylist(), bool)
-    bins = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-    margin = np.asarray(b.column(5)).copy()
-    for t in trees:
-        margin += np.array(t.value)[t.place(bins)]
-    return key, label, weight, held, bins, margin
+def _packed(batches):
+    """A task's rows as one, each column's values end to end; there is no margin yet."""
+    found = [[*(np.asarray(b.column(k)).tobytes() for k in (0, 1, 2)), b.column(3).to_numpy(zero_copy_only=False).tobytes(), b"".join(b.column(4).to_pylist())] for b in batches if b.num_rows]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (*zip(*found), ())], names=list(PACK))
+
+
+def _blocks(batches, base: float, trees: list[Tree]):
+    """Of each block its key, label, weight, held, bins, and margin after `trees`; a block without margins starts from the base."""
+    for b in batches:
+        for k in range(b.num_rows):
+            key, label, weight, held, bins, margin = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in enumerate(PACK.values()))
+            bins = bins.reshape(len(key), -1)
+            margin = margin.copy() if len(margin) else np.full(len(key), base)
+            for t in trees:
+                margin += np.array(t.value)[t.place(bins)]
+            yield key, label, weight, held, bins, margin
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -256,13 +303,21 @@ def fit(df: DataFrame, features, label: str, weight: str | None = None, validati
     fitting = df.where(~F.coalesce(F.col(validation).cast("boolean"), F.lit(False))) if validation else df
     cuts = cuts or cut_points(fitting, features)
     size = max((len(c) for c in cuts), default=0) + 1
-    parts = -(-df.count() // TASK_ROWS)  # every pass reads these rows again: tasks of a size that is worth one
-    data = _kept(binned(df, features, cuts, label, weight, validation).repartition(max(1, parts)), "boosting-rows")
-    sums = data.where("not held").agg(F.sum(F.col("weight") * F.col("label")), F.sum(F.col("weight") * (1 - F.col("label")))).first()
+    n = df.count()  # every pass reads these rows again: tasks of a size that is worth one, and one a core if there are enough rows
+    parts = max(-(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    pack = ", ".join(f"{c} binary" for c in PACK)
+    data = kept(binned(df, features, cuts, label, weight, validation).repartition(max(1, parts)).mapInArrow(_packed, pack), "boosting-rows")
+
+    def weights(batches):
+        for _, y, w, held, _, _ in _blocks(batches, 0.0, []):
+            if not held.all():
+                y, w = y[~held], w[~held]
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in ((w * y).sum(), (w * (1 - y)).sum())], names=["one", "zero"])
+
+    sums = data.mapInArrow(weights, "one double, zero double").agg(F.sum("one"), F.sum("zero")).first()
     if not sums[0] or not sums[1]:
         return Model(features, cuts, 0.0 if sums[0] is None else math.copysign(20.0, (sums[0] or 0) - 1e-9), [], [])
     base = round(math.log(sums[0] / sums[1]), 9)
-    data = data.withColumn("margin", F.lit(base))
     trees, recent, losses, best = [], [], [], (math.inf, 0)
     cells = len(features) * size
 
@@ -271,14 +326,12 @@ def fit(df: DataFrame, features, label: str, weight: str | None = None, validati
 
         def mapped(batches):
             total, lost = 0, 0.0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                key, y, w, held, bins, margin = _arrays(b, recent_)
-                lost += np.rint(loss(margin, y, w)[held] * UNIT).sum()
+            for key, y, w, held, bins, margin in _blocks(batches, base, recent_):
+                lost += np.rint(loss(margin[held], y[held], w[held]) * UNIT).sum()
                 use = ~held & kept_share(key, settings_.rows, settings_.seed, number)
                 g, h = slopes(margin[use], y[use], w[use])
-                total = total + sums_by_bin(bins[use], g, h, sketch.place(bins[use]), nodes, size)
+                bins = bins[use]
+                total = total + sums_by_bin(bins, g, h, sketch.place(bins), nodes, size)
             if not np.isscalar(total):
                 flat = total.reshape(-1, 3)
                 at = np.flatnonzero(flat[:, 2])
@@ -286,17 +339,20 @@ def fit(df: DataFrame, features, label: str, weight: str | None = None, validati
                 yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(flat[at, k].astype(np.int64)) for k in range(3))], names=names)
                 yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x]) for x in (int(lost), 0, 0))], names=names)
 
-        found = data.mapInArrow(mapped, "cell bigint, g bigint, h bigint, n bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
+        each = data.mapInArrow(mapped, "cell bigint, g bigint, h bigint, n bigint")
+        if parts > FEW:
+            each = each.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+        found = each.toArrow()
         cell, *columns = (np.asarray(found.column(k).combine_chunks()) for k in range(4))
         made = np.zeros((len(nodes) * cells, 3))
         own = cell >= 0
         for k, c in enumerate(columns):
-            made[cell[own], k] = c[own] / (UNIT if k < 2 else 1)
-        return made.reshape(len(nodes), len(features), size, 3), float(columns[0][~own].sum()) / UNIT
+            np.add.at(made[:, k], cell[own], c[own])
+        return (made / np.array([UNIT, UNIT, 1.0])).reshape(len(nodes), len(features), size, 3), float(columns[0][~own].sum()) / UNIT
 
     for number in range(settings.rounds + 1):
         growth, first = Growth(settings, len(features), number), True
-        while nodes := growth.wanted():
+        while nodes := growth.light(growth.wanted()):
             made, lost = passed(growth, nodes, number)
             if first:  # the loss before this tree
                 losses.append(lost)
@@ -313,11 +369,10 @@ def fit(df: DataFrame, features, label: str, weight: str | None = None, validati
             done = list(recent)
 
             def moved(batches):
-                for b in batches:
-                    margin = _arrays(b, done)[5]
-                    yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(margin)], names=["key", "label", "weight", "held", "bins", "margin"])
+                for block in _blocks(batches, base, done):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], names=list(PACK))
 
-            data = _kept(data.mapInArrow(moved, data.schema), "boosting-rows")
+            data = kept(data.mapInArrow(moved, data.schema), "boosting-rows")
             recent.clear()
     raise AssertionError("unreachable")
 
@@ -332,8 +387,10 @@ def fit_rows(bins: np.ndarray, key: np.ndarray, label: np.ndarray, weight: np.nd
         growth = Growth(settings, bins.shape[1], number)
         use = kept_share(key, settings.rows, settings.seed, number)
         g, h = slopes(margin[use], label[use], weight[use])
-        while nodes := growth.wanted():
-            growth.learn(sums_by_bin(bins[use], g, h, growth.sketch.place(bins[use]), nodes, size) / np.array([UNIT, UNIT, 1.0]), nodes)
+        own, at = bins[use], None
+        while nodes := growth.light(growth.wanted()):
+            at = growth.sketch.place(own, at)
+            growth.learn(sums_by_bin(own, g, h, at, nodes, size) / np.array([UNIT, UNIT, 1.0]), nodes)
         trees.append(growth.tree())
         margin += np.array(trees[-1].value)[trees[-1].place(bins)]
     return trees

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, as_long
+from ..session import materialize
 from . import boosting
 from .evaluate import confusion_metrics, curve_metrics
 
@@ -57,8 +58,8 @@ def probability(pred: DataFrame, out: str = "p") -> DataFrame:
 
 
 def model_metrics(model, df: DataFrame, label: str, threshold: float = 0.5) -> DataFrame:
-    """E1-E5 of a fitted model on df (1 row)."""
-    p = model.score(df) if isinstance(model, boosting.Model) else probability(model.transform(df))
+    """E1-E5 of a fitted model on df (1 row). Scores are saved, as several passes read them."""
+    p = materialize((model.score(df) if isinstance(model, boosting.Model) else probability(model.transform(df))).select(label, "p"))
     return confusion_metrics(p, label, "p", threshold).crossJoin(curve_metrics(p, label, "p"))
 
 
@@ -80,7 +81,7 @@ def train_and_compare(train: DataFrame, val: DataFrame, test: DataFrame, feature
         for split, d in (("validation", val), ("test", test)):
             rows.append(model_metrics(m, d, label).select(F.lit(name).alias("model"), F.lit(split).alias("split"),
                                                           "precision", "recall", "f1_score", "roc_auc", "pr_auc"))
-    met = reduce(DataFrame.unionByName, rows)
+    met = materialize(reduce(DataFrame.unionByName, rows))  # a row a model and split
     best = met.filter(F.col("split") == "validation").agg(F.max_by("model", F.struct("pr_auc", "roc_auc"))
                                                           .alias("best_model"))
     return met.crossJoin(best).withColumn("selected", (F.col("model") == F.col("best_model")).cast("bigint")) \

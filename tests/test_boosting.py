@@ -145,3 +145,44 @@ def test_attributions_of_leafwise_trees_add_up(spark, rows):
 def test_attributions_without_trees(spark, rows):
     got = A.attributions(rows.limit(3), [], FEATURES, "id").collect()
     assert [set(r.attributions.values()) for r in got] == [{0.0}] * 3
+
+
+def test_one_of_two_siblings_is_added_up(rows, monkeypatch):
+    model = B.fit(rows.where("not held"), FEATURES, "label", "weight", None, B.Settings(rounds=1, leaves=9))
+    asked, summed = [], B.sums_by_bin
+    monkeypatch.setattr(B, "sums_by_bin", lambda bins, g, h, at, nodes, size: asked.append((len(nodes), int(np.isin(at, nodes).sum()))) or summed(bins, g, h, at, nodes, size))
+    trees = local(rows, model, B.Settings(rounds=1, leaves=9))
+    assert trees == model.trees
+    assert all(2 * n <= asked[0][1] for _, n in asked[1:])  # of each generation's rows no more than half
+
+
+def test_rows_are_kept_in_blocks(rows, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 150)
+    made, kept = [], B.kept
+    monkeypatch.setattr(B, "kept", lambda df, name: made.append(kept(df, name)) or made[-1])
+    B.fit(rows, FEATURES, "label", "weight", "held", B.Settings(rounds=11, leaves=3, patience=11))
+    assert [df.count() for df in made] == [7, 7]
+
+
+def test_shares_by_table_and_by_row_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    leaves = [(0, rng.normal(), [(f, *sorted(rng.normal(size=2).tolist()), rng.uniform(0.1, 0.9)) for f in sorted(rng.choice(12, m, replace=False).tolist())]) for m in (0, 1, 3, 9, 12)]
+    x = rng.normal(size=(12, 300))
+    x[2, :5] = np.nan
+    one = A.added(x, leaves, {})
+    monkeypatch.setattr(A, "PATTERNS", 0)
+    assert np.allclose(one, A.added(x, leaves, {}), atol=1e-12)
+    short = [leaf for leaf in leaves if len(leaf[2]) <= 3]
+    few = sorted({c[0] for _, _, conditions in short for c in conditions})
+    got, at = A.added(x, short, {}), {f: k for k, f in enumerate(few)}
+    own = [(k, v, [(at[f], lo, hi, z) for f, lo, hi, z in conditions]) for k, v, conditions in short]
+    for r in (0, 7, 100):
+        assert got[few, r].tolist() == pytest.approx(shapley(own, x[few, r].tolist(), len(few)), abs=1e-9)
+
+
+def test_attributions_move_one_row_for_a_row(spark, rows):
+    leaves = [(0, 1.0, [(0, -math.inf, 0.0, 0.5)]), (0, -1.0, [(0, 0.0, math.inf, 0.5)])]
+    plan = A.attributions(rows, leaves, FEATURES, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Explode" not in plan
+    twice = A.attributions(rows.where("id = 3").union(rows.where("id = 3")).union(rows.where("id = 4").withColumn("id", F.lit(None).cast("bigint"))), leaves, FEATURES, "id")
+    assert sorted(abs(r.attributions["a"]) for r in twice.collect()) == [0.0, 2.0, 2.0]  # rows of one key count together, a null key has none

@@ -8,6 +8,7 @@ from retainly.operators import clean as C
 from retainly.operators import customer as CU
 from retainly.operators import quality as Q
 from retainly.operators import train as TR
+from retainly.plans import modeling as M
 
 
 def test_approximate_quartiles_are_within_the_rank_error(spark):
@@ -46,6 +47,20 @@ def test_comparison_selects_by_validation(spark, monkeypatch):
     assert all(got[m, "validation"].roc_auc > 0.7 > 0.5 > got[m, "test"].roc_auc for m in models)
 
 
+def test_metrics_read_saved_scores(spark, monkeypatch):
+    df = rows(spark)
+    model = B.fit(df, ["x", "z"], "label", settings=B.Settings(rounds=2))
+    plan = TR.model_metrics(model, df, "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert "margin" not in plan and "LogicalRDD" in plan
+
+
+def test_labels_are_made_once_for_a_split(spark, monkeypatch):
+    monkeypatch.setattr(M, "_labels", lambda t: spark.range(200).select(F.col("id").alias("customer_id"), (F.col("id") % 3 == 0).cast("bigint").alias("churn")))
+    found = M._split(None)
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.split: r["count"] for r in found.groupBy("split").count().collect()}.keys() == {"train", "validation", "test"} and found.count() == 200
+
+
 def test_fill_by_family(spark):
     df = spark.createDataFrame([(1.0, "a", None, None), (2.0, "b", 4, None), (9.0, "b", 8, 1), (None, None, None, None)], "x double, c string, m int, k int")
     got = C.fill_by_family(df, {"x": 50, "c": "mode", "m": "max", "k": ("constant", 7)}).collect()
