@@ -60,3 +60,37 @@ def test_equal_rows_and_lonely_ones(spark, monkeypatch):
     made = S.synthetic_minority(same, "id", "y", FEATURES, copies=2)
     assert made.count() == 400 and made.where("f0 <> 2.0 or neighbour = id").count() == 0
     assert S.synthetic_minority(same.limit(1), "id", "y", FEATURES).count() == 0 and S.synthetic_minority(same.limit(0), "id", "y", FEATURES).count() == 0
+
+
+def exact(rows, k):
+    """By row the distances and keys of its k nearest others, ties by key."""
+    x = rows[FEATURES].to_numpy()
+    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    found = {}
+    for r, i in enumerate(rows.id):
+        d = np.round(np.sqrt(((x[r] - x) ** 2).sum(1)), 9)
+        found[int(i)] = [(float(d[j]), int(rows.id[j])) for j in np.lexsort((rows.id, d)) if j != r][:k]
+    return found
+
+
+def test_neighbours_are_exact_at_any_size(spark, monkeypatch):
+    """Over many leaves and groups the neighbours are those of one block, ties and equal rows included."""
+    monkeypatch.setattr(S, "BUCKET", 30)
+    monkeypatch.setattr(S, "GROUP", 4)
+    monkeypatch.setattr(S, "SIDE", 50)
+    steps = [F.round(F.col(f)).alias(f) for f in FEATURES]  # some equal rows and ties
+    df = table(spark, 700).select("id", *FEATURES).union(table(spark, 300).select(F.col("id") + 1000, *steps)).union(spark.range(2000, 2200).select("id", *[F.lit(1.0)] * 8)).cache()
+    got = {}
+    for r in S.neighbours(df, "id", FEATURES, 5).orderBy("id", "nth").collect():
+        got.setdefault(r.id, []).append((round(r.distance, 9), r.neighbour))
+    want = exact(df.toPandas(), 5)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert np.allclose([d for d, _ in got[i]], [d for d, _ in want[i]], rtol=0, atol=2e-9), (i, got[i], want[i])
+        assert got[i] == want[i] or i in range(1000, 2000) or {n for _, n in got[i]} & {*range(1000, 2000)}  # there rounding may break a tie
+
+
+def test_neighbours_of_repeated_rows_and_text_keys(spark):
+    df = spark.range(12).select(F.concat(F.lit("k"), F.col("id") % 6).alias("id"), *[((F.col("id") % 6) * (n + 1.0)).alias(f) for n, f in enumerate(FEATURES)])
+    got = {(r.id, r.nth): r.neighbour for r in S.neighbours(df, "id", FEATURES, 3).collect()}
+    assert [got["k0", n] for n in (1, 2)] == ["k0", "k1"] and ("k0", 3) not in got  # its twin, and one key twice
